@@ -143,3 +143,25 @@ def doc_lines(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id", F.posexplode(stripped_lines(F.col("text"))).alias("line_no", "line")
     ).withColumn("is_heading", is_heading(F.col("line")))
+
+
+def all_matches(docs: DataFrame) -> DataFrame:
+    """Every entity match of every document, in type order, then position."""
+    def tagged(rule: R.Entity, order: int) -> Column:
+        def entry(value: Column, at: Column) -> Column:
+            return F.struct(
+                F.lit(rule.type).alias("type"), F.lit(order).alias("type_ord"),
+                at.alias("match_ord"), value.alias("value"),
+            )
+
+        return F.transform(found(F.col("text"), rule), entry)
+
+    streams = F.concat(*(tagged(rule, i) for i, rule in enumerate(R.ENTITIES)))
+    return docs.select("doc_id", F.inline(streams))
+
+
+def distinct_entities(matches_long: DataFrame) -> DataFrame:
+    """First occurrence of each (document, type, value); a minimum merges before the shuffle."""
+    return matches_long.groupBy("doc_id", "type", "value").agg(
+        F.min("match_ord").alias("first_ord"), F.count("*").alias("times")
+    )
