@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerleaf.functions.patterns import leading_literal, spell
+from ledgerleaf.functions.stages import evaluated
 from ledgerleaf.functions.text import contains_any, occurrences
 from ledgerleaf.functions.values import round_exact
 from ledgerleaf.rules import categories as C
@@ -94,14 +95,10 @@ def classify(docs: DataFrame) -> DataFrame:
             C.CONFIDENCE_BASE + best / (best + C.CONFIDENCE_HALF) * C.CONFIDENCE_SPAN,
         ),
     )
-    return (
-        ranked
-        .withColumn("category", F.when(weak, hint).otherwise(winner))
-        .withColumn(
-            "category_confidence",
-            F.when(~weak, round_exact(confidence))
-            .when(F.col("category") == C.REPORT, C.NO_HINT_CONFIDENCE)
-            .otherwise(C.HINT_CONFIDENCE),
-        )
-        .drop(*columns)
-    )
+    return evaluated(
+        ranked,
+        category=F.when(weak, hint).otherwise(winner),
+        category_confidence=F.when(~weak, round_exact(confidence))
+        .when(hint == C.REPORT, C.NO_HINT_CONFIDENCE)
+        .otherwise(C.HINT_CONFIDENCE),
+    ).drop(*columns)

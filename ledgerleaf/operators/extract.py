@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerleaf.functions.stages import evaluated
 from ledgerleaf.functions.text import capture, first_line, lines, matches, strip
 from ledgerleaf.rules import fields as R
 from ledgerleaf.rules.categories import INVOICE
@@ -75,9 +76,9 @@ def extract_fields(classified: DataFrame, defaults: str = "reference") -> DataFr
         ),
         "heading_vendor": F.when(F.col("category") == INVOICE, _heading_vendor()),
     })
-    return captured.withColumn(
-        "fields",
-        by_category(
+    return evaluated(
+        captured,
+        fields=by_category(
             {c: build(rules) for c, rules in R.FIELDS.items()}, build(R.GENERIC_FIELDS)
         ).cast(FIELD_TYPE),
     ).drop("captures", "heading_vendor")

@@ -72,8 +72,11 @@ def extract_entities(docs: DataFrame) -> DataFrame:
     )
 
 
+# The slices below change nothing. A bare column would make the optimizer derive a filter on its
+# size and compute the column a second time for it.
+
 def entities_long(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode("entities").alias("entity_ord", "e")).select(
+    return docs.select("doc_id", F.posexplode(F.slice("entities", 1, R.MAX_ENTITIES)).alias("entity_ord", "e")).select(
         "doc_id", "entity_ord", "e.type", "e.value", "e.span"
     )
 
@@ -81,7 +84,7 @@ def entities_long(docs: DataFrame) -> DataFrame:
 def entity_totals(docs: DataFrame) -> DataFrame:
     """Documents per entity, over the entities reported for each document."""
     return (
-        docs.select(F.explode("entities").alias("e"))
+        docs.select(F.explode(F.slice("entities", 1, R.MAX_ENTITIES)).alias("e"))
         .groupBy(F.col("e.type").alias("type"), F.col("e.value").alias("value"))
         .agg(F.count("*").alias("documents"))
     )
@@ -133,7 +136,7 @@ def extract_sections(docs: DataFrame) -> DataFrame:
 
 
 def sections_long(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode("sections").alias("section_ord", "s")).select(
+    return docs.select("doc_id", F.posexplode(F.slice("sections", 1, R.MAX_SECTIONS)).alias("section_ord", "s")).select(
         "doc_id", "section_ord", "s.title", "s.content"
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerleaf.functions.stages import evaluated
 from ledgerleaf.functions.text import contains_any, fill, strip
 from ledgerleaf.functions.values import money, parse_date, parse_num, percent, plain_number, round_exact
 from ledgerleaf.operators.extract import line_items_from_tables, page_line_items
@@ -184,9 +185,9 @@ def validate(docs: DataFrame, as_of: str = R.REFERENCE_AS_OF) -> DataFrame:
     by_rule = F.array(*(
         F.when(conditions[rule.code], _issue(rule, wording)) for rule in R.CATEGORY_ISSUES
     ))
-    flagged = read.withColumn(
-        "issues",
-        F.array_compact(F.concat(_field_issues(), by_rule)).cast(f"array<{ISSUE_TYPE}>"),
+    flagged = evaluated(
+        read,
+        issues=F.array_compact(F.concat(_field_issues(), by_rule)).cast(f"array<{ISSUE_TYPE}>"),
     )
     has = {
         severity: F.exists("issues", lambda i: i["severity"] == severity)
