@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from string import Formatter
 
 from pyspark.sql import Column, functions as F
 
@@ -31,10 +32,10 @@ def contains_any(col: Column, words) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(col, F.lit(w)) for w in words))
 
 
-def occurrences(col: Column, word: str) -> Column:
+def occurrences(col: Column, word: Column) -> Column:
     """Non-overlapping occurrences of an ASCII word; the cheap test spares the copy."""
-    gone = F.octet_length(col) - F.octet_length(F.replace(col, F.lit(word), F.lit("")))
-    return F.when(F.contains(col, F.lit(word)), (gone / len(word)).cast("int")).otherwise(0)
+    gone = F.octet_length(col) - F.octet_length(F.replace(col, word, F.lit("")))
+    return F.when(F.contains(col, word), (gone / F.octet_length(word)).cast("int")).otherwise(0)
 
 
 def capture(col: Column, pattern: str) -> Column:
@@ -48,8 +49,6 @@ def matches(col: Column, pattern: str, ignore_case: bool = True) -> Column:
 
 def fill(template: str, **values: Column) -> Column:
     """Fill the {braces} of a text; a missing value reads None."""
-    from string import Formatter
-
     parts = []
     for literal, name, _, _ in Formatter().parse(template):
         if literal:

@@ -30,7 +30,11 @@ def _date(year: Column, month: Column, day: Column) -> Column:
 def parse_date(col: Column) -> Column:
     """Year-month-day; day-first with slashes (month-first if that fails) or dashes; or a month
     name in full or by its first three letters. Null when there is no such day."""
-    text = strip(col)
+    # The lambda gives the stripped text a name, so it is worked out once.
+    return F.get(F.transform(F.array(strip(col)), _read_date), F.lit(0))
+
+
+def _read_date(text: Column) -> Column:
     slash, dash = F.split(text, "/"), F.split(text, "-")
     month_at = F.instr(
         F.lit("".join(m[:3].lower() for m in MONTH_NAMES)),

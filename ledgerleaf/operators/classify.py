@@ -19,26 +19,26 @@ def with_haystack(docs: DataFrame) -> DataFrame:
     )
 
 
-def keyword_points(haystack: Column, word: str) -> Column:
-    return F.least(C.KEYWORD_POINTS * occurrences(haystack, word), F.lit(C.KEYWORD_CEILING))
-
-
 def pattern_points(haystack: Column, pattern: str) -> Column:
     hits = F.regexp_count(haystack, F.lit(spell(pattern)))
     points = F.least(C.PATTERN_POINTS * hits, F.lit(C.PATTERN_CEILING))
     return F.when(F.contains(haystack, F.lit(leading_literal(pattern))), points).otherwise(0)
 
 
-def _total(points: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, points)
-
-
 def keyword_total(haystack: Column, category: C.Category) -> Column:
-    return _total([keyword_points(haystack, w) for w in category.keywords])
+    """A fold over the word list rather than one expression per word: the plan stays small, and
+    so does the code generated for it."""
+    def add(total: Column, word: Column) -> Column:
+        points = C.KEYWORD_POINTS * occurrences(haystack, word)
+        return total + F.least(points, F.lit(C.KEYWORD_CEILING))
+
+    return F.aggregate(F.array(*(F.lit(w) for w in category.keywords)), F.lit(0), add)
 
 
 def pattern_total(haystack: Column, category: C.Category) -> Column:
-    return _total([pattern_points(haystack, p) for p in category.patterns])
+    return reduce(
+        lambda a, b: a + b, (pattern_points(haystack, p) for p in category.patterns)
+    )
 
 
 def weighted(points: Column, category: C.Category) -> Column:

@@ -41,24 +41,45 @@ def _heading_vendor() -> Column:
     return strip(F.get(fits, F.lit(0)))
 
 
-def _field(rule: R.Field, position: int, defaults: str) -> Column:
-    raw = F.get(F.col("captures"), F.lit(position))
-    missed = raw == ""
-    default = F.lit(rule.default if defaults == "reference" else None).cast("string")
-    value = F.when(missed, default).otherwise(first_line(raw))
-    if rule.key == "vendor_name":
-        heading = F.col("heading_vendor")
-        unnamed = missed | (first_line(raw) == rule.default)
-        value = F.when(unnamed & heading.isNotNull(), heading).otherwise(value)
-        missed = missed & heading.isNull()
-    return F.struct(
-        F.lit(rule.key).alias("key"),
-        value.alias("value"),
-        F.lit(rule.confidence).alias("confidence"),
-        F.lit(rule.page).alias("page"),
-        F.lit(rule.label).alias("label"),
-        missed.alias("is_default"),
-    )
+def _rule_rows(rules, defaults: str) -> Column:
+    return F.array(*(
+        F.struct(
+            F.lit(rule.key).alias("key"),
+            F.lit(rule.default).alias("default"),
+            F.lit(rule.default if defaults == "reference" else None).cast("string").alias("shown"),
+            F.lit(rule.confidence).alias("confidence"),
+            F.lit(rule.page).alias("page"),
+            F.lit(rule.label).alias("label"),
+        )
+        for rule in rules
+    ))
+
+
+def _fields(rules, defaults: str) -> Column:
+    """One field per rule and capture."""
+    rows = _rule_rows(rules, defaults)
+    heading = F.col("heading_vendor")
+
+    def field(raw: Column, position: Column) -> Column:
+        rule = F.get(rows, position)
+        missed, read = raw == "", first_line(raw)
+        value = F.when(missed, rule["shown"]).otherwise(read)
+        if any(r.key == "vendor_name" for r in rules):
+            vendor = (rule["key"] == "vendor_name") & heading.isNotNull()
+            value = F.when(
+                vendor & (missed | (read == rule["default"])), heading
+            ).otherwise(value)
+            missed = missed & ~vendor
+        return F.struct(
+            rule["key"].alias("key"),
+            value.alias("value"),
+            rule["confidence"].alias("confidence"),
+            rule["page"].alias("page"),
+            rule["label"].alias("label"),
+            missed.alias("is_default"),
+        )
+
+    return F.transform(F.col("captures"), field)
 
 
 def extract_fields(classified: DataFrame, defaults: str = "reference") -> DataFrame:
@@ -67,21 +88,17 @@ def extract_fields(classified: DataFrame, defaults: str = "reference") -> DataFr
     defaults='reference' reports the rule's default for a field that is not found;
     defaults='null' reports null, so that validation can flag it as missing.
     """
-    def build(rules) -> Column:
-        return F.array(*(_field(rule, i, defaults) for i, rule in enumerate(rules)))
-
     captured = classified.withColumns({
         "captures": by_category(
             {c: _captures(rules) for c, rules in R.FIELDS.items()}, _captures(R.GENERIC_FIELDS)
         ),
         "heading_vendor": F.when(F.col("category") == INVOICE, _heading_vendor()),
     })
-    return evaluated(
-        captured,
-        fields=by_category(
-            {c: build(rules) for c, rules in R.FIELDS.items()}, build(R.GENERIC_FIELDS)
-        ).cast(FIELD_TYPE),
-    ).drop("captures", "heading_vendor")
+    fields = by_category(
+        {c: _fields(rules, defaults) for c, rules in R.FIELDS.items()},
+        _fields(R.GENERIC_FIELDS, defaults),
+    )
+    return evaluated(captured, fields=fields.cast(FIELD_TYPE)).drop("captures", "heading_vendor")
 
 
 def fields_long(extracted: DataFrame) -> DataFrame:

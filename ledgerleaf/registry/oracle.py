@@ -729,7 +729,8 @@ cte("x_read_edited", readings("x_wide_edited"))
 cte("x_issues_edited", category_issues("x_read_edited"))
 oracle("recompute", f"""SELECT doc_id, CAST(greatest(0, 100 - lost) AS INTEGER) AS validation_score,
   CASE worst WHEN 2 THEN 'error' WHEN 1 THEN 'warning' ELSE 'valid' END AS validation_status,
-  CAST(n AS INTEGER) AS issues_count, 3 AS insights_count
-FROM (SELECT r.doc_id, count(i.code) AS n, coalesce(sum(i.penalty), 0) AS lost,
+  CAST(n AS INTEGER) AS issues_count,
+  CASE WHEN category = {text(C.INVOICE)} THEN 3 ELSE 1 END AS insights_count
+FROM (SELECT r.doc_id, any_value(r.category) AS category, count(i.code) AS n, coalesce(sum(i.penalty), 0) AS lost,
     max(CASE i.severity WHEN 'error' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) AS worst
   FROM x_read_edited r LEFT JOIN x_issues_edited i USING (doc_id) GROUP BY r.doc_id)""")

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerleaf.functions.text import fill
-from ledgerleaf.sources.tables import table
+from ledgerleaf.sources.tables import balanced, table
 
 KINDS = ("invoice", "contract", "audit", "identity", "claim", "text")
 
@@ -210,7 +210,9 @@ def invoice_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("$"), F.format_number("l_extendedprice", 2)),
     )
     kept = F.filter(cells, lambda cell, i: (i != 1) | cell.isNull())
-    return table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return balanced(lines).select(
         (c("l_orderkey") * 8).alias("doc_id"),
         c("l_linenumber").cast("int").alias("page_number"),
         c("l_suppkey").alias("table_ord"),
