@@ -169,7 +169,8 @@ def line_items_from_tables(page_tables: DataFrame) -> DataFrame:
 def with_default_items(items: DataFrame, classified: DataFrame) -> DataFrame:
     """Line items of the invoices, the default ones where an invoice has none."""
     invoices = classified.where(F.col("category") == INVOICE).select("doc_id")
-    without = invoices.join(items.select("doc_id"), "doc_id", "left_anti")
+    # distinct() drops the copies of a much-itemised document before the shuffle.
+    without = invoices.join(items.select("doc_id").distinct(), "doc_id", "left_anti")
     filled = without.select(
         "doc_id",
         F.lit(1).alias("page_number"),

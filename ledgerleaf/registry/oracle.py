@@ -490,6 +490,8 @@ _turn_pages = "SELECT conv_id AS doc_id, turn + 1 AS page_number, text FROM conv
 _joined_pages = (
     "string_agg(chr(10) || '--- Page ' || page_number || ' ---' || chr(10) || coalesce(text, ''), "
     "'' ORDER BY page_number)")
+oracle("scan_text", """SELECT doc_id,
+  regexp_replace(text, '\r\n?', chr(10), 'g') || chr(10) AS text FROM documents""")
 oracle("scan_pages", """SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page_number, text,
   1 AS tables, 612.0::DOUBLE AS width, 792.0::DOUBLE AS height FROM conversations""")
 oracle("assemble_pages", f"""SELECT doc_id, 0 AS part_no, count(*) AS part_pages,
@@ -714,6 +716,7 @@ WHERE {where}"""
 
 
 oracle("pipeline_batch", counted("c.validation_score,"))
+oracle("pipeline_stream", counted(where=of_kind("free_texts")))
 oracle("pipeline_incremental", counted(where=(
     f"{of_kind('free_texts')} AND doc_id NOT IN (SELECT doc_id * 8 + 5 FROM labels)")))
 oracle("reprocess", f"""SELECT doc_id, CASE WHEN again THEN 'reprocessed' ELSE 'stored' END AS state,
@@ -734,3 +737,78 @@ oracle("recompute", f"""SELECT doc_id, CAST(greatest(0, 100 - lost) AS INTEGER)
 FROM (SELECT r.doc_id, any_value(r.category) AS category, count(i.code) AS n, coalesce(sum(i.penalty), 0) AS lost,
     max(CASE i.severity WHEN 'error' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) AS worst
   FROM x_read_edited r LEFT JOIN x_issues_edited i USING (doc_id) GROUP BY r.doc_id)""")
+
+# Answers: the parts of every answer as aggregates over the long tables, put together by intent.
+_question = pick("doc_id // 8 + doc_id", ASKED)
+_wanted = {i: any_of("lower(question)", words) for i, words in Q.TRIGGERS.items()}
+_is_date = any_of("key", Q.DATE_KEY_PARTS)
+_party_rank = "list_position([" + ", ".join(text(k) for k in Q.PARTY_KEYS) + "], key)"
+_percent = "CAST(trunc({} * 100) AS INTEGER)"
+_field = {"label": "label", "value": "value", "percent": _percent.format("confidence")}
+_cited = "label || '|Page ' || page || '|' || key"
+
+
+def cited(citation: tuple[str, str, str]) -> str:
+    return text("|".join(citation))
+
+
+cte("x_field_parts", f"""SELECT doc_id,
+  string_agg({fill(Q.DATE_LINE, **_field)}, chr(10) ORDER BY field_ord) FILTER (WHERE {_is_date}) AS date_lines,
+  string_agg({_cited}, chr(10) ORDER BY field_ord) FILTER (WHERE {_is_date}) AS date_cites,
+  string_agg({fill(Q.PARTY_LINE, **_field)}, chr(10) ORDER BY {_party_rank}) FILTER (WHERE {_party_rank} > 0) AS party_lines,
+  string_agg({_cited}, chr(10) ORDER BY {_party_rank}) FILTER (WHERE {_party_rank} > 0) AS party_cites,
+  string_agg({fill(Q.SUMMARY_FIELD, **_field)}, '' ORDER BY field_ord) FILTER (WHERE field_ord < {Q.SUMMARY_FIELDS}) AS summary_fields,
+  count(*) AS n FROM x_fields GROUP BY doc_id""")
+_issue = {"title": "title", "message": "message", "icon":
+          f"CASE severity WHEN 'error' THEN {text(Q.ERROR_ICON)} ELSE {text(Q.OTHER_ICON)} END"}
+cte("x_issue_parts", f"""SELECT doc_id, count(*) AS n,
+  string_agg({fill(Q.RISK_LINE, **_issue)}, chr(10) || chr(10) ORDER BY issue_ord) AS risk_lines,
+  string_agg(field || '|Audit Log|' || code, chr(10) ORDER BY issue_ord) AS risk_cites,
+  arg_min(message, issue_ord) FILTER (WHERE {any_of("lower(code)", Q.ARITHMETIC_CODES)}) AS alert
+FROM x_issues GROUP BY doc_id""")
+_insight = {k: k for k in ("badge", "title", "description")}
+cte("x_insight_parts", f"""SELECT doc_id, string_agg({fill(Q.SUMMARY_INSIGHT, **_insight)}, ''
+  ORDER BY insight_ord) FILTER (WHERE insight_ord < {Q.SUMMARY_INSIGHTS}) AS lines
+FROM x_insights GROUP BY doc_id""")
+cte("x_asked", f"SELECT doc_id, {_question} AS question FROM x_docs")
+cte("x_snippets", "\nUNION ALL ".join(
+    f"SELECT a.doc_id, string_agg({fill(Q.SNIPPET_LINE, line='s.snippet')}, chr(10) "
+    f"ORDER BY s.snippet_ord) AS lines FROM x_asked a JOIN ("
+    f"{snippet_rows(any_of('lower(line)', search_words(q)))}) s USING (doc_id) "
+    f"WHERE a.question = {text(q)} GROUP BY a.doc_id" for q in ASKED if search_words(q)))
+cte("x_decided", f"""SELECT a.question, c.*, w.* EXCLUDE (doc_id), i.* EXCLUDE (doc_id, n), i.n AS issue_n,
+  k.lines AS insight_lines, s.lines AS snippet_lines, v.payment_terms AS terms,
+  CASE WHEN {_wanted['money']} AND category = {text(C.INVOICE)} THEN 'money_invoice'
+    WHEN {_wanted['money']} AND category = {text(C.CONTRACT)} THEN 'money_contract'
+    WHEN {_wanted['dates']} AND date_lines IS NOT NULL THEN 'dates'
+    WHEN {_wanted['risk']} THEN 'risk' WHEN {_wanted['summary']} THEN 'summary'
+    WHEN {_wanted['parties']} AND party_lines IS NOT NULL THEN 'parties'
+    WHEN s.lines IS NOT NULL THEN 'search' ELSE 'overview' END AS intent
+FROM x_asked a JOIN x_checked c USING (doc_id) JOIN x_field_parts w USING (doc_id)
+JOIN x_wide v USING (doc_id) LEFT JOIN x_issue_parts i USING (doc_id)
+LEFT JOIN x_insight_parts k USING (doc_id) LEFT JOIN x_snippets s USING (doc_id)""")
+_alert = fill(Q.MONEY_ALERT, message="alert")
+_answers = {
+    "money_invoice": (fill(
+        Q.MONEY_INVOICE, grand_total="grand_total", subtotal="subtotal", tax_amount="tax_amount",
+        payment_terms="terms", alert=f"CASE WHEN alert IS NULL THEN '' ELSE {_alert} END"),
+        cited(Q.CITE_TOTAL)),
+    "money_contract": (fill(Q.MONEY_CONTRACT, liability_cap="liability_cap"), cited(Q.CITE_CAP)),
+    "dates": (fill(Q.DATES, lines="date_lines"), "date_cites"),
+    "risk": (
+        f"CASE WHEN issue_n IS NULL THEN {fill(Q.NO_RISK, score='validation_score')} ELSE "
+        + fill(Q.RISKS, count="issue_n", plural="CASE WHEN issue_n > 1 THEN 's' ELSE '' END",
+               lines="risk_lines") + " END",
+        f"coalesce(risk_cites, {cited(Q.CITE_HEALTH)})"),
+    "summary": (fill(
+        Q.SUMMARY, category="category", percent=_percent.format("category_confidence"),
+        fields="summary_fields", insights="insight_lines"), cited(Q.CITE_SUMMARY)),
+    "parties": (fill(Q.PARTIES, lines="party_lines"), "party_cites"),
+    "search": (fill(Q.SNIPPETS, lines="snippet_lines"), cited(Q.CITE_SEARCH)),
+    "overview": (fill(
+        Q.OVERVIEW, name="original_name", category="category", count="n",
+        score="validation_score"), cited(Q.CITE_OVERVIEW)),
+}
+_cases = [" ".join(f"WHEN '{i}' THEN {parts[j]}" for i, parts in _answers.items()) for j in (0, 1)]
+oracle("answer_batch", f"""SELECT doc_id AS question_id, doc_id, question, intent,
+  CASE intent {_cases[0]} END AS answer, CASE intent {_cases[1]} END AS citations FROM x_decided""")

@@ -120,8 +120,9 @@ def scan_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "text-files")
     table(spark, sf_dir, "documents").select("doc_id", "text").write.option(
         "lineSep", "\n").partitionBy("doc_id").text(folder)
-    return files.read_text_files(spark, f"{folder}/*/*.txt").select(
-        "original_name", "file_size", F.length("text").alias("n_chars"),
+    read = files.read_text_files(spark, f"{folder}/*/*.txt")
+    return read.select(
+        F.regexp_extract("file_path", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), "text"
     )
 
 
@@ -708,7 +709,10 @@ def answer_batch(spark, sf_dir):
         corpora.pick(F.floor(F.col("doc_id") / 8) + F.col("doc_id"), ASKED).alias("question"),
     )
     return assistant.answer_batch(asked, processed).withColumn(
-        "citations", F.to_json("citations"))
+        "citations",
+        F.array_join(F.transform(
+            "citations", lambda c: F.concat_ws("|", c["section"], c["page"], c["field"])), "\n"),
+    )
 
 
 # --- pipelines ------------------------------------------------------------------------------
@@ -743,14 +747,9 @@ def pipeline_stream(spark, sf_dir):
     """The free texts as a file stream, processed into a stored table."""
     schema = table(spark, sf_dir, "documents").schema
     arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents*.parquet")
-    named = arriving.select(
-        (F.col("doc_id") * 8 + 5).alias("doc_id"),
-        F.concat(F.col("source"), F.lit("_"), F.col("doc_id"), F.lit(".txt")).alias("original_name"),
-        "text",
-    )
     out = shared_dir(spark, "stream-out")
     ingest_stream(
-        named, out, shared_dir(spark, "stream-state"),
+        corpora.name_texts(arriving), out, shared_dir(spark, "stream-state"),
         lambda rows: pipeline.process(rows, as_of=AS_OF),
     ).awaitTermination()
     return _free_counts(spark.read.parquet(out))

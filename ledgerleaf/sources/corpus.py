@@ -291,14 +291,19 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(table(spark, sf_dir, "events"), "claim", key, F.col("ts"), text)
 
 
-def free_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def name_texts(rows: DataFrame) -> DataFrame:
+    """Free texts (doc_id, source, text), at rest or arriving, as documents."""
     key = F.col("doc_id")
     return _documents(
-        table(spark, sf_dir, "documents"), "text", key,
+        rows, "text", key,
         plus_days("1998-01-01", F.pmod(key, F.lit(900))), F.col("text"),
     )
 
 
+def free_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_texts(table(spark, sf_dir, "documents"))
+
+
 def spread(docs: DataFrame) -> DataFrame:
     """Hash documents by id over the cluster. Reading text is heavy on the processor and light on
     bytes, so a size-based partition count would leave cores idle; later joins on doc_id reuse

@@ -291,3 +291,21 @@ def test_store_and_reload(spark, tmp_path):
     assert {r.mime_type for r in stored.collect()} == {"application/pdf"}
     assert warehouse.new_only(docs, stored).count() == 0
     assert warehouse.long_tables(stored)["fields"].count() == 12
+
+
+def test_export_json(spark):
+    import json
+
+    from ledgerleaf.operators import exports
+    from ledgerleaf.operators.extract import ITEM_TYPE
+
+    docs = documents(spark, ("test_invoice.txt", SMALL_INVOICE)).withColumns({
+        "created_at": F.lit("2026-09-20 10:00:00").cast("timestamp_ntz")})
+    processed = pipeline.process(docs).withColumn(
+        "line_items", F.array().cast(f"array<{ITEM_TYPE}>"))
+    out = json.loads(exports.export_json(processed).first().json)
+    assert list(out) == ["export_metadata", "extracted_fields", "line_items",
+                         "validation_issues", "knowledge_insights"]
+    assert out["export_metadata"]["processed_at"] == "2026-09-20 10:00:00"
+    assert out["extracted_fields"]["vendor_name"] == "Alpha Cloud"
+    assert len(out["knowledge_insights"]) == 3 and out["validation_issues"] == []
