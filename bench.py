@@ -16,7 +16,7 @@ from ledgerleaf.session import build_session  # noqa: E402
 HEADLINE = (
     "dashboard_kpis", "category_counts", "top_vendors", "urgent_risks", "deadlines",
     "classify_docs", "fields_long", "validate_docs", "entities", "sections", "snippet_search",
-    "question_intent", "line_sum", "rule_math_mismatch", "pipeline_batch",
+    "question_intent", "line_sum", "rule_math_mismatch", "process_batch",
 )
 
 
@@ -42,7 +42,7 @@ def main() -> None:
         "unit": "sec",
         "queries": seconds,
         "documents": count,
-        "pipeline_documents_per_sec": round(count / seconds["pipeline_batch"], 1),
+        "documents_per_sec": round(count / seconds["process_batch"], 1),
         "sf": folder.rstrip("/").rsplit("sf", 1)[-1],
     }))
     spark.stop()

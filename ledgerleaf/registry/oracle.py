@@ -715,9 +715,9 @@ LEFT JOIN x_entity_counts e USING (doc_id) LEFT JOIN x_insight_counts i USING (d
 WHERE {where}"""
 
 
-oracle("pipeline_batch", counted("c.validation_score,"))
-oracle("pipeline_stream", counted(where=of_kind("free_texts")))
-oracle("pipeline_incremental", counted(where=(
+oracle("process_batch", counted("c.validation_score,"))
+oracle("process_stream", counted(where=of_kind("free_texts")))
+oracle("process_incremental", counted(where=(
     f"{of_kind('free_texts')} AND doc_id NOT IN (SELECT doc_id * 8 + 5 FROM labels)")))
 oracle("reprocess", f"""SELECT doc_id, CASE WHEN again THEN 'reprocessed' ELSE 'stored' END AS state,
   CASE WHEN again THEN category END AS category

@@ -726,7 +726,7 @@ def _counts(processed):
 
 
 @query
-def pipeline_batch(spark, sf_dir):
+def process_batch(spark, sf_dir):
     return _counts(pipeline.process(docs(spark, sf_dir), tables(spark, sf_dir), as_of=AS_OF))
 
 
@@ -735,7 +735,7 @@ def _free_counts(processed):
 
 
 @query
-def pipeline_incremental(spark, sf_dir):
+def process_incremental(spark, sf_dir):
     """Free texts that are not among the labelled ones, which count as stored already."""
     stored = table(spark, sf_dir, "labels").select((F.col("doc_id") * 8 + 5).alias("doc_id"))
     fresh = warehouse.new_only(kind(spark, sf_dir, "free_texts"), stored)
@@ -743,7 +743,7 @@ def pipeline_incremental(spark, sf_dir):
 
 
 @query
-def pipeline_stream(spark, sf_dir):
+def process_stream(spark, sf_dir):
     """The free texts as a file stream, processed into a stored table."""
     schema = table(spark, sf_dir, "documents").schema
     arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents*.parquet")
