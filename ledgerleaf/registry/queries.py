@@ -63,6 +63,11 @@ def texts(spark, sf_dir):
     return pipeline.prepare(docs(spark, sf_dir)).drop("first_page")
 
 
+@plan
+def classified(spark, sf_dir):
+    return classify.classify(texts(spark, sf_dir))
+
+
 @plan
 def understood(spark, sf_dir, name=None, defaults="reference"):
     source = kind(spark, sf_dir, name) if name else docs(spark, sf_dir)
@@ -340,12 +345,12 @@ def dashboard_kpis(spark, sf_dir):
 
 @query
 def category_counts(spark, sf_dir):
-    return portfolio.category_counts(understood(spark, sf_dir))
+    return portfolio.category_counts(classified(spark, sf_dir))
 
 
 @query
 def category_share(spark, sf_dir):
-    return portfolio.category_share(understood(spark, sf_dir))
+    return portfolio.category_share(classified(spark, sf_dir))
 
 
 @query
@@ -445,7 +450,7 @@ def category_scores(spark, sf_dir):
 
 @query
 def classify_docs(spark, sf_dir):
-    return classify.classify(texts(spark, sf_dir)).select(
+    return classified(spark, sf_dir).select(
         "doc_id", "category", "category_confidence", "best_score")
 
 
