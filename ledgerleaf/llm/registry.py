@@ -4,27 +4,68 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerleaf.llm import mixing, va_search
+from ledgerleaf.llm import chat, licenses, mixing, packing, pii, quality, tokens, va_search
 from ledgerleaf.sources.tables import table
 
 
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+#: For these queries only; a real run brings its own secret key.
+PII_KEY = b"test tables only"
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.cut_documents(table(spark, sf_dir, "documents"), VOCABULARY, length=4096, end_id=2)
+    return packing.pack(pieces, {"length": 4096, "segments": 256, "loss_tokens": 4096}, size="length")
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measures = quality.measures_of(table(spark, sf_dir, "documents"))
+    rules = quality.learn(measures, table(spark, sf_dir, "labels"))
+    return quality.judged(measures, rules).select("doc_id", *quality.COUNTS, "base_failed", "kept", "rule", *quality.MEASURES)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     queue = mixing.fair_queue(table(spark, sf_dir, "documents"), weights=(5, 2, 1), budget=1.5, max_epochs=2)
     return queue.select("doc_id", "size", "source_size", "target", "taken", "finish", "epochs")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("places")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY, limit=2048, tables=False)
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY, count_col="n_changed")
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op2_chat": op2_chat,
+    "op3_quality_rules": op3_quality_rules,
     "op4_mixing": op4_mixing,
+    "op5_licenses": op5_licenses,
+    "op6_token_counts": op6_token_counts,
+    "op9_pii": op9_pii,
     "op10_topk": op10_topk,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_chat": chat.ORACLE,
     "op10_topk": """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT)) AS ints FROM embeddings
