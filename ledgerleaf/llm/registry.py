@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerleaf.llm import chat, licenses, mixing, packing, pii, quality, tokens, va_search
+from ledgerleaf.llm import chat, html_text, jaccard_join, licenses, mixing, packing, pii, quality, tokens, va_search
 from ledgerleaf.sources.tables import table
 
 
@@ -45,6 +45,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY, limit=2048, tables=False)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY, count_col="n_changed")
 
@@ -53,6 +61,12 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_chat": op2_chat,
@@ -60,8 +74,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_licenses": op5_licenses,
     "op6_token_counts": op6_token_counts,
+    "op7_html_text": op7_html_text,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_pii": op9_pii,
     "op10_topk": op10_topk,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
