@@ -108,7 +108,11 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
     base = [t for t in templates if t.base]
     base_starts = F.flatten(F.array(*[at[p] for t in base for p in t.phrases]))
     shares = [sum((F.when(F.size(at[p]) > 0, F.lit(sum(rarity[w] for w in p.split()) / weight(t))).otherwise(F.lit(0.0)) for p in t.phrases), F.lit(0.0)) for t in templates]
-    places = F.flatten(F.array(*[F.transform(at[p], lambda s, t=t, p=p: F.struct(F.lit(t.label).alias("label"), F.lit(p).alias("phrase"), s.alias("start"))) for t in templates for p in t.phrases]))
+
+    def named(t: Template, p: str) -> Column:
+        return F.transform(at[p], lambda s: F.struct(F.lit(t.label).alias("label"), F.lit(p).alias("phrase"), s.alias("start")))
+
+    places = F.flatten(F.array(*[named(t, p) for t in templates for p in t.phrases]))
     return rows.select(
         "doc_id", "n_words", F.size(base_starts).cast("long").alias("n_base"),
         F.array_min(base_starts).cast("long").alias("first_word"), F.array_max(base_starts).cast("long").alias("last_word"),

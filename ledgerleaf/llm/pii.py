@@ -44,13 +44,14 @@ _FOUND = re.compile(
     r"|(?P<key>(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9]))"
     r"|(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b[ \t]{0,3}[:=][ \t]{0,3}[\"']?)(?P<secret>[A-Za-z0-9_+/.-]{0,200}[A-Za-z0-9])"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
-    r"|(?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\7[0-9]{4})(?![\w/-]|\.[0-9]))"
+    r"|(?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}(?P<sep>[./-])[0-9]{1,2}(?P=sep)[0-9]{4})(?![\w/-]|\.[0-9]))"
     r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))"
     r"|(?P<phone>(?<![\w+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}(?![\w])|(?<![\w+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))"
 )
 _CLASSES = (string.digits, string.ascii_lowercase, string.ascii_uppercase)
+_HEX = (string.digits + "abcdef", string.digits + "ABCDEF")
 _FIRST, _DAYS = datetime.date(1900, 1, 1).toordinal(), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
 
 
@@ -111,12 +112,15 @@ class Permuter:
 
     def by_class(self, kind: str, text: str) -> str:
         """Permute letters and digits, each within its kind; hexadecimal text stays that."""
-        hexa = "0123456789abcdef" if re.fullmatch("[0-9a-f]{8,}", text) else "0123456789ABCDEF" if re.fullmatch("[0-9A-F]{8,}", text) else None
+        hexa = next((letters for letters in _HEX if len(text) >= 8 and _is_hex(text, letters)), None)
         at = [i for i, c in enumerate(text) if any(c in letters for letters in _CLASSES)]
         alphabets = [hexa or next(letters for letters in _CLASSES if text[i] in letters) for i in at]
         new = list(text)
-        for i, c in zip(at, self.characters(kind, "".join(text[i] for i in at), alphabets)):
-            new[i] = c
+        while True:
+            for i, c in zip(at, self.characters(kind, "".join(new[i] for i in at), alphabets)):
+                new[i] = c
+            if not hexa or _is_hex("".join(new), hexa):
+                break
         return "".join(new)
 
     def value(self, kind: str, text: str) -> str:
@@ -207,6 +211,11 @@ class Permuter:
         return "".join([*out, text[done:]]), changed
 
 
+def _is_hex(text: str, letters: str) -> bool:
+    """Hexadecimal digits, not all of them decimal."""
+    return set(text) <= set(letters) and not text.isdigit()
+
+
 def _refill(text: str, digits: str) -> str:
     new = iter(digits)
     return "".join(next(new) if c.isdigit() else c for c in text)

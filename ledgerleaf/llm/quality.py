@@ -143,10 +143,13 @@ def _best(rows: DataFrame):
     up = Window.partitionBy("measure").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("measure").orderBy("value").rowsBetween(0, Window.unboundedFollowing)
     both = Window.partitionBy("measure")
+    names = [f"{x}_{side}" for side in ("up", "down") for x in ("bad", "n")]
     sums = counts.select(
         "measure", "value", F.sum("bad").over(both).alias("all_bad"), F.sum("n").over(both).alias("all_n"),
-        F.explode(F.array(*[F.struct(F.lit(side).alias("at_least"), F.sum("bad").over(w).alias("bad"), F.sum("n").over(w).alias("n")) for side, w in ((False, up), (True, down))])).alias("s"),
-    ).select("measure", "value", "all_bad", "all_n", "s.*").where("bad > 0 and n < all_n")
+        *[F.sum(name.split("_")[0]).over(up if name.endswith("_up") else down).alias(name) for name in names],
+    )
+    sides = F.array(*[F.struct(F.lit(side == "down").alias("at_least"), F.col(f"bad_{side}").alias("bad"), F.col(f"n_{side}").alias("n")) for side in ("up", "down")])
+    sums = sums.select("measure", "value", "all_bad", "all_n", F.inline(sides)).where("bad > 0 and n < all_n")
     gain = F.col("bad") * (F.log2(F.col("bad") / F.col("n")) - F.log2(F.col("all_bad") / F.col("all_n")))
     return sums.withColumn("gain", F.round(gain, 9)).orderBy(F.desc("gain"), "n", "measure", "at_least", "value").limit(1).first()
 
