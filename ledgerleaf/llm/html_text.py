@@ -38,6 +38,7 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split())
 CELLS = frozenset("td th".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog button head".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BOILERPLATE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|nav|navbar|navigation|menu|"
@@ -55,10 +56,10 @@ class _Line:
         return " ".join(unescape("".join(self.parts)).split())
 
 
-def _outside(name: str, attributes: str, in_main: bool) -> bool:
+def _outside(name: str, attributes: str) -> bool:
     """Whether an element is no part of the main text."""
     if name in BOILERPLATE:
-        return not (name == "header" and in_main)
+        return True
     if name in ("html", "body", "main", "p", "a", "b", "i", "em", "strong", "span") and "comment" not in attributes:
         return False
     return any(_BOILERPLATE_NAME.search(next(filter(None, m.groups()), "")) for m in _NAMES.finditer(attributes))
@@ -115,7 +116,10 @@ def lines_of(html: str) -> list[_Line]:
             else:
                 before_out = before[1]
             in_main = before[2] or name in ("article", "main") and not before_out
-            out = before_out or _outside(name, attributes, in_main)
+            out = before_out or _outside(name, attributes)
+            around = [e[0] for e in open_elements if e[1]]
+            if name in HEADINGS and in_main and around[:1] == ["header"] and {*around} <= {"header", "hgroup", "div"}:
+                out = False  # the title that an article has in its own header
             open_elements.append((name, out, in_main, name == "a" or before[3] and name not in BLOCKS))
         now = open_elements[-1] if open_elements else ("", False, False, False)
         if name in BLOCKS or now[1:3] != before[1:3]:

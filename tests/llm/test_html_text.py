@@ -53,3 +53,8 @@ def test_rows(spark):
         want = made[r.page_id or 0][1] if r.page_id is None or r.page_id < 90 else {93: "cut &am", 94: "\n".join(["x y"] * 50_000)}.get(r.page_id, "")
         assert (r.text, r.n_chars) == (want, len(want))
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_header_of_an_article():
+    html = "<body><header><h1>Site</h1></header><article><header><div><h1>Title</h1></div><p>by me</p></header><p>Text.</p><div class='ad'><h2>Buy</h2></div></article></body>"
+    assert html_text.main_text(html) == "Title\nText."
