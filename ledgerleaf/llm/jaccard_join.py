@@ -6,8 +6,12 @@ global order of tokens. Several orders are laid down: in each, tokens come by ho
 magnitude of the count of their slot, over all documents, in a table of SLOTS counts) and then by a hash
 of that order's own. Candidates must share a prefix token under every order; what is left is verified on the whole sets.
 
+The first shared token also bounds the overlap: what stands before it, i tokens of one set and j of the
+other, is not shared. With slack = n * (1 - t) / (1 + t) - i, two sets that link have slacks whose sum is not
+negative, so one of any two has slack, and the rows of a bucket need only be met by those that have.
+
 Links are asked for as components, so a group of copies need not be expanded into all its pairs. First,
-every class meets one class for each order: the least of the largest bucket it is in. The links found make
+every class meets one class for each order: that of the most slack in the largest bucket it is in. The links found make
 components; then all pairs of *different* components that the filters leave are verified. Buckets
 that lie in one component are never expanded, and no link between components is missed.
 
@@ -119,8 +123,11 @@ def slot_classes(docs: DataFrame, width: int) -> np.ndarray:
         sets, total = Sets(width), np.zeros(SLOTS, "int64")
         for batch in batches:
             for text in batch.column(0).cast(pa.large_binary()):
-                tokens = sets.of(text.as_py())
-                np.add.at(total, (tokens % np.uint64(SLOTS)).astype("int64"), 1)
+                slots = (sets.of(text.as_py()) % np.uint64(SLOTS)).astype("int64")
+                if len(slots) > SLOTS // 8:
+                    total += np.bincount(slots, minlength=SLOTS)
+                else:
+                    np.add.at(total, slots, 1)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
 
@@ -131,17 +138,23 @@ def slot_classes(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, classes: np.ndarray, width: int, percent: int) -> DataFrame:
-    """set, size and, for every order, the prefix of each document's set."""
+    """doc_id, set, size and, for every order, the prefix of each document's set, in that order."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
-    def row(_, tokens: np.ndarray):
+    def head(tokens: np.ndarray, commonness: np.ndarray, order: int, length: int) -> np.ndarray:
+        key = commonness << np.uint64(58) | mixed_bits(tokens, 100 + order) >> np.uint64(6)
+        first = np.argpartition(key, length - 1)[:length] if length < len(key) else np.arange(len(key))
+        return tokens[first[np.argsort(key[first])]].view("int64")
+
+    def row(doc_id, tokens: np.ndarray):
         n = len(tokens)
         length = n - -(-n * percent // 100) + 1 if n else 0
-        commonness = shared.value[(tokens % np.uint64(SLOTS)).astype("int64")]
-        heads = [tokens[np.lexsort((mixed_bits(tokens, 100 + k), commonness))[:length]].view("int64") for k in range(ORDERS)]
-        return (set_id(tokens), n, heads), ORDERS * length + 1
+        commonness = shared.value[(tokens % np.uint64(SLOTS)).astype("int64")].astype("uint64")
+        heads = [head(tokens, commonness, k, length) for k in range(ORDERS)]
+        return (doc_id, set_id(tokens), n, heads), ORDERS * length + 1
 
-    return _each(docs, width, "set long, size long, heads array<array<long>>", row, ["doc_id", "text"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _each(docs, width, f"doc_id {kind}, set long, size long, heads array<array<long>>", row, ["doc_id", "text"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -192,44 +205,51 @@ def classes_of(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[Data
     """Two tables: doc_id, set and size of every document; and, for every set, component (the least set of its
     component), component_id (the least doc_id in it) and keeper (the set of that document)."""
     docs = docs.select("doc_id", "text")
-    ids = stored(set_ids(docs, width).select("doc_id", F.col("_set").alias("set"), F.col("_size").alias("size")), "join-ids")
-    heads = stored(prefixes(docs, slot_classes(docs, width), width, percent).where("size > 0"), "join-heads")
+    every = stored(prefixes(docs, slot_classes(docs, width), width, percent), "join-heads")
+    ids, heads = every.select("doc_id", "set", "size"), every.where("size > 0").select("set", "size", "heads")
 
     def index(of: DataFrame, order: int) -> DataFrame:
-        return of.select(F.lit(order).alias("ord"), F.explode(F.element_at("heads", order + 1)).alias("token"), "set", "size")
+        rows = of.select(F.lit(order).alias("ord"), F.posexplode(F.element_at("heads", order + 1)).alias("pos", "token"), "set", "size")
+        return rows.withColumn("slack", F.col("size") * (100 - percent) - F.col("pos") * (100 + percent)).drop("pos")
 
     def buckets(rows: DataFrame) -> DataFrame:
-        sums = rows.groupBy("ord", "token").agg(F.min("set").alias("least"), F.max("set").alias("most"), F.count("*").alias("held"))
-        return sums.where("least < most").select("ord", "token", "least", "held")
+        sums = rows.groupBy("ord", "token").agg(
+            F.min("set").alias("least"), F.max("set").alias("most"), F.max(F.struct("slack", "set", "size")).alias("hub"), F.count("*").alias("held"))
+        return sums.where("least < most and hub.slack >= 0").select("ord", "token", F.col("hub.set").alias("hub"), F.col("hub.size").alias("hub_size"), F.col("hub.slack").alias("hub_slack"), "held")
+
+    def meeting(rows: DataFrame) -> DataFrame:
+        return rows.join(buckets(rows), ["ord", "token"]).where("slack + hub_slack >= 0")
 
-    # An order at a time: who shares no prefix token under one of them is not looked at under the next.
+    # An order at a time: who meets nobody under one of them is not looked at under the next.
     alive = heads
     for order in range(ORDERS):
-        rows = index(alive, order)
-        found = stored(rows.join(buckets(rows).select("ord", "token"), ["ord", "token"], "left_semi").select("set").distinct(), "join-alive")
+        found = stored(meeting(index(alive, order)).select("set").distinct(), "join-alive")
         alive = alive.join(found, "set", "left_semi")
     alive = stored(alive.dropDuplicates(["set"]), "join-alive")
     rows = index(alive, 0)
     for order in range(1, ORDERS):
         rows = rows.union(index(alive, order))
-    shared = buckets(rows)
-    rows = stored(rows.join(shared, ["ord", "token"]), "join-index")
+    rows = stored(meeting(rows), "join-index")
 
-    hub = rows.groupBy("ord", "set", "size").agg(F.max(F.struct("held", "token", "least")).alias("x")).select("size", F.col("set").alias("b"), F.col("x.least").alias("a"))
-    sizes = alive.select(F.col("set").alias("a"), F.col("size").alias("size_a"))
-    first = hub.where("a < b").join(sizes, "a").where(_close(percent, "size", "size_a")).select("a", "b").distinct()
+    near = rows.where("hub <> set").where(_close(percent, "size", "hub_size"))
+    first = near.groupBy("ord", "set").agg(F.max(F.struct("held", "token", "hub"))["hub"].alias("hub"))
+    first = first.select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")).distinct()
     links = verified(first, docs, ids, width, percent)
     labels = components(links)
 
     known = rows.join(labels, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    groups = known.groupBy("ord", "token", "component").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    groups = known.groupBy("ord", "token", "component").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max("slack").alias("best"))
     several = groups.groupBy("ord", "token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("ord", "token")
     groups = stored(groups.join(several, ["ord", "token"], "left_semi"), "join-groups")
-    left, right = groups.toDF("ord", "token", "c_a", "low_a", "high_a"), groups.toDF("ord", "token", "c_b", "low_b", "high_b")
-    meet = left.join(right, ["ord", "token"]).where("c_a < c_b").where(f"high_a * 100 >= low_b * {percent} and high_b * 100 >= low_a * {percent}").select("ord", "token", "c_a", "c_b")
-    member = known.select("ord", "token", "component", "set", "size")
-    pairs = meet.join(member.toDF("ord", "token", "c_a", "a", "size_a"), ["ord", "token", "c_a"]).join(member.toDF("ord", "token", "c_b", "b", "size_b"), ["ord", "token", "c_b"])
-    pairs = pairs.where(_close(percent, "size_a", "size_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("shiftleft(1, ord)").alias("bit"))
+    # Of two sets that link, at least one has slack: only groups with slack look for others.
+    left = groups.where("best >= 0").toDF("ord", "token", "c_a", "low_a", "high_a", "best_a")
+    right = groups.toDF("ord", "token", "c_b", "low_b", "high_b", "best_b")
+    meet = left.join(right, ["ord", "token"]).where("best_a + best_b >= 0 and (c_a < c_b or best_b < 0 and c_a <> c_b)")
+    meet = meet.where(f"high_a * 100 >= low_b * {percent} and high_b * 100 >= low_a * {percent}").select("ord", "token", "c_a", "c_b")
+    member = known.select("ord", "token", "component", "set", "size", "slack")
+    pairs = meet.join(member.toDF("ord", "token", "c_a", "a", "size_a", "slack_a"), ["ord", "token", "c_a"]).join(member.toDF("ord", "token", "c_b", "b", "size_b", "slack_b"), ["ord", "token", "c_b"])
+    pairs = pairs.where("slack_a + slack_b >= 0").where(_close(percent, "size_a", "size_b"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("shiftleft(1, ord)").alias("bit"))
     pairs = pairs.groupBy("a", "b").agg(F.bit_or("bit").alias("bits")).where(F.col("bits") == (1 << ORDERS) - 1).select("a", "b")
     links = links.union(verified(pairs, docs, ids, width, percent))
     labels = components(links)
