@@ -11,8 +11,8 @@ other, is not shared. With slack = n * (1 - t) / (1 + t) - i, two sets that link
 negative, so one of any two has slack, and the rows of a bucket need only be met by those that have.
 
 Links are asked for as components, so a group of copies need not be expanded into all its pairs. First,
-every class meets one class for each order: that of the most slack in the largest bucket it is in. The links found make
-components; then all pairs of *different* components that the filters leave are verified. Buckets
+every class meets the classes of the most slack in its buckets, if that is the same class under every order. The
+links found make components; then all pairs of *different* components that the filters leave are verified. Buckets
 that lie in one component are never expanded, and no link between components is missed.
 
 Defined cases: a null or empty text, or one without words, has the empty set and is linked with nothing (its
@@ -212,28 +212,24 @@ def classes_of(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[Data
         rows = of.select(F.lit(order).alias("ord"), F.posexplode(F.element_at("heads", order + 1)).alias("pos", "token"), "set", "size")
         return rows.withColumn("slack", F.col("size") * (100 - percent) - F.col("pos") * (100 + percent)).drop("pos")
 
-    def buckets(rows: DataFrame) -> DataFrame:
-        sums = rows.groupBy("ord", "token").agg(
-            F.min("set").alias("least"), F.max("set").alias("most"), F.max(F.struct("slack", "set", "size")).alias("hub"), F.count("*").alias("held"))
-        return sums.where("least < most and hub.slack >= 0").select("ord", "token", F.col("hub.set").alias("hub"), F.col("hub.size").alias("hub_size"), F.col("hub.slack").alias("hub_slack"), "held")
-
     def meeting(rows: DataFrame) -> DataFrame:
-        return rows.join(buckets(rows), ["ord", "token"]).where("slack + hub_slack >= 0")
-
-    # An order at a time: who meets nobody under one of them is not looked at under the next.
-    alive = heads
-    for order in range(ORDERS):
-        found = stored(meeting(index(alive, order)).select("set").distinct(), "join-alive")
-        alive = alive.join(found, "set", "left_semi")
-    alive = stored(alive.dropDuplicates(["set"]), "join-alive")
+        sums = rows.groupBy("ord", "token").agg(F.min("set").alias("least"), F.max("set").alias("most"), F.max("slack").alias("hub_slack"))
+        sums = sums.where("least < most and hub_slack >= 0").select("ord", "token", "hub_slack")
+        return rows.join(sums, ["ord", "token"]).where("slack + hub_slack >= 0")
+
+    # Who meets nobody under the first order is not looked at under the others.
+    found = stored(meeting(index(heads, 0)).select("set").distinct(), "join-found")
+    alive = stored(heads.join(found, "set", "left_semi").dropDuplicates(["set"]), "join-alive")
     rows = index(alive, 0)
     for order in range(1, ORDERS):
         rows = rows.union(index(alive, order))
     rows = stored(meeting(rows), "join-index")
 
-    near = rows.where("hub <> set").where(_close(percent, "size", "hub_size"))
-    first = near.groupBy("ord", "set").agg(F.max(F.struct("held", "token", "hub"))["hub"].alias("hub"))
-    first = first.select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")).distinct()
+    everywhere = F.col("bits") == (1 << ORDERS) - 1
+    bit = F.expr("shiftleft(1, ord)").alias("bit")
+    hubs = rows.where("slack = hub_slack").groupBy("ord", "token").agg(F.min("set").alias("hub"))
+    near = rows.join(hubs, ["ord", "token"]).where("hub <> set")
+    first = near.select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b"), bit).groupBy("a", "b").agg(F.bit_or("bit").alias("bits")).where(everywhere).select("a", "b")
     links = verified(first, docs, ids, width, percent)
     labels = components(links)
 
@@ -249,8 +245,8 @@ def classes_of(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[Data
     member = known.select("ord", "token", "component", "set", "size", "slack")
     pairs = meet.join(member.toDF("ord", "token", "c_a", "a", "size_a", "slack_a"), ["ord", "token", "c_a"]).join(member.toDF("ord", "token", "c_b", "b", "size_b", "slack_b"), ["ord", "token", "c_b"])
     pairs = pairs.where("slack_a + slack_b >= 0").where(_close(percent, "size_a", "size_b"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("shiftleft(1, ord)").alias("bit"))
-    pairs = pairs.groupBy("a", "b").agg(F.bit_or("bit").alias("bits")).where(F.col("bits") == (1 << ORDERS) - 1).select("a", "b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), bit)
+    pairs = pairs.groupBy("a", "b").agg(F.bit_or("bit").alias("bits")).where(everywhere).select("a", "b")
     links = links.union(verified(pairs, docs, ids, width, percent))
     labels = components(links)
 
