@@ -82,12 +82,9 @@ def entities_long(docs: DataFrame) -> DataFrame:
 
 
 def entity_totals(docs: DataFrame) -> DataFrame:
-    """Documents per entity, over the entities reported for each document."""
-    return (
-        docs.select(F.explode(F.slice("entities", 1, R.MAX_ENTITIES)).alias("e"))
-        .groupBy(F.col("e.type").alias("type"), F.col("e.value").alias("value"))
-        .agg(F.count("*").alias("documents"))
-    )
+    """Documents per entity, over all entities of each document."""
+    return distinct_entities(all_matches(docs)).groupBy("type", "value").agg(
+        F.count("*").alias("documents"))
 
 
 def is_heading(line: Column) -> Column:

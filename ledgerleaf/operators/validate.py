@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerleaf.functions.stages import evaluated
 from ledgerleaf.functions.text import contains_any, fill, strip
 from ledgerleaf.functions.values import money, parse_date, parse_num, percent, plain_number, round_exact
-from ledgerleaf.operators.extract import line_items_from_tables, page_line_items
+from ledgerleaf.operators.extract import ITEM_TYPE, default_line_items, line_items_from_tables, page_line_items
 from ledgerleaf.rules import audit as R
 from ledgerleaf.rules.categories import AUDIT, CONTRACT, IDENTITY, INVOICE
 from ledgerleaf.rules.fields import DEFAULT_LINE_ITEMS
@@ -31,10 +31,21 @@ def field_value(key: str, default: str = "") -> Column:
 
 def line_totals(items: DataFrame) -> DataFrame:
     """Line count and sum per document. Sums of decimals do not depend on the row order, and the
-    partial sums are taken before the shuffle, so a document with very many lines is no hot spot."""
-    return items.groupBy("doc_id").agg(
-        F.count("*").alias("line_count"),
-        F.sum(parse_num(F.col("total")).cast("decimal(28,6)")).cast("double").alias("line_sum"),
+    partial sums are taken before the shuffle, so a document with very many lines is no hot spot.
+
+    Amounts of 10 ** 15 and more are summed by their power of ten, as no decimal holds them all; those
+    few sums are then added up in the order of the powers."""
+    amount = parse_num(F.col("total"))
+    infinite = amount == float("inf")
+    power = F.when(amount < 1e15, 0).when(infinite, 400).otherwise(F.floor(F.log10(amount)) - 14)
+    parts = items.select("doc_id", amount.alias("amount"), infinite.alias("infinite"), power.cast("int").alias("power"))
+    digits = F.when(F.col("infinite"), 1.0).otherwise(F.col("amount") / F.pow(F.lit(10.0), F.col("power")))
+    sums = parts.groupBy("doc_id", "power").agg(
+        F.count("*").alias("n"), F.sum(digits.cast("decimal(28,6)")).cast("double").alias("part"))
+    by_power = F.sort_array(F.collect_list(F.struct("power", "part")))
+    return sums.groupBy("doc_id").agg(
+        F.sum("n").alias("line_count"),
+        F.aggregate(by_power, F.lit(0.0), lambda acc, p: acc + p["part"] * F.pow(F.lit(10.0), p["power"])).alias("line_sum"),
     )
 
 
@@ -48,7 +59,8 @@ def line_totals_nested(items: Column) -> tuple[Column, Column]:
 def with_line_totals(
     docs: DataFrame, page_tables: DataFrame | None = None, defaults: str = "reference"
 ) -> DataFrame:
-    """Add line_count and line_sum, from nested ``pages`` or from a long table of page tables.
+    """Add line_count and line_sum, from a long table of page tables, or from nested ``pages``
+    along with the items themselves as ``line_items``.
 
     Only invoices have line items; without any they get the default ones ('reference') or none.
     """
@@ -56,15 +68,21 @@ def with_line_totals(
     if page_tables is not None:
         totals = line_totals(line_items_from_tables(page_tables))
         docs = docs.join(totals, "doc_id", "left")
-    elif "pages" in docs.columns:
-        docs = docs.withColumn(
-            "line_items", F.when(invoice, page_line_items(F.col("pages")))
-        )
-        count, total = line_totals_nested(F.col("line_items"))
-        docs = docs.withColumns({"line_count": count, "line_sum": total})
     else:
-        docs = docs.withColumns({
-            "line_count": F.lit(0).cast("long"), "line_sum": F.lit(0.0)})
+        none = F.array().cast(f"array<{ITEM_TYPE}>")
+        shown = default_line_items() if defaults == "reference" else none
+        if "pages" not in docs.columns:
+            count, total = (len(DEFAULT_LINE_ITEMS), DEFAULT_LINE_SUM) if defaults == "reference" else (0, 0.0)
+            return docs.withColumns({
+                "line_items": F.when(invoice, shown).otherwise(none),
+                "line_count": F.when(invoice, count).otherwise(0).cast("long"),
+                "line_sum": F.when(invoice, total).otherwise(0.0),
+            })
+        found = evaluated(docs, _items=F.when(invoice, page_line_items(F.col("pages"))))
+        items = F.when(~invoice, none).when(F.size("_items") > 0, F.col("_items")).otherwise(shown)
+        docs = evaluated(found, line_items=items).drop("_items")
+        count, total = line_totals_nested(F.col("line_items"))
+        return evaluated(docs, line_count=count, line_sum=total)
     empty = F.coalesce(F.col("line_count"), F.lit(0)) == 0
     if defaults == "reference":
         count, total = F.lit(len(DEFAULT_LINE_ITEMS)), F.lit(DEFAULT_LINE_SUM)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerleaf.operators.extract import fields_long
+from ledgerleaf.operators.extract import fields_long, line_items_from_tables, with_default_items
 from ledgerleaf.operators.insights import insights_long
 from ledgerleaf.operators.passages import entities_long, sections_long
 from ledgerleaf.operators.validate import issues_long
@@ -29,9 +29,18 @@ def new_only(docs: DataFrame, stored: DataFrame) -> DataFrame:
     return docs.join(stored.select("doc_id"), "doc_id", "left_anti")
 
 
-def long_tables(processed: DataFrame) -> dict[str, DataFrame]:
-    """One row per field, section, entity, issue and insight, for analytics."""
+def line_items(processed: DataFrame, page_tables: DataFrame | None = None) -> DataFrame:
+    """One row per line item: those of a long table of page tables, or the nested ones."""
+    if page_tables is not None:
+        return with_default_items(line_items_from_tables(page_tables), processed)
+    return processed.select("doc_id", F.posexplode("line_items").alias("item_ord", "item")).select(
+        "doc_id", "item_ord", "item.*")
+
+
+def long_tables(processed: DataFrame, page_tables: DataFrame | None = None) -> dict[str, DataFrame]:
+    """One row per field, line item, section, entity, issue and insight, for analytics."""
     return {
+        "line_items": line_items(processed, page_tables),
         "fields": fields_long(processed),
         "sections": sections_long(processed),
         "entities": entities_long(processed),

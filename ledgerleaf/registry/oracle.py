@@ -12,7 +12,7 @@ from string import Formatter
 from ledgerleaf.functions.patterns import WHITESPACE, spell
 from ledgerleaf.functions.values import MONTH_NAMES
 from ledgerleaf.plans import pipeline
-from ledgerleaf.registry.queries import AS_OF, ASKED, QUESTION, RULE_KINDS
+from ledgerleaf.registry.queries import AS_OF, ASKED, QUESTION, SLUGS
 from ledgerleaf.rules import assistant as Q
 from ledgerleaf.rules import audit as A
 from ledgerleaf.rules import categories as C
@@ -132,7 +132,7 @@ def amount(cents: str) -> str:
 
 
 def documents(rows: str, kind: str, key: str, created: str, body: str) -> str:
-    names = S.TEXT_NAMES if kind == "text" else S.FILE_NAMES
+    names = {"text": S.TEXT_NAMES, "reject": S.REJECT_NAMES}.get(kind, S.FILE_NAMES)
     source = "source" if kind == "text" else "''"
     name = pick(key, [fill(n, key=key, kind=text(kind), source=source) for n in names], False)
     return f"""SELECT {key} * 8 + {S.KINDS.index(kind)} AS doc_id, {key} % 7 + 1 AS user_id,
@@ -211,7 +211,9 @@ cte("x_free", documents(
     "documents", "text", "doc_id", plus_days("1998-01-01", "doc_id % 900"), "text"))
 KIND_TABLES = {"invoices": "x_invoices", "contracts": "x_contracts", "audits": "x_audits",
                "identities": "x_identities", "claims": "x_claims", "free_texts": "x_free"}
-cte("x_raw", "\nUNION ALL ".join(f"SELECT * FROM {t}" for t in KIND_TABLES.values()))
+cte("x_rejects", documents(
+    "nation", "reject", "CAST(n_nationkey AS BIGINT)", plus_days("1998-01-01", "n_nationkey"), "n_name"))
+cte("x_raw", "\nUNION ALL ".join(f"SELECT * FROM {t}" for t in (*KIND_TABLES.values(), "x_rejects")))
 
 _extension = "lower(regexp_extract(original_name, '[^./][^/]*?(\\.[^./]*)\\z', 1))"
 _allowed = "(" + ", ".join(text(e) for e in pipeline.EXTENSIONS) + ")"
@@ -494,7 +496,7 @@ oracle("scan_text", """SELECT doc_id,
   regexp_replace(text, '\r\n?', chr(10), 'g') || chr(10) AS text FROM documents""")
 oracle("scan_pages", """SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page_number, text,
   1 AS tables, 612.0::DOUBLE AS width, 792.0::DOUBLE AS height FROM conversations""")
-oracle("assemble_pages", f"""SELECT doc_id, 0 AS part_no, count(*) AS part_pages,
+oracle("assemble_pages", f"""SELECT doc_id, count(*) AS page_count,
   {strip(_joined_pages)} AS text FROM ({_turn_pages}) GROUP BY doc_id""")
 oracle("split_pages", f"""SELECT doc_id, CAST(page_number AS INTEGER) AS page_number,
   CASE WHEN page_number = max(page_number) OVER (PARTITION BY doc_id)
@@ -520,8 +522,7 @@ def of_kind(name: str) -> str:
 
 
 oracle("apply_edits", f"""SELECT f.doc_id, f.field_ord, f.key, coalesce(e.new_value, f.value) AS value,
-  f.label FROM x_fields f LEFT JOIN ({_edits}) e ON e.doc_id = f.doc_id AND e.key = f.key
-WHERE f.{of_kind('invoices')}""")
+  f.label FROM x_fields f LEFT JOIN ({_edits}) e ON e.doc_id = f.doc_id AND e.key = f.key""")
 _left = "NOT IN (SELECT doc_id FROM x_checked WHERE validation_status = 'error')"
 oracle("cascade_delete", " UNION ALL ".join(
     f"SELECT '{name}' AS table_name, count(*) AS rows_left, CAST(sum(doc_id) AS BIGINT) AS id_sum "
@@ -548,13 +549,13 @@ cte("x_all_items", f"""SELECT i.doc_id, i.page_number, i.table_ord, i.item_ord,
   unit_price, total FROM x_items i JOIN x_class c USING (doc_id) WHERE c.category = {text(C.INVOICE)}
 UNION ALL SELECT c.doc_id, 1, 0, v.item_ord, v.description, v.quantity, v.unit_price, v.total
 FROM x_class c, (VALUES {_defaults}) v(item_ord, description, quantity, unit_price, total)
-WHERE c.category = {text(C.INVOICE)} AND c.{of_kind('invoices')}
+WHERE c.category = {text(C.INVOICE)}
   AND c.doc_id NOT IN (SELECT doc_id FROM x_items)""")
 oracle("line_items", "SELECT * FROM x_all_items")
 oracle("export_items", """SELECT doc_id, description AS "Description", quantity AS "Quantity",
   unit_price AS "Unit Price", total AS "Total" FROM x_all_items""")
 oracle("json_decode", f"""SELECT f.doc_id, c.issues_count, f.key, f.value, f.confidence, f.label
-FROM x_fields f JOIN x_checked c USING (doc_id) WHERE {of_kind('audits')}""")
+FROM x_fields f JOIN x_checked c USING (doc_id)""")
 
 _slim = "doc_id, original_name, category, validation_status"
 oracle("filter_category", f"SELECT {_slim} FROM x_checked WHERE category = 'Legal Contract'")
@@ -574,7 +575,8 @@ _with_intel = """SELECT r.doc_id, r.original_name, c.category, c.validation_stat
 FROM x_raw r LEFT JOIN x_counts c USING (doc_id)"""
 oracle("docs_left_intel", _with_intel)
 oracle("doc_by_id", _with_intel + f" WHERE r.doc_id = {56 * 8}")
-_requests = "SELECT o_orderkey * 8 AS doc_id FROM orders"
+_requests = ("SELECT o_orderkey * 8 AS doc_id FROM orders "
+             f"UNION ALL SELECT n_nationkey * 8 + {S.KINDS.index('reject')} FROM nation")
 oracle("known_docs", f"SELECT doc_id FROM ({_requests}) WHERE doc_id IN (SELECT doc_id FROM x_docs)")
 oracle("unknown_docs",
        f"SELECT doc_id FROM ({_requests}) WHERE doc_id NOT IN (SELECT doc_id FROM x_docs)")
@@ -624,13 +626,13 @@ oracle("pattern_scores", "SELECT doc_id, category, pat AS points FROM x_points")
 oracle("category_scores", "SELECT doc_id, category, ord, score FROM x_scores")
 oracle("classify_docs", "SELECT doc_id, category, category_confidence, best_score FROM x_class")
 oracle("classify_fallback", f"""SELECT doc_id, original_name, category, category_confidence,
-  best_score < 10 AS weak FROM x_class WHERE {of_kind('free_texts')}""")
+  best_score < 10 AS weak FROM x_class""")
 
-for _name, _kind in (("invoice", "invoices"), ("contract", "contracts"), ("audit", "audits"),
-                     ("identity", "identities"), ("generic", "claims")):
+for _name, _category in SLUGS.items():
+    _own = f"category = {text(_category)}" if _category else f"category NOT IN ({_named})"
     oracle(f"fields_{_name}", f"""SELECT doc_id, category, field_ord, key, value, is_default
-FROM x_fields WHERE {of_kind(_kind)}""")
-    oracle(f"insights_{_name}", f"SELECT * FROM x_insights WHERE {of_kind(_kind)}")
+FROM x_fields WHERE {_own}""")
+    oracle(f"insights_{_name}", f"SELECT * FROM x_insights WHERE {_own}")
 oracle("fields_long", """SELECT doc_id, category, field_ord, key, value, confidence, page, label,
   is_default FROM x_fields""")
 oracle("extraction_coverage", """SELECT category, key, count(*) AS documents,
@@ -643,7 +645,7 @@ for _i, _name in enumerate(("money", "date", "id", "email")):
 oracle("entities", "SELECT doc_id, entity_ord, type, value FROM x_entities")
 oracle("entities_distinct", "SELECT doc_id, type, value, first_ord, times FROM x_distinct")
 oracle("entity_totals",
-       "SELECT type, value, count(*) AS documents FROM x_entities GROUP BY type, value")
+       "SELECT type, value, count(*) AS documents FROM x_distinct GROUP BY type, value")
 oracle("doc_lines", "SELECT doc_id, line_no, line FROM x_lines")
 oracle("section_headers", "SELECT doc_id, line_no, line FROM x_marked WHERE is_heading")
 oracle("sections", "SELECT doc_id, section_ord, title, content FROM x_sections")
@@ -664,8 +666,7 @@ oracle("validation_score", "SELECT doc_id, validation_score FROM x_checked")
 oracle("validation_status", """SELECT category, validation_status, count(*) AS documents
 FROM x_checked GROUP BY category, validation_status""")
 for _rule in A.CATEGORY_ISSUES:
-    oracle(f"rule_{_rule.code.lower()}", f"""SELECT * FROM x_issues WHERE code = '{_rule.code}'
-AND {of_kind(RULE_KINDS[_rule.category])}""")
+    oracle(f"rule_{_rule.code.lower()}", f"SELECT * FROM x_issues WHERE code = '{_rule.code}'")
 cte("x_wide_null", wide("x_fields_null"))
 cte("x_read_null", readings("x_wide_null")
     .replace(f"coalesce(t.line_count, {len(X.DEFAULT_LINE_ITEMS)})", "coalesce(t.line_count, 0)")
@@ -677,7 +678,7 @@ _lowered = "CAST(CAST(confidence AS DECIMAL(4, 2)) - 0.1 AS DOUBLE)"
 _low_issues = ranked_issues(
     category_issues("x_read") + "\nUNION ALL " + field_issues("x_fields", _lowered))
 oracle("rule_low_confidence",
-       f"SELECT * FROM ({_low_issues}) WHERE code = 'LOW_CONFIDENCE' AND {of_kind('contracts')}")
+       f"SELECT * FROM ({_low_issues}) WHERE code = 'LOW_CONFIDENCE'")
 
 _intents = " ".join(
     f"WHEN {any_of('lower(text)', words)} THEN {text(intent)}" for intent, words in Q.TRIGGERS.items())
@@ -716,13 +717,15 @@ WHERE {where}"""
 
 
 oracle("process_batch", counted("c.validation_score,"))
-oracle("process_stream", counted(where=of_kind("free_texts")))
-oracle("process_incremental", counted(where=(
-    f"{of_kind('free_texts')} AND doc_id NOT IN (SELECT doc_id * 8 + 5 FROM labels)")))
+oracle("process_stream", counted("c.validation_score,", of_kind("free_texts")))
+oracle("process_incremental", counted(
+    "c.validation_score,", "doc_id NOT IN (SELECT doc_id * 8 + 5 FROM labels)"))
+_counted = ("category", "category_confidence", "validation_status", "validation_score", "fields_count",
+            "sections_count", "entities_count", "issues_count", "insights_count")
 oracle("reprocess", f"""SELECT doc_id, CASE WHEN again THEN 'reprocessed' ELSE 'stored' END AS state,
-  CASE WHEN again THEN category END AS category
-FROM (SELECT *, doc_id IN (SELECT doc_id * 8 + 5 FROM labels) AS again FROM x_class)
-WHERE {of_kind('free_texts')}""")
+  {', '.join(f'CASE WHEN again THEN {c} END AS {c}' for c in _counted)}
+FROM (SELECT *, doc_id IN (SELECT doc_id * 8 + 5 FROM labels) AS again
+  FROM ({counted("c.validation_score,")}))""")
 
 # Edited invoices: the wide row with another total, then the same rules again.
 cte("x_edits", _edits)

@@ -40,17 +40,18 @@ def plan(function):
 
 @plan
 def raw(spark, sf_dir):
-    return corpora.corpus(spark, sf_dir)
+    """Every uploaded document, files of extensions that are not accepted included."""
+    return corpora.corpus(spark, sf_dir).unionByName(corpora.rejects(spark, sf_dir))
 
 
 @plan
 def docs(spark, sf_dir):
-    return pipeline.accepted(raw(spark, sf_dir))
+    return pipeline.accepted(corpora.corpus(spark, sf_dir))
 
 
 @plan
 def kind(spark, sf_dir, name):
-    return pipeline.accepted(corpora.spread(getattr(corpora, name)(spark, sf_dir)))
+    return pipeline.accepted(getattr(corpora, name)(spark, sf_dir))
 
 
 @plan
@@ -95,6 +96,7 @@ def edits(spark, sf_dir):
         (F.col("o_orderkey") * 8).alias("doc_id"),
         F.when(urgent, "grand_total").otherwise("cost_center").alias("key"),
         F.when(urgent, F.format_number("o_totalprice", 2)).otherwise("4812").alias("value"),
+        F.col("o_orderkey").alias("edit_no"),
     ).withColumn("value", F.concat(F.lit("  "), "value", F.lit("\n")))
 
 
@@ -188,7 +190,7 @@ def upsert_latest(spark, sf_dir):
 
 @query
 def apply_edits(spark, sf_dir):
-    fields = extract.fields_long(understood(spark, sf_dir, "invoices"))
+    fields = extract.fields_long(understood(spark, sf_dir))
     return changes.apply_edits(fields, edits(spark, sf_dir)).select(
         "doc_id", "field_ord", "key", "value", "label"
     )
@@ -245,7 +247,7 @@ def export_items(spark, sf_dir):
 def json_decode(spark, sf_dir):
     """Fields and issues to JSON text and back."""
     stored = exports.encode_nested(
-        audited(spark, sf_dir, "audits").select("doc_id", "fields", "issues"),
+        audited(spark, sf_dir).select("doc_id", "fields", "issues"),
         ("fields", "issues"),
     )
     typed = exports.decode_nested(
@@ -323,7 +325,8 @@ def doc_by_id(spark, sf_dir):
 
 
 def _requests(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 8).alias("doc_id"))
+    orders = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 8).alias("doc_id"))
+    return orders.unionByName(corpora.rejects(spark, sf_dir).select("doc_id"))
 
 
 @query
@@ -456,9 +459,8 @@ def classify_docs(spark, sf_dir):
 
 @query
 def classify_fallback(spark, sf_dir):
-    """Free texts, most of which leave the decision to the file name."""
-    rows = classify.classify(pipeline.prepare(kind(spark, sf_dir, "free_texts")))
-    return rows.select(
+    """Most free texts leave the decision to the file name."""
+    return classified(spark, sf_dir).select(
         "doc_id", "original_name", "category", "category_confidence",
         (F.col("best_score") < C.WEAK_SCORE).alias("weak"),
     )
@@ -466,34 +468,27 @@ def classify_fallback(spark, sf_dir):
 
 # --- extraction -----------------------------------------------------------------------------
 
-def _fields(spark, sf_dir, name):
-    return extract.fields_long(understood(spark, sf_dir, name)).select(
-        "doc_id", "category", "field_ord", "key", "value", "is_default")
+#: Categories with rules of their own, by the end of their queries' names; None stands for all others.
+SLUGS = {"invoice": C.INVOICE, "contract": C.CONTRACT, "audit": C.AUDIT, "identity": C.IDENTITY,
+         "generic": None}
 
 
-@query
-def fields_invoice(spark, sf_dir):
-    return _fields(spark, sf_dir, "invoices")
-
-
-@query
-def fields_contract(spark, sf_dir):
-    return _fields(spark, sf_dir, "contracts")
-
+def in_category(category):
+    if category:
+        return F.col("category") == category
+    return ~F.col("category").isin(*(c for c in SLUGS.values() if c))
 
-@query
-def fields_audit(spark, sf_dir):
-    return _fields(spark, sf_dir, "audits")
 
+def _fields(category):
+    def run(spark, sf_dir):
+        return extract.fields_long(understood(spark, sf_dir).where(in_category(category))).select(
+            "doc_id", "category", "field_ord", "key", "value", "is_default")
 
-@query
-def fields_identity(spark, sf_dir):
-    return _fields(spark, sf_dir, "identities")
+    return run
 
 
-@query
-def fields_generic(spark, sf_dir):
-    return _fields(spark, sf_dir, "claims")
+for _slug, _category in SLUGS.items():
+    QUERIES[f"fields_{_slug}"] = _fields(_category)
 
 
 @query
@@ -509,7 +504,7 @@ def extraction_coverage(spark, sf_dir):
 @query
 def line_items(spark, sf_dir):
     items = extract.line_items_from_tables(tables(spark, sf_dir))
-    return extract.with_default_items(items, understood(spark, sf_dir, "invoices"))
+    return extract.with_default_items(items, classified(spark, sf_dir))
 
 
 # --- entities and sections ------------------------------------------------------------------
@@ -553,9 +548,8 @@ def entities(spark, sf_dir):
 
 @query
 def entity_spans(spark, sf_dir):
-    """Spans of the entities of the free texts, with the text they cover."""
-    rows = passages.extract_entities(kind(spark, sf_dir, "free_texts"))
-    return rows.select("doc_id", "text", F.explode(F.slice("entities", 1, 25)).alias("e")).select(
+    """Spans of the entities, with the text they cover."""
+    return entitied(spark, sf_dir).select("doc_id", "text", F.explode(F.slice("entities", 1, 25)).alias("e")).select(
         "doc_id", "e.type", "e.value",
         F.col("e.span")[0].alias("span_start"), F.col("e.span")[1].alias("span_end"),
         F.substring(
@@ -571,7 +565,7 @@ def entities_distinct(spark, sf_dir):
 
 @query
 def entity_totals(spark, sf_dir):
-    return passages.entity_totals(entitied(spark, sf_dir))
+    return passages.entity_totals(texts(spark, sf_dir))
 
 
 @query
@@ -639,17 +633,15 @@ def validation_status(spark, sf_dir):
         F.count("*").alias("documents"))
 
 
-def _rule(code, name):
+def _rule(code):
     def run(spark, sf_dir):
-        return validate.issues_long(audited(spark, sf_dir, name)).where(F.col("code") == code)
+        return validate.issues_long(audited(spark, sf_dir)).where(F.col("code") == code)
 
     return run
 
 
-RULE_KINDS = {C.INVOICE: "invoices", C.CONTRACT: "contracts", C.AUDIT: "audits",
-              C.IDENTITY: "identities"}
 for _issue in audit_rules.CATEGORY_ISSUES:
-    QUERIES[f"rule_{_issue.code.lower()}"] = _rule(_issue.code, RULE_KINDS[_issue.category])
+    QUERIES[f"rule_{_issue.code.lower()}"] = _rule(_issue.code)
 
 
 @query
@@ -662,25 +654,25 @@ def rule_missing_field(spark, sf_dir):
 @query
 def rule_low_confidence(spark, sf_dir):
     """Imported fields whose confidence was lowered by a tenth."""
-    lowered = understood(spark, sf_dir, "contracts").drop("text", "first_page").withColumn(
+    lowered = understood(spark, sf_dir).drop("text", "first_page").withColumn(
         "fields",
         F.transform(
             "fields", lambda f: f.withField("confidence", F.round(f["confidence"] - 0.1, 2))),
     )
-    checked = validate.validate(validate.with_line_totals(lowered), AS_OF)
+    checked = validate.validate(
+        validate.with_line_totals(lowered, tables(spark, sf_dir)), AS_OF)
     return validate.issues_long(checked).where(F.col("code") == "LOW_CONFIDENCE")
 
 
-def _insights(name):
+def _insights(category):
     def run(spark, sf_dir):
-        return insights_long(advised(spark, sf_dir, name))
+        return insights_long(advised(spark, sf_dir).where(in_category(category)))
 
     return run
 
 
-for _slug, _kind in (("invoice", "invoices"), ("contract", "contracts"), ("audit", "audits"),
-                     ("identity", "identities"), ("generic", "claims")):
-    QUERIES[f"insights_{_slug}"] = _insights(_kind)
+for _slug, _category in SLUGS.items():
+    QUERIES[f"insights_{_slug}"] = _insights(_category)
 
 
 # --- questions ------------------------------------------------------------------------------
@@ -735,16 +727,12 @@ def process_batch(spark, sf_dir):
     return _counts(pipeline.process(docs(spark, sf_dir), tables(spark, sf_dir), as_of=AS_OF))
 
 
-def _free_counts(processed):
-    return _counts(processed).drop("validation_score")
-
-
 @query
 def process_incremental(spark, sf_dir):
-    """Free texts that are not among the labelled ones, which count as stored already."""
+    """Documents that are not among the labelled texts, which count as stored already."""
     stored = table(spark, sf_dir, "labels").select((F.col("doc_id") * 8 + 5).alias("doc_id"))
-    fresh = warehouse.new_only(kind(spark, sf_dir, "free_texts"), stored)
-    return _free_counts(pipeline.process(fresh, as_of=AS_OF))
+    fresh = warehouse.new_only(docs(spark, sf_dir), stored)
+    return _counts(pipeline.process(fresh, tables(spark, sf_dir), as_of=AS_OF))
 
 
 @query
@@ -757,20 +745,22 @@ def process_stream(spark, sf_dir):
         corpora.name_texts(arriving), out, shared_dir(spark, "stream-state"),
         lambda rows: pipeline.process(rows, as_of=AS_OF),
     ).awaitTermination()
-    return _free_counts(spark.read.parquet(out))
+    return _counts(spark.read.parquet(out))
 
 
 @query
 def reprocess(spark, sf_dir):
-    """Labelled free texts run through the pipeline again and replace their stored rows."""
-    everything = kind(spark, sf_dir, "free_texts")
+    """Labelled texts run through the whole pipeline again and replace their stored rows."""
+    everything = docs(spark, sf_dir)
     again = search.known(
         everything, table(spark, sf_dir, "labels").select(
             (F.col("doc_id") * 8 + 5).alias("doc_id")))
+    done = _counts(pipeline.process(again, as_of=AS_OF)).withColumns({
+        "state": F.lit("reprocessed"), "version": F.lit(1)})
     stored = everything.select(
-        "doc_id", F.lit("stored").alias("state"), F.lit(None).cast("string").alias("category"))
-    done = pipeline.understand(again).select(
-        "doc_id", F.lit("reprocessed").alias("state"), "category")
+        "doc_id", F.lit("stored").alias("state"),
+        *(F.lit(None).cast(f.dataType).alias(f.name) for f in done.schema
+          if f.name not in ("doc_id", "state", "version")))
     return changes.upsert(stored, done)
 
 

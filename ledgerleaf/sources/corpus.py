@@ -12,9 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerleaf.functions.text import fill
-from ledgerleaf.sources.tables import balanced, table
+from ledgerleaf.sources.tables import table
 
-KINDS = ("invoice", "contract", "audit", "identity", "claim", "text")
+KINDS = ("invoice", "contract", "audit", "identity", "claim", "text", "reject")
 
 INVOICE_TEXT = """{vendor}
 TAX INVOICE
@@ -91,7 +91,8 @@ LAWS = ("State of Delaware", "England and Wales", "Singapore", "State of New Yor
 AUDIT_STATES = ("PASSED", "FAILED", "CONDITIONAL", "ACTION REQUIRED")
 FIRST_NAMES = ("Ana", "Bruno", "Chen", "Dalia", "Emre")
 NATIONS = ("Kenya", "Peru", "Japan", "Norway", "Canada", "Egypt")
-FILE_NAMES = ("{kind}_{key}.txt", "scan-{key}.PDF", "{kind}.{key}.jpeg", "page {key}.docx")
+FILE_NAMES = ("{kind}_{key}.txt", "scan-{key}.PDF", "{kind}.{key}.jpeg", "page {key}.png")
+REJECT_NAMES = ("page {key}.docx", "{kind}_{key}", ".{key}")
 TEXT_NAMES = ("{source}_{key}.txt", "contract_{key}.txt", "bill-{key}.pdf", "audit {key}.txt",
               "kyc_{key}.png", "nda.{key}.txt", "passport_{key}.jpg", "note_{key}.txt")
 
@@ -127,7 +128,7 @@ def amount(cents: Column) -> Column:
 
 
 def _documents(rows: DataFrame, kind: str, key: Column, created: Column, text: Column) -> DataFrame:
-    names = TEXT_NAMES if kind == "text" else FILE_NAMES
+    names = {"text": TEXT_NAMES, "reject": REJECT_NAMES}.get(kind, FILE_NAMES)
     source = F.col("source") if kind == "text" else F.lit("")
     name = pick(key, [
         fill(n, key=key, kind=F.lit(kind), source=source) for n in names
@@ -212,7 +213,7 @@ def invoice_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = F.filter(cells, lambda cell, i: (i != 1) | cell.isNull())
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    return balanced(lines).select(
+    return lines.select(
         (c("l_orderkey") * 8).alias("doc_id"),
         c("l_linenumber").cast("int").alias("page_number"),
         c("l_suppkey").alias("table_ord"),
@@ -304,18 +305,16 @@ def free_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_texts(table(spark, sf_dir, "documents"))
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """Hash documents by id over the cluster. Reading text is heavy on the processor and light on
-    bytes, so a size-based partition count would leave cores idle; later joins on doc_id reuse
-    this partitioning."""
-    spark = docs.sparkSession
-    count = max(
-        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+def rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few files of an extension that is not accepted."""
+    key = F.col("n_nationkey").cast("long")
+    return _documents(
+        table(spark, sf_dir, "nation"), "reject", key,
+        plus_days("1998-01-01", key), F.col("n_name"),
     )
-    return docs.repartition(count, "doc_id")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All six kinds of document."""
+    """All six kinds of document, as many partitions as the scans have splits."""
     kinds = (invoices, contracts, audits, identities, claims, free_texts)
-    return spread(reduce(DataFrame.unionByName, (kind(spark, sf_dir) for kind in kinds)))
+    return reduce(DataFrame.unionByName, (kind(spark, sf_dir) for kind in kinds))

@@ -21,11 +21,11 @@ def _marked(page):
 
 
 def assemble(pages: DataFrame, pages_per_part: int = PAGES_PER_PART) -> DataFrame:
-    """Text of each document from its pages, in page order, with a marker before every page.
+    """Text of each document from its pages, in page order, with a marker before every page:
+    doc_id, page_count, text. One row per document, whatever its length.
 
-    A document of more pages than fit a part comes as several rows (doc_id, part_no): parts are cut
-    by page number, so no task ever gathers more than pages_per_part pages. The parts of a
-    document joined in order are its text; only the outer ends are stripped.
+    Pages are first joined to parts, cut by page number, then parts to the text, so the sorting of a
+    long document is spread over tasks; only the few joined parts meet.
     """
     part = F.floor((F.col("page_number") - 1) / pages_per_part).cast("int")
     parts = (
@@ -40,19 +40,12 @@ def assemble(pages: DataFrame, pages_per_part: int = PAGES_PER_PART) -> DataFram
             F.array_join(F.transform("page_rows", _marked), "").alias("text"),
         )
     )
-    last = parts.groupBy("doc_id").agg(F.max("part_no").alias("last_part"))
-    blanks = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-    both = (F.col("part_no") == 0) & (F.col("part_no") == F.col("last_part"))
-    return parts.join(last, "doc_id").select(
-        "doc_id", "part_no", "part_pages",
-        F.when(both, strip(F.col("text")))
-        .when(F.col("part_no") == 0, F.regexp_replace("text", rf"\A{blanks}+", ""))
-        .when(
-            F.col("part_no") == F.col("last_part"),
-            F.regexp_replace("text", rf"{blanks}+\z", ""),
-        )
-        .otherwise(F.col("text")).alias("text"),
+    joined = parts.groupBy("doc_id").agg(
+        F.sum("part_pages").alias("page_count"),
+        F.sort_array(F.collect_list(F.struct("part_no", "text"))).alias("parts"),
     )
+    return joined.select(
+        "doc_id", "page_count", strip(F.array_join(F.col("parts")["text"], "")).alias("text"))
 
 
 def split_pages(docs: DataFrame) -> DataFrame:

@@ -7,10 +7,3 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def balanced(rows: DataFrame) -> DataFrame:
-    """A scan with fewer splits than the cluster has cores is dealt out evenly; one with enough of
-    them, as any large table has, is left as it is."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -68,8 +68,8 @@ def test_mismatched_invoice(spark):
 def test_edited_total(spark):
     docs = given(spark, C.INVOICE, grand_total="10,250.00", **F3)
     edits = spark.createDataFrame(
-        [(1, "grand_total", " 9,350.00 "), (1, "no_such_field", "x")],
-        "doc_id bigint, key string, value string")
+        [(1, "grand_total", " 9,350.00 ", 2), (1, "no_such_field", "x", 1), (1, "grand_total", "9,999.00", 1)],
+        "doc_id bigint, key string, value string, edit_no int")
     row = changes.recompute(docs, edits).first()
     assert ([i.code for i in row.issues], row.validation_score) == (["INVOICE_OVERDUE"], 85)
     assert [f.value for f in row.fields if f.key == "grand_total"] == ["9,350.00"]
@@ -224,14 +224,15 @@ def test_text_files_batch_and_stream(spark, tmp_path):
         "Scanned/Image document: empty.txt\nVisual OCR processed."}
 
 
-def test_long_document_comes_in_parts(spark):
+def test_long_document_is_one_row(spark):
     rows = [(1, n, f" page {n} \n") for n in range(1, 8)] + [(2, 1, "only")]
     df = spark.createDataFrame(rows, "doc_id bigint, page_number int, text string")
     whole = {r.doc_id: r.text for r in pages.assemble(df).collect()}
     assert whole[1] == "".join(f"\n--- Page {n} ---\n{t}" for _, n, t in rows[:7]).strip()
-    parts = pages.assemble(df, pages_per_part=3).orderBy("doc_id", "part_no").collect()
-    assert [p.part_no for p in parts] == [0, 1, 2, 0]
-    assert "".join(p.text for p in parts if p.doc_id == 1) == whole[1]
+    cut = {r.doc_id: (r.page_count, r.text) for r in pages.assemble(df, pages_per_part=3).collect()}
+    assert cut == {1: (7, whole[1]), 2: (1, whole[2])}
+    late = pages.assemble(df.where("page_number > 5"), pages_per_part=3).first()
+    assert late.text.startswith("--- Page 6 ---") and late.page_count == 2
     back = pages.split_pages(pages.assemble(df)).orderBy("doc_id", "page_number").collect()
     assert [r.text.strip() for r in back] == [t.strip() for _, _, t in rows]
 
@@ -239,7 +240,6 @@ def test_long_document_comes_in_parts(spark):
 def test_hot_documents_are_salted(spark, monkeypatch):
     from ledgerleaf.functions import skew
 
-    monkeypatch.setattr(skew, "SALT_FROM", 10)
     monkeypatch.setattr(skew, "HOT_SHARE", 5)
     many = spark.range(3000).selectExpr("id AS question_id", "if(id % 3 = 0, 0, id % 50) AS doc_id")
     one = spark.range(40).selectExpr("id AS doc_id", "concat('d', id) AS name")
@@ -291,21 +291,52 @@ def test_store_and_reload(spark, tmp_path):
     assert {r.mime_type for r in stored.collect()} == {"application/pdf"}
     assert warehouse.new_only(docs, stored).count() == 0
     assert warehouse.long_tables(stored)["fields"].count() == 12
+    assert warehouse.long_tables(stored)["line_items"].count() == len(X.DEFAULT_LINE_ITEMS)
 
 
 def test_export_json(spark):
     import json
 
     from ledgerleaf.operators import exports
-    from ledgerleaf.operators.extract import ITEM_TYPE
 
     docs = documents(spark, ("test_invoice.txt", SMALL_INVOICE)).withColumns({
         "created_at": F.lit("2026-09-20 10:00:00").cast("timestamp_ntz")})
-    processed = pipeline.process(docs).withColumn(
-        "line_items", F.array().cast(f"array<{ITEM_TYPE}>"))
+    processed = pipeline.process(docs)
     out = json.loads(exports.export_json(processed).first().json)
     assert list(out) == ["export_metadata", "extracted_fields", "line_items",
                          "validation_issues", "knowledge_insights"]
     assert out["export_metadata"]["processed_at"] == "2026-09-20 10:00:00"
     assert out["extracted_fields"]["vendor_name"] == "Alpha Cloud"
+    assert [i["total"] for i in out["line_items"]] == [i[-1] for i in X.DEFAULT_LINE_ITEMS]
     assert len(out["knowledge_insights"]) == 3 and out["validation_issues"] == []
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_changes_do_not_depend_on_row_order(spark, turned):
+    def frame(rows, schema):
+        return spark.createDataFrame(rows[::-1] if turned else rows, schema)
+
+    current = frame([(1, "old"), (2, "kept")], "doc_id bigint, state string")
+    incoming = frame([(1, "first", 1), (1, "second", 2), (3, "new", 1)], "doc_id bigint, state string, version int")
+    got = changes.upsert(current, incoming).collect()
+    assert sorted(map(tuple, got)) == [(1, "second"), (2, "kept"), (3, "new")]
+    fields = frame([(1, "a", "x"), (1, "b", "y")], "doc_id bigint, key string, value string")
+    edits = frame([(1, "a", " zz", 1), (1, "a", "aa ", 2), (1, "c", "-", 3)],
+                  "doc_id bigint, key string, value string, edit_no int")
+    got = changes.apply_edits(fields, edits).collect()
+    assert sorted(map(tuple, got)) == [(1, "a", "aa"), (1, "b", "y")]
+
+
+def test_long_amounts_are_summed(spark):
+    items = spark.createDataFrame(
+        [(1, "$" + "9" * 25), (1, "1.50"), (2, "2.25"), (2, ""), (3, "9" * 400)], "doc_id bigint, total string")
+    got = {r.doc_id: (r.line_count, r.line_sum) for r in validate.line_totals(items).collect()}
+    assert got[1][0] == 2 and got[1][1] == pytest.approx(1e25)
+    assert got[2] == (2, 2.25) and got[3] == (1, float("inf"))
+
+
+def test_messages_in_order(spark):
+    rows = spark.createDataFrame(
+        [(1, 3, "2026-01-02"), (2, 1, "2026-01-01"), (1, 2, "2026-01-02"), (1, 9, "2026-01-01")],
+        "doc_id bigint, message_id int, created_at string")
+    assert [r.message_id for r in changes.chat_history(rows, 1).collect()] == [9, 2, 3]
