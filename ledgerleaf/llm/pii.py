@@ -10,7 +10,7 @@ punctuated; the permutation is a bijection, so different values stay different.
 | card | 13-19 digits, Luhn | first digit, separators; the check digit is computed anew |
 | iban | country, length, mod 97 | country, separators; the check digits are computed anew |
 | ssn | area, group and serial in use | separators |
-| phone | +, 8-15 digits; or 10 digits as area, exchange, line | country code, separators |
+| phone | +, 8-15 digits; or 10 digits as area, exchange, line | country code, separators; whether area and exchange behind +1 are in use |
 | ip | four numbers up to 255 | dots |
 | date | a day of the calendar, 1900 to 2099 | order and width of day, month and year |
 | email | one @, a domain with a dot | domain, punctuation, kind of each character |
@@ -46,7 +46,9 @@ _FOUND = re.compile(
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}(?P<sep>[./-])[0-9]{1,2}(?P=sep)[0-9]{4})(?![\w/-]|\.[0-9]))"
     r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))"
-    r"|(?P<phone>(?<![\w+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}(?![\w])|(?<![\w+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-]))"
+    r"|(?P<phone>(?<![\w+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\w)"
+    r"|(?<![\w+])\+[0-9]{1,3}(?:(?! (?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9]{4}-[0-9]{1,2}-[0-9]{1,2})(?!\w|\.[0-9]))[ .-]?\(?[0-9]{1,5}\)?){2,6}(?![\w])"
+    r"|(?<![\w+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))"
 )
@@ -159,9 +161,11 @@ class Permuter:
         code = "" if text[0] != "+" else digits[0] if digits[0] in "17" else digits[:2]
         rest = digits[len(code):]
         if code in ("", "1") and len(rest) == 10:
-            if not _american(rest):
+            if _american(rest):
+                return _refill(text, code + self.digits("phone1", rest, _american))
+            if not code:
                 return text
-            return _refill(text, code + self.digits("phone1", rest, _american))
+            return _refill(text, code + self.digits("phone1 other", rest, lambda d: not _american(d)))
         return _refill(text, code + self.digits("phone" + code, rest))
 
     def _ip(self, text: str) -> str:

@@ -48,3 +48,22 @@ def test_texts(spark):
     assert len(values) == 9 and all(v not in got[1].text for v in values) and got[1].found == 9
     assert got[5].text == "x " * 50_000 + got[1].text and len(got[1].text.split()) == len(dirty.split())
     assert pii.pseudonymise(docs.limit(0), KEY).count() == 0
+
+
+def test_phones_of_areas_not_in_use():
+    p = pii.Permuter(KEY)
+    given = [f"+1 ({area}) {exchange}-7713" for area in ("017", "117", "543") for exchange in ("555", "055", "155")]
+    new = [p.text(f"call {g} now")[0][5:-4] for g in given]
+    assert len({*new}) == len(given) and not {*new} & {*given}
+    assert all(re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", n) for n in new)
+    used = [bool(re.match(r"\+1 \([2-9]..\) [2-9]", x)) for x in given]
+    assert used == [bool(re.match(r"\+1 \([2-9]..\) [2-9]", x)) for x in new] and any(used) and not all(used)
+    assert re.sub(r"\D", "", p.text("+10175557713")[0]) == re.sub(r"\D", "", new[0])
+
+
+def test_phone_before_an_address_or_a_day():
+    p = pii.Permuter(KEY)
+    for phone in ("+1 (826) 555-4081", "+44 20 7946 0958"):
+        for other in ("190.137.223.204", "2024-08-05"):
+            got, n = p.text(f"{phone} {other} du")
+            assert n == 2 and got == f"{p.text(phone)[0]} {p.text(other)[0]} du" and phone not in got and other not in got
