@@ -14,7 +14,7 @@ punctuated; the permutation is a bijection, so different values stay different.
 | ip | four numbers up to 255 | dots |
 | date | a day of the calendar, 1900 to 2099 | order and width of day, month and year |
 | email | one @, a domain with a dot | domain, punctuation, kind of each character |
-| secret | access key id, or a value after password, token, secret, api key | kind of each character |
+| secret | access key id; or what follows password, token, secret, api key: up to the closing quote, else to white space | kind of each character |
 
 Defined cases: a null text stays null, an empty one empty; numbers that fail their check are left as they
 are; repeated rows change alike; all other columns pass through whatever their names; an empty table
@@ -27,6 +27,7 @@ import datetime
 import hashlib
 import re
 import string
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,12 +38,16 @@ from pyspark.sql.types import LongType, StructField, StructType
 ROUNDS = 8
 #: Pseudonyms a worker remembers at most.
 REMEMBERED = 200_000
+#: Characters permuted as one number, and of the longest value that is remembered.
+BLOCK = 256
 
-_ANY = re.compile("[0-9@=]")
+#: Every value below holds one of these.
+_ANY = re.compile("[0-9@:=]|A[KS]IA")
 _FOUND = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]{0,62}[A-Za-z0-9])?@[A-Za-z0-9](?:[A-Za-z0-9.-]{0,250}[A-Za-z0-9])?\.[A-Za-z]{2,24}(?![\w-]))"
     r"|(?P<key>(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9]))"
-    r"|(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b[ \t]{0,3}[:=][ \t]{0,3}[\"']?)(?P<secret>[A-Za-z0-9_+/.-]{0,200}[A-Za-z0-9])"
+    r"|(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b[ \t]{0,3}[:=][ \t]{0,3})"
+    r"(?:(?P<quote>[\"'])(?=(?:(?!(?P=quote))[^\n])++(?P=quote)(?!\w)))?(?(quote)|[\"']?)(?P<secret>(?(quote)(?:(?!(?P=quote))[^\n])++|\S*[^\W_]))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}(?P<sep>[./-])[0-9]{1,2}(?P=sep)[0-9]{4})(?![\w/-]|\.[0-9]))"
     r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))"
@@ -105,6 +110,15 @@ class Permuter:
             out.append(letters[at])
         return "".join(reversed(out))
 
+    def blocks(self, kind: str, text: str, alphabets: list[str]) -> str:
+        """Permute a text of any length, each block under what stands before it."""
+        out, before = [], ""
+        for start in range(0, len(text), BLOCK):
+            part = text[start:start + BLOCK]
+            out.append(self.characters(kind + before, part, alphabets[start:start + BLOCK]))
+            before = hashlib.blake2b((before + part).encode(), key=self.key, digest_size=16).hexdigest()
+        return "".join(out)
+
     def digits(self, kind: str, text: str, valid=lambda _: True) -> str:
         """Permute a digit string, on until it is valid."""
         while True:
@@ -115,17 +129,20 @@ class Permuter:
     def by_class(self, kind: str, text: str) -> str:
         """Permute letters and digits, each within its kind; hexadecimal text stays that."""
         hexa = next((letters for letters in _HEX if len(text) >= 8 and _is_hex(text, letters)), None)
-        at = [i for i, c in enumerate(text) if any(c in letters for letters in _CLASSES)]
-        alphabets = [hexa or next(letters for letters in _CLASSES if text[i] in letters) for i in at]
+        found = [hexa or next((letters for letters in _CLASSES if c in letters), "" if c.isascii() else _alike(c)) for c in text]
+        at = [i for i, letters in enumerate(found) if letters]
+        alphabets = [found[i] for i in at]
         new = list(text)
         while True:
-            for i, c in zip(at, self.characters(kind, "".join(new[i] for i in at), alphabets)):
+            for i, c in zip(at, self.blocks(kind, "".join(new[i] for i in at), alphabets)):
                 new[i] = c
             if not hexa or _is_hex("".join(new), hexa):
                 break
         return "".join(new)
 
     def value(self, kind: str, text: str) -> str:
+        if len(text) > BLOCK:
+            return getattr(self, f"_{kind}")(text)
         if (found := self.known.get((kind, text))) is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
@@ -199,7 +216,8 @@ class Permuter:
         return text[:4] + self.characters("key", text[4:], [string.ascii_uppercase + string.digits] * 16)
 
     def _secret(self, text: str) -> str:
-        return self.by_class("secret", text)
+        core = re.search(r"[^\W_](?:.*[^\W_])?", text, re.S)
+        return text if core is None else text[:core.start()] + self.by_class("secret", core[0]) + text[core.end():]
 
     def text(self, text: str) -> tuple[str, int]:
         """The text with its pseudonyms, and how many values changed."""
@@ -215,6 +233,13 @@ class Permuter:
         return "".join([*out, text[done:]]), changed
 
 
+@lru_cache(maxsize=4096)
+def _alike(c: str) -> str:
+    """Letters or digits of the same category near a character outside ASCII."""
+    kind = unicodedata.category(c)
+    return "" if kind[0] not in "LN" else "".join(x for x in map(chr, range(ord(c) & ~0xFF, (ord(c) | 0xFF) + 1)) if not x.isascii() and unicodedata.category(x) == kind)
+
+
 def _is_hex(text: str, letters: str) -> bool:
     """Hexadecimal digits, not all of them decimal."""
     return set(text) <= set(letters) and not text.isdigit()

@@ -1,6 +1,8 @@
 """Pseudonyms: bijective, valid, linked, and nothing else touched."""
 
+import random
 import re
+import string
 
 from ledgerleaf.llm import pii
 
@@ -67,3 +69,27 @@ def test_phone_before_an_address_or_a_day():
         for other in ("190.137.223.204", "2024-08-05"):
             got, n = p.text(f"{phone} {other} du")
             assert n == 2 and got == f"{p.text(phone)[0]} {p.text(other)[0]} du" and phone not in got and other not in got
+
+
+def test_secrets_to_their_end():
+    p = pii.Permuter(KEY)
+    rng = random.Random(5)
+    long = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(3000))
+    for before, value, after in (
+            ("token = ", long, " end"), ("token = \"", long, "\";"), ("password=", "p@ss!w0rd#x", " end"), ("password: ", "swordfish", ""), ("pwd='", "correct horse battery", "' end"),
+            ("secret: ", "p\u00e4ssw\u00f6rt", ""), ("token=", "ab.cd-ef_gh~ij%kl", "\n"), ("password: \"", "open", ""), ("api_key: '", "it's", "")):
+        got, n = p.text(before + value + after)
+        new = got[len(before):len(got) - len(after)]
+        assert n == 1 and got.startswith(before) and got.endswith(after) and len(new) == len(value) and new != value
+        assert [c.isalnum() for c in new] == [c.isalnum() for c in value] and all(a == b for a, b in zip(new, value) if not a.isalnum())
+        assert all(value[i:i + 8] not in new for i in range(len(value) - 7))
+    assert p.text("the password: swordfish 7")[0] == p.text("the password: swordfish")[0] + " 7"
+    assert p.text("token = " + long)[0][8:] == p.text(f"token = '{long}'.")[0][9:-2]
+    assert len({p.text("token=" + long[:k] + "x" + long[k + 1:])[0] for k in range(0, 3000, 100)} | {p.text("token=" + long)[0]}) >= 30
+    assert p.text("AKIA" + "ABCD" * 4) != ("AKIA" + "ABCD" * 4, 0)
+
+
+def test_blocks_are_bijective(monkeypatch):
+    monkeypatch.setattr(pii, "BLOCK", 2)
+    p = pii.Permuter(KEY)
+    assert len({p.by_class("secret", f"{i:03d}") for i in range(1000)}) == 1000
