@@ -4,8 +4,8 @@ Markup is stripped into lines, one per block element. Lines of menus, headers, f
 adverts, forms, comments and the like count as empty, as do lines that are mostly links. Over the
 lines' text lengths a window slides; the text surges where its sum leaves zero and dives where it returns to
 zero. Crossing the edge of a region adds empty lines, so regions are never taken for one text. Of the
-stretches between surge and dive, those inside an article (or the main element) are kept whole; a page without either keeps those
-whose highest window reaches half of the page's highest.
+stretches between surge and dive, those inside an article (or the main element) are kept whole; a page without either keeps
+all. Only what such a page has loose behind its own footer must have a window of half the page's highest.
 
 Defined cases: a null or empty page has an empty text; markup that is cut off at the end of a page is dropped,
 elements left open end with the element around them; repeated rows give repeated results; an empty table
@@ -37,6 +37,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split())
 CELLS = frozenset("td th".split())
+#: Text in one of these is not loose in the body.
+CONTAINERS = frozenset("div section center table ul ol dl blockquote pre figure details fieldset address hgroup".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog button head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,10 +49,10 @@ _BOILERPLATE_NAME = re.compile(
 
 
 class _Line:
-    __slots__ = ("parts", "chars", "links", "out", "main")
+    __slots__ = ("parts", "chars", "links", "out", "main", "late")
 
-    def __init__(self, out: bool, main: bool):
-        self.parts, self.chars, self.links, self.out, self.main = [], 0, 0, out, main
+    def __init__(self, out: bool, main: bool, late: bool):
+        self.parts, self.chars, self.links, self.out, self.main, self.late = [], 0, 0, out, main, late
 
     def text(self) -> str:
         return " ".join(unescape("".join(self.parts)).split())
@@ -68,9 +70,9 @@ def _outside(name: str, attributes: str) -> bool:
 def lines_of(html: str) -> list[_Line]:
     """The page as lines; a None stands where a region begins or ends."""
     lines: list[_Line | None] = []
-    open_elements: list[tuple[str, bool, bool, bool]] = []  # name, outside, main, link
-    line = _Line(False, False)
-    done = 0
+    open_elements: list[tuple[str, bool, bool, bool, bool]] = []  # name, outside, main, link, in a container
+    line = _Line(False, False, False)
+    done, footer = 0, False
     tokens = _TOKEN.finditer(html)
     raw = None
     for m in tokens:
@@ -103,7 +105,7 @@ def lines_of(html: str) -> list[_Line]:
             continue
         if name in CELLS:
             line.parts.append(" ")
-        before = open_elements[-1] if open_elements else ("", False, False, False)
+        before = open_elements[-1] if open_elements else ("", False, False, False, False)
         if closing:
             for k in range(len(open_elements) - 1, -1, -1):
                 if open_elements[k][0] == name:
@@ -120,13 +122,14 @@ def lines_of(html: str) -> list[_Line]:
             around = [e[0] for e in open_elements if e[1]]
             if name in HEADINGS and in_main and around[:1] == ["header"] and {*around} <= {"header", "hgroup", "div"}:
                 out = False  # the title that an article has in its own header
-            open_elements.append((name, out, in_main, name == "a" or before[3] and name not in BLOCKS))
-        now = open_elements[-1] if open_elements else ("", False, False, False)
+            footer = footer or name == "footer" and not before[4]
+            open_elements.append((name, out, in_main, name == "a" or before[3] and name not in BLOCKS, before[4] or name in CONTAINERS))
+        now = open_elements[-1] if open_elements else ("", False, False, False, False)
         if name in BLOCKS or now[1:3] != before[1:3]:
             lines.append(line)
             if now[1:3] != before[1:3]:
                 lines.append(None)
-            line = _Line(now[1], now[2])
+            line = _Line(now[1], now[2], footer and not now[4])
     if raw is None and done < len(html):
         line.parts.append(html[done:])
     return [*lines, line]
@@ -137,11 +140,13 @@ def main_text(html: str | None) -> str:
     texts: list[str] = []
     lengths: list[int] = []
     main: list[bool] = []
+    late: list[bool] = []
     for line in lines_of(html or ""):
         if line is None:
             texts += [""] * WINDOW
             lengths += [0] * WINDOW
             main += [False] * WINDOW
+            late += [True] * WINDOW
             continue
         text = "" if line.out else line.text()
         if not text and not line.out:
@@ -151,6 +156,7 @@ def main_text(html: str | None) -> str:
         texts.append(text)
         lengths.append(len(text))
         main.append(line.main)
+        late.append(line.late or not text)
     sums = [sum(lengths[i:i + WINDOW]) for i in range(len(lengths))]
     stretches, start = [], None
     for i in range(len(sums) + 1):
@@ -164,7 +170,9 @@ def main_text(html: str | None) -> str:
         kept = [(a, b) for a, b in stretches if any(m and n for m, n in zip(main[a:b], lengths[a:b]))]
     else:
         most = max((max(sums[a:b]) for a, b in stretches), default=0)
-        kept = [(a, b) for a, b in stretches if 2 * max(sums[a:b]) >= most]
+        behind = [(a, b) for a, b in stretches if all(late[a:b])]
+        drop = 2 * max((max(sums[a:b]) for a, b in behind), default=0) < most
+        kept = [(a, b) for a, b in stretches if not (drop and all(late[a:b]))]
     return "\n".join(t for a, b in kept for t in texts[a:b] if t)
 
 

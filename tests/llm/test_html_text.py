@@ -58,3 +58,19 @@ def test_rows(spark):
 def test_header_of_an_article():
     html = "<body><header><h1>Site</h1></header><article><header><div><h1>Title</h1></div><p>by me</p></header><p>Text.</p><div class='ad'><h2>Buy</h2></div></article></body>"
     assert html_text.main_text(html) == "Title\nText."
+
+
+def test_articles_without_the_element():
+    rng = random.Random(6)
+    for _ in range(400):
+        html, text = page(rng, wrap=False)
+        assert html_text.main_text(html) == text, html
+
+
+def test_lead_before_an_advert():
+    long = [" ".join(["sentence"] * 30 + [str(k)]) for k in range(3)]
+    for around in ("{}", "<div>{}</div>", "<div><h1>Head</h1></div><section>{}</section>"):
+        inside = "<h1>Title</h1><p>A short lead.</p><div class='ad'><p>Buy</p></div>" + "".join(f"<p>{t}</p>" for t in long) + "<aside>Teaser</aside><p>The end."
+        html = "<body>" + NOISE[0] + around.format(inside) + NOISE[-2]
+        want = ["Title", "A short lead.", *long, "The end."]
+        assert html_text.main_text(html) == "\n".join(["Head"] * ("Head" in around) + want)
