@@ -166,6 +166,18 @@ def line_items_from_tables(page_tables: DataFrame) -> DataFrame:
     ).select("doc_id", "page_number", "table_ord", "item_ord", "item.*")
 
 
+def with_nested_items(docs: DataFrame, page_tables: DataFrame, defaults: str = "reference") -> DataFrame:
+    """Add ``line_items`` from a long table of page tables, by page, table and row, for outputs that
+    hold a document whole. Invoices without any get the default ones ('reference') or none."""
+    at = F.struct("page_number", "table_ord", "item_ord", F.struct("description", "quantity", "unit_price", "total").alias("item"))
+    gathered = line_items_from_tables(page_tables).groupBy("doc_id").agg(F.sort_array(F.collect_list(at)).alias("_items"))
+    none = F.array().cast(f"array<{ITEM_TYPE}>")
+    items = F.when(F.col("category") != INVOICE, none).when(
+        F.size("_items") > 0, F.transform("_items", lambda i: i["item"]).cast(f"array<{ITEM_TYPE}>")
+    ).otherwise(default_line_items() if defaults == "reference" else none)
+    return docs.join(gathered, "doc_id", "left").withColumn("line_items", items).drop("_items")
+
+
 def with_default_items(items: DataFrame, classified: DataFrame) -> DataFrame:
     """Line items of the invoices, the default ones where an invoice has none."""
     invoices = classified.where(F.col("category") == INVOICE).select("doc_id")

@@ -14,6 +14,13 @@ ENTITY_TYPE = "array<struct<type:string,value:string,span:array<int>>>"
 # Two noncharacters. The first marks the matches in a copy of the text; should a text hold it,
 # the second takes its place, which no pattern can tell apart.
 MARK, STAND_IN = chr(0xFDD0), chr(0xFDD1)
+# More than any list holds.
+ALL = 2**31 - 1
+
+
+def most(caps: str | None, limit: int) -> int:
+    """How many to keep: `caps` is 'reference' for the reference's number, None for all."""
+    return ALL if caps is None else limit
 
 
 def entity_pattern(rule: R.Entity) -> str:
@@ -41,7 +48,7 @@ def found(text: Column, rule: R.Entity) -> Column:
     return F.regexp_extract_all(text, F.lit(entity_pattern(rule)), 0)
 
 
-def _entries(rule: R.Entity, values: Column, parts: Column) -> Column:
+def _entries(rule: R.Entity, values: Column, parts: Column, limit: int) -> Column:
     """The first distinct values with the span of their first occurrence, in code points."""
     def entry(value: Column) -> Column:
         nth = F.array_position(values, value).cast("int")
@@ -54,20 +61,21 @@ def _entries(rule: R.Entity, values: Column, parts: Column) -> Column:
             F.array(start, start + F.length(value)).alias("span"),
         )
 
-    return F.transform(F.slice(F.array_distinct(values), 1, R.MAX_ENTITIES), entry)
+    return F.transform(F.slice(F.array_distinct(values), 1, limit), entry)
 
 
-def extract_entities(docs: DataFrame) -> DataFrame:
-    """Add ``entities``: the first distinct (type, value) pairs, type by type."""
+def extract_entities(docs: DataFrame, caps: str | None = "reference") -> DataFrame:
+    """Add ``entities``: the first distinct (type, value) pairs, type by type; all with caps=None."""
+    limit = most(caps, R.MAX_ENTITIES)
     parts = {f"parts_{i}": marked_parts(F.col("text"), r) for i, r in enumerate(R.ENTITIES)}
     values = {f"values_{i}": hits(F.col(f"parts_{i}")) for i in range(len(R.ENTITIES))}
     entries = F.concat(*(
-        _entries(rule, F.col(f"values_{i}"), F.col(f"parts_{i}"))
+        _entries(rule, F.col(f"values_{i}"), F.col(f"parts_{i}"), limit)
         for i, rule in enumerate(R.ENTITIES)
     ))
     return (
         docs.withColumns(parts).withColumns(values)
-        .withColumn("entities", F.slice(entries, 1, R.MAX_ENTITIES).cast(ENTITY_TYPE))
+        .withColumn("entities", F.slice(entries, 1, limit).cast(ENTITY_TYPE))
         .drop(*parts, *values)
     )
 
@@ -76,7 +84,7 @@ def extract_entities(docs: DataFrame) -> DataFrame:
 # size and compute the column a second time for it.
 
 def entities_long(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.slice("entities", 1, R.MAX_ENTITIES)).alias("entity_ord", "e")).select(
+    return docs.select("doc_id", F.posexplode(F.slice("entities", 1, ALL)).alias("entity_ord", "e")).select(
         "doc_id", "entity_ord", "e.type", "e.value", "e.span"
     )
 
@@ -93,8 +101,9 @@ def is_heading(line: Column) -> Column:
     )
 
 
-def extract_sections(docs: DataFrame) -> DataFrame:
-    """Add ``sections``: the runs of lines between headings; a heading without lines is dropped."""
+def extract_sections(docs: DataFrame, caps: str | None = "reference") -> DataFrame:
+    """Add ``sections``: the runs of lines between headings; a heading without lines is dropped.
+    The first ones with their first lines, all with caps=None."""
     rows = F.col("text_lines")
     count = F.size(rows)
     heads = F.col("heads")
@@ -110,7 +119,7 @@ def extract_sections(docs: DataFrame) -> DataFrame:
         return F.struct(
             F.when(start == 0, F.lit(R.FIRST_SECTION))
             .otherwise(F.get(rows, start - 1)).alias("title"),
-            F.slice(rows, start + 1, F.least(end - start - 1, F.lit(R.MAX_SECTION_LINES)))
+            F.slice(rows, start + 1, F.least(end - start - 1, F.lit(most(caps, R.MAX_SECTION_LINES))))
             .alias("content"),
         )
 
@@ -120,7 +129,7 @@ def extract_sections(docs: DataFrame) -> DataFrame:
         lambda start, end: F.struct(start.alias("start"), end.alias("end")),
     )
     kept = F.slice(
-        F.filter(runs, lambda run: run["end"] - run["start"] > 1), 1, R.MAX_SECTIONS)
+        F.filter(runs, lambda run: run["end"] - run["start"] > 1), 1, most(caps, R.MAX_SECTIONS))
     built = F.transform(kept, lambda run: section(run["start"], run["end"]))
     return staged.withColumn(
         "sections",
@@ -133,7 +142,7 @@ def extract_sections(docs: DataFrame) -> DataFrame:
 
 
 def sections_long(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.slice("sections", 1, R.MAX_SECTIONS)).alias("section_ord", "s")).select(
+    return docs.select("doc_id", F.posexplode(F.slice("sections", 1, ALL)).alias("section_ord", "s")).select(
         "doc_id", "section_ord", "s.title", "s.content"
     )
 

@@ -73,13 +73,14 @@ def process(
     defaults: str = "reference",
     as_of: str = REFERENCE_AS_OF,
     saving: str = "reference",
+    caps: str | None = "reference",
 ) -> DataFrame:
     """Everything the reference stores for a document, one row each.
 
     Documents carry doc_id, original_name, text and optionally nested pages; every step but the
     join with a long table of page tables works per row and needs no shuffle.
     """
-    read = extract_entities(extract_sections(understand(docs, defaults))).drop("first_page")
+    read = extract_entities(extract_sections(understand(docs, defaults), caps), caps).drop("first_page")
     return add_insights(
         validate(with_line_totals(read, page_tables, defaults), as_of), saving
     )

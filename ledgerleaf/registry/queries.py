@@ -229,8 +229,7 @@ def chat_append(spark, sf_dir):
 
 @query
 def export_json(spark, sf_dir):
-    items = F.array().cast(f"array<{extract.ITEM_TYPE}>")
-    return exports.export_json(advised(spark, sf_dir).withColumn("line_items", items))
+    return exports.export_json(extract.with_nested_items(advised(spark, sf_dir), tables(spark, sf_dir)))
 
 
 @query
@@ -548,8 +547,9 @@ def entities(spark, sf_dir):
 
 @query
 def entity_spans(spark, sf_dir):
-    """Spans of the entities, with the text they cover."""
-    return entitied(spark, sf_dir).select("doc_id", "text", F.explode(F.slice("entities", 1, 25)).alias("e")).select(
+    """Spans of all entities, with the text they cover."""
+    found = passages.extract_entities(texts(spark, sf_dir), caps=None)
+    return found.select("doc_id", "text", F.explode(F.slice("entities", 1, passages.ALL)).alias("e")).select(
         "doc_id", "e.type", "e.value",
         F.col("e.span")[0].alias("span_start"), F.col("e.span")[1].alias("span_end"),
         F.substring(

@@ -311,6 +311,51 @@ def test_export_json(spark):
     assert len(out["knowledge_insights"]) == 3 and out["validation_issues"] == []
 
 
+def test_export_json_with_page_tables(spark):
+    import json
+
+    from ledgerleaf.operators import exports, extract
+
+    docs = documents(spark, ("a.txt", SMALL_INVOICE), ("b.txt", SMALL_INVOICE), ("c.txt", "nothing")).withColumns({
+        "created_at": F.lit("2026-09-20 10:00:00").cast("timestamp_ntz")})
+    rows = [(i, p, t, [["Description", "Qty", "Price", "Total"], [f"item {p}.{t}", "1", None, "2.00", "2.00"]])
+            for i in (0, 2) for p in range(1, 31) for t in (2, 1)]
+    tables = spark.createDataFrame(rows, "doc_id bigint, page_number int, table_ord bigint, rows array<array<string>>")
+    items = {}
+    for defaults in ("reference", "null"):
+        processed = pipeline.process(docs, tables, defaults)
+        full = extract.with_nested_items(processed, tables, defaults)
+        items[defaults] = {r.doc_id: json.loads(r.json)["line_items"] for r in exports.export_json(full).collect()}
+    got = items["reference"]
+    assert [i["description"] for i in got[0]] == [f"item {p}.{t}" for p in range(1, 31) for t in (1, 2)]
+    assert got[0][0] == {"description": "item 1.1", "quantity": "1", "unit_price": "2.00", "total": "2.00"}
+    assert [i["total"] for i in got[1]] == [i[-1] for i in X.DEFAULT_LINE_ITEMS] and got[2] == []
+    assert items["null"] == {**got, 1: []}
+
+
+def test_export_json_query_holds_every_item(spark, sf):
+    import json
+
+    from ledgerleaf.registry.queries import QUERIES
+
+    assert sum(len(json.loads(r.json)["line_items"]) for r in QUERIES["export_json"](spark, sf).collect()) == QUERIES["line_items"](spark, sf).count()
+
+
+def test_no_caps(spark):
+    text = "\n".join(f"{h * 5}\n" + "\n".join(f"line {i} of {h}: the vendor pays ${i}{i}.00 to {h}{i}@example.com" for i in range(12)) for h in "ABCDEFGHIJKLMN")
+    docs = documents(spark, ("a.txt", text))
+    counts = {}
+    for caps in ("reference", None):
+        done = pipeline.process(docs, caps=caps)
+        long = warehouse.long_tables(done)
+        counts[caps] = (long["entities"].count(), long["sections"].count(), max(r.content.count("\n") + 1 for r in long["sections"].collect()),
+                        assistant.snippet_search(docs, "Which vendor?", caps).count())
+    assert counts["reference"] == (P.MAX_ENTITIES, P.MAX_SECTIONS, P.MAX_SECTION_LINES, 4)
+    assert counts[None] == (12 + 14 * 12, 14, 12, 14 * 12)
+    every = passages.extract_entities(docs, caps=None).first()
+    assert all(text[a:b] == e.value for e in every.entities for a, b in [e.span])
+
+
 @pytest.mark.parametrize("turned", [False, True])
 def test_changes_do_not_depend_on_row_order(spark, turned):
     def frame(rows, schema):
