@@ -32,3 +32,18 @@ def test_top_k(spark, monkeypatch):
     assert len(got_rows) == len(set(got_rows)) and set(got_rows) == brute(rows, 20)
     assert got.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "bigint")]
     assert va_search.top_k(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_large_components(spark):
+    import math
+
+    given = [(i, [x, 0.25 * i, -1.0]) for i, x in enumerate([0.5, 4e7, -4e7, 1e9 + 3, 1e12, -1e13, 1e300, 2.0, 3.0, 5e15])]
+    vectors = spark.createDataFrame(given, "vec_id long, embedding array<double>")
+    low, high = -(2**63), 2**63 - 1
+    ints = {i: [max(low, min(high, math.floor(x * 64))) for x in v] for i, v in given}
+    want = set()
+    for q in ints:
+        scores = sorted((-max(low, min(high, sum(a * b for a, b in zip(ints[q], ints[i])))), i) for i in ints if i != q)
+        want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:4])}
+    got = va_search.top_k(vectors, F.lit(True), k=4).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
