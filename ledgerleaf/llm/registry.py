@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerleaf.llm import chat, html_text, jaccard_join, licenses, mixing, packing, pii, quality, tokens, va_search
+from ledgerleaf.llm import byte_bpe, chat, divergence, html_text, jaccard_join, licenses, mixing, packing, pii, quality, tokens, va_search, whitening
 from ledgerleaf.sources.tables import table
 
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 #: For these queries only; a real run brings its own secret key.
 PII_KEY = b"test tables only"
@@ -61,6 +62,19 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+    return byte_bpe.digests(byte_bpe.decode(ids, RANKS))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), scale=1024, shift=100_000, components=8)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=3, top=200)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,11 +92,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_pii": op9_pii,
     "op10_topk": op10_topk,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_whitening": op12_whitening,
+    "op13_divergence": op13_divergence,
     "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
     "op2_chat": chat.ORACLE,
+    "op13_divergence": divergence.ORACLE,
     "op10_topk": """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT)) AS ints FROM embeddings
