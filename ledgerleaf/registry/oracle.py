@@ -733,13 +733,24 @@ cte("x_wide_edited", """SELECT w.* REPLACE (CASE WHEN e.key = 'grand_total' THEN
   ELSE w.grand_total END AS grand_total) FROM x_wide w JOIN x_edits e USING (doc_id)""")
 cte("x_read_edited", readings("x_wide_edited"))
 cte("x_issues_edited", category_issues("x_read_edited"))
-oracle("recompute", f"""SELECT doc_id, CAST(greatest(0, 100 - lost) AS INTEGER) AS validation_score,
+_recomputed = f"""SELECT doc_id, CAST(greatest(0, 100 - lost) AS INTEGER) AS validation_score,
   CASE worst WHEN 2 THEN 'error' WHEN 1 THEN 'warning' ELSE 'valid' END AS validation_status,
   CAST(n AS INTEGER) AS issues_count,
   CASE WHEN category = {text(C.INVOICE)} THEN 3 ELSE 1 END AS insights_count
 FROM (SELECT r.doc_id, any_value(r.category) AS category, count(i.code) AS n, coalesce(sum(i.penalty), 0) AS lost,
     max(CASE i.severity WHEN 'error' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) AS worst
-  FROM x_read_edited r LEFT JOIN x_issues_edited i USING (doc_id) GROUP BY r.doc_id)""")
+  FROM x_read_edited r LEFT JOIN x_issues_edited i USING (doc_id) GROUP BY r.doc_id)"""
+oracle("recompute", _recomputed)
+
+oracle("store_merge", f"""SELECT c.doc_id, CASE WHEN o.o_orderpriority = '3-MEDIUM' THEN 'again-' ELSE '' END || c.original_name AS original_name,
+  c.category, coalesce(e.validation_status, c.validation_status) AS validation_status,
+  coalesce(e.validation_score, c.validation_score) AS validation_score, coalesce(e.issues_count, c.issues_count) AS issues_count
+FROM x_checked c LEFT JOIN orders o ON c.doc_id = o.o_orderkey * 8 LEFT JOIN ({_recomputed}) e ON e.doc_id = c.doc_id
+WHERE coalesce(e.validation_status, c.validation_status) <> 'error'""")
+oracle("stream_upsert", counted("c.validation_score,"))
+oracle("store_lookup", _with_intel + f" WHERE r.doc_id = {56 * 8}")
+oracle("append_documents", """SELECT 'uploads' AS category, CASE WHEN page_id % 2 = 0 THEN 'text/html' ELSE 'application/pdf' END AS mime_type,
+  count(*) AS documents, CAST(sum(length(html)) AS BIGINT) AS file_size, count(DISTINCT url) AS ids FROM pages GROUP BY ALL""")
 
 # Answers: the parts of every answer as aggregates over the long tables, put together by intent.
 _question = pick("doc_id // 8 + doc_id", ASKED)

@@ -11,6 +11,7 @@ from ledgerleaf.operators import assistant, changes, classify, exports, extract,
 from ledgerleaf.operators import portfolio, search, validate
 from ledgerleaf.operators.insights import add_insights, insights_long
 from ledgerleaf.plans import pipeline, warehouse
+from ledgerleaf.plans.table import VERSION, DocumentTable
 from ledgerleaf.rules import audit as audit_rules
 from ledgerleaf.rules import categories as C
 from ledgerleaf.rules import passages as passage_rules
@@ -18,7 +19,7 @@ from ledgerleaf.session import shared_dir
 from ledgerleaf.sources import corpus as corpora
 from ledgerleaf.sources import files, pages
 from ledgerleaf.sources.tables import table
-from ledgerleaf.streaming.ingest import ingest_stream
+from ledgerleaf.streaming.ingest import ingest_stream, merge_batch, upsert_stream
 
 AS_OF = "1999-01-01"
 QUESTION = "Where do the invoice supplier and the passport number stand in that?"
@@ -772,3 +773,81 @@ def recompute(spark, sf_dir):
         "doc_id", "validation_score", "validation_status", "issues_count",
         F.size("insights").alias("insights_count"),
     )
+
+
+# --- the stored table -----------------------------------------------------------------------
+
+def _table(spark, name):
+    return DocumentTable(spark, shared_dir(spark, name))
+
+
+def _saved(checked):
+    """What a stored document holds for lookups, edits and the rules."""
+    return checked.select(
+        "doc_id", "original_name", "created_at", "user_id", "category", "category_confidence", "fields", "line_count", "line_sum",
+        "issues", "issues_count", "validation_score", "validation_status", "is_approved")
+
+
+@query
+def append_documents(spark, sf_dir):
+    """Pages appended to a stored table as documents: the id comes from the url, the type is the default one."""
+    folder = shared_dir(spark, "appended")
+    rows = table(spark, sf_dir, "pages").select(
+        F.xxhash64("url").alias("doc_id"), F.col("url").alias("original_name"),
+        F.length("html").cast("long").alias("file_size"), F.lit("uploads").alias("category"),
+        F.when(F.col("page_id") % 2 == 0, "text/html").alias("mime_type"))
+    warehouse.store(rows, folder)
+    return warehouse.load(spark, folder).groupBy("category", "mime_type").agg(
+        F.count("*").alias("documents"), F.sum("file_size").alias("file_size"), F.count_distinct("doc_id").alias("ids"))
+
+
+@query
+def store_merge(spark, sf_dir):
+    """Save every document, save some anew (twice, and once too late), edit totals, delete what is in error, load."""
+    store = _table(spark, "store-merge")
+    store.create(_saved(audited(spark, sf_dir)))
+    medium = table(spark, sf_dir, "orders").where("o_orderpriority = '3-MEDIUM'").select((F.col("o_orderkey") * 8).alias("doc_id"))
+
+    def renamed(prefix, version):
+        rows = store.known(medium)
+        return rows.withColumns({"original_name": F.concat(F.lit(prefix), "original_name"), VERSION: F.lit(version).cast("long")})
+
+    late = shared_dir(spark, "late")  # written down before the table it is read from changes
+    renamed("late-", 1).write.parquet(late)
+    store.merge(renamed("older-", 1).unionByName(renamed("again-", 2)), batch=1)
+    store.merge(spark.read.parquet(late), batch=2)
+    store.edit(edits(spark, sf_dir), version=3, batch=3, as_of=AS_OF)
+    store.delete(store.load().where("validation_status = 'error'"), version=4, batch=4)
+    return store.load().select("doc_id", "original_name", "category", "validation_status", "validation_score", "issues_count")
+
+
+@query
+def store_lookup(spark, sf_dir):
+    """One document of the stored table, from its bucket alone."""
+    store = _table(spark, "store-lookup")
+    store.create(_saved(audited(spark, sf_dir)))
+    return _joined(store.lookup(56 * 8))
+
+
+@query
+def stream_upsert(spark, sf_dir):
+    """The whole corpus in two arrivals, invoices in both, and the second arrival once more."""
+    store, landing, state = _table(spark, "store-stream"), shared_dir(spark, "landing"), shared_dir(spark, "stream-state")
+    everything = docs(spark, sf_dir)
+    invoice = F.col("doc_id") % 8 == 0
+    draft = everything.withColumns({"text": F.when(invoice, "draft").otherwise(F.col("text")), VERSION: F.lit(1).cast("long")})
+    final = everything.where(invoice).withColumn(VERSION, F.lit(2).cast("long"))
+
+    def step(rows):
+        return pipeline.process(rows, tables(spark, sf_dir), as_of=AS_OF)
+
+    def run():
+        upsert_stream(spark.readStream.schema(draft.schema).parquet(landing), store, state, step).awaitTermination()
+
+    store.create(step(draft.limit(0).drop(VERSION)))
+    draft.write.mode("append").parquet(landing)
+    run()
+    final.write.mode("append").parquet(landing)
+    run()
+    merge_batch(final, 1, store, step)
+    return _counts(store.load())
