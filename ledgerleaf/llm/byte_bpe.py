@@ -4,9 +4,10 @@ A text is cut by the pattern into matches; a match that is a token is that token
 its bytes: always the neighbours whose joined bytes have the lowest rank, leftmost first. The next merge
 comes from a rank queue. Every rank has a bucket of positions of a doubly linked list of parts; a hierarchy of
 bitmaps (256 bits a word, each level saying which words below are not zero) says which buckets hold something, and
-find-first-set on one word a level gives the lowest. Merging leaves the entries of its neighbours behind; an
-entry whose position no longer has a pair of that rank is stale and skipped. Each merge adds two entries at most, so n bytes
-cost O(n log n) (the log for the order of positions within a bucket), however long the match is.
+find-first-set on one word a level gives the lowest; its bucket is emptied from left to right unless a merge brings a lower
+rank. Merging leaves the entries of its neighbours behind; an entry whose position no longer has a pair of that rank is
+stale and skipped. Each merge adds two entries at most, so n bytes cost O(n log n) (the log for the order of positions
+within a bucket), however long the match is. Many short matches go through one queue together.
 
 No match goes on beyond the end of a run of characters that are no white space, so texts are cut there first and the ids of short
 runs are remembered, up to a fixed number.
@@ -21,7 +22,7 @@ import base64
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,13 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-#: Runs and matches whose ids a worker remembers at most, and the longest of them.
-REMEMBERED = 600_000
+from ledgerleaf.llm.tokens import in_portions
+
+#: Runs, and matches, whose ids a worker remembers at most, and the longest of them.
+REMEMBERED = 500_000
 LONGEST = 64
-#: Ids that are given back at once.
-AT_ONCE = 1_000_000
+#: Characters of matches that go through one queue, but for a single longer match.
+TOGETHER = 200_000
 
 _RUN = regex.compile(r"\s*\S+|\s+")
 _BITS = 8
@@ -41,7 +44,7 @@ _LOW = (1 << _BITS) - 1
 
 
 class RankQueue:
-    """Positions by rank, lowest rank and leftmost position first."""
+    """Buckets of positions by rank, the lowest rank first."""
 
     def __init__(self, ranks: int):
         self.levels = []
@@ -52,19 +55,23 @@ class RankQueue:
                 break
         self.buckets: dict[int, list[int]] = {}
 
+    def open(self, rank: int, positions: list[int]) -> None:
+        """A bucket for a rank that has none."""
+        self.buckets[rank] = positions
+        for level in self.levels:
+            word = rank >> _BITS
+            before = level[word]
+            level[word] = before | 1 << (rank & _LOW)
+            if before:  # the levels above know of this word
+                break
+            rank = word
+
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket is None:
-            self.buckets[rank] = [position]
-            for level in self.levels:
-                word = rank >> _BITS
-                before = level[word]
-                level[word] = before | 1 << (rank & _LOW)
-                if before:  # the levels above know of this word
-                    break
-                rank = word
+            self.open(rank, [position])
         else:
-            heappush(bucket, position)
+            bucket.append(position)
 
     def lowest(self) -> int:
         """The lowest rank with a bucket; -1 if there is none."""
@@ -76,19 +83,17 @@ class RankQueue:
             at = at << _BITS | (word & -word).bit_length() - 1
         return at
 
-    def pop(self, rank: int) -> int:
-        """Take the leftmost position of a rank."""
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            for level in self.levels:
-                word = rank >> _BITS
-                level[word] &= ~(1 << (rank & _LOW))
-                if level[word]:
-                    break
-                rank = word
-        return position
+    def take(self, rank: int) -> list[int]:
+        """The positions of a rank from left to right; its bucket is gone."""
+        positions = self.buckets.pop(rank)
+        positions.sort()
+        for level in self.levels:
+            word = rank >> _BITS
+            level[word] &= ~(1 << (rank & _LOW))
+            if level[word]:
+                break
+            rank = word
+        return positions
 
 
 class Encoder:
@@ -96,77 +101,122 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
-        self.queue = RankQueue(max(ranks.values()))
-        self.known: dict[str, bytes] = {}
-        self.matches: dict[str, list[int]] = {}
-
-    def merged(self, piece: bytes) -> list[int]:
-        """Ids of a match that is no token of its own."""
-        ranks, queue, n = self.ranks, self.queue, len(piece)
-        end = list(range(1, n + 1))  # of the part that starts at each position; the next part starts there
-        before = list(range(-1, n))  # the start of the part before
-        pair = [-1] * n  # rank of the pair whose left part starts here
-        for at in range(n - 1):
-            rank = ranks.get(piece[at:at + 2])
-            if rank is not None:
-                pair[at] = rank
-                queue.push(rank, at)
+        self.two = [-1] * (1 << 16)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.two[token[0] << 8 | token[1]] = rank
+        self.most = max(ranks.values())
+        self.runs: dict[str, bytes] = {}
+        self.matches: dict[str, bytes] = {}
+
+    def merged(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of matches that are no tokens of their own. All go through one queue: what is lowest in the queue is, of
+        each match, what is lowest in it."""
+        blob, ranks, two, queue = b"".join(pieces), self.ranks, self.two, RankQueue(self.most)
+        n, buckets, push = len(blob), queue.buckets, queue.open
+        end = array("q", range(1, n + 1))  # of the part that starts at each position; the next part starts there
+        before = array("q", range(-1, n))  # the start of the part before
+        pair = array("q", [-1]) * n  # rank of the pair whose left part starts here
+        edge = bytearray(n + 1)  # where a match begins
+        at = 0
+        for piece in pieces:
+            edge[at] = 1
+            for k, (x, y) in enumerate(zip(piece, piece[1:]), at):
+                rank = two[x << 8 | y]
+                if rank >= 0:
+                    pair[k] = rank
+                    if (bucket := buckets.get(rank)) is None:
+                        push(rank, [k])
+                    else:
+                        bucket.append(k)
+            at += len(piece)
+        edge[n] = 1
         while (rank := queue.lowest()) >= 0:
-            at = queue.pop(rank)
-            if pair[at] != rank:
-                continue  # stale
-            middle = end[at]
-            last = end[at] = end[middle]
-            pair[middle] = pair[at] = -1
-            if last < n:
-                before[last] = at
-                rank = ranks.get(piece[at:end[last]])
-                if rank is not None:
-                    pair[at] = rank
-                    queue.push(rank, at)
-            left = before[at]
-            if left >= 0:
-                rank = ranks.get(piece[left:last])
-                if rank is None:
-                    pair[left] = -1
-                else:
-                    pair[left] = rank
-                    queue.push(rank, left)
-        ids, at = [], 0
-        while at < n:
-            ids.append(ranks[piece[at:end[at]]])
-            at = end[at]
-        return ids
-
-    def run(self, run: str) -> bytes:
-        """Ids of a run, as little-endian numbers of 32 bits."""
-        ids: list[int] = []
-        for match in self.find(run):
-            found = self.matches.get(match)
-            if found is None:
-                piece = match.encode()
-                whole = self.ranks.get(piece)
-                found = self.merged(piece) if whole is None else [whole]
-                if len(match) <= LONGEST:
-                    if len(self.matches) >= REMEMBERED:
-                        self.matches.clear()
-                    self.matches[match] = found
-            ids += found
-        return array("I", ids).tobytes()
-
-    def text(self, text: str) -> bytes:
-        runs = _RUN.findall(text)
-        known, out = self.known, []
-        for run in runs:
-            ids = known.get(run)
+            positions = queue.take(rank)
+            for done, at in enumerate(positions, 1):
+                if pair[at] != rank:
+                    continue  # stale
+                lower = False
+                middle = end[at]
+                last = end[at] = end[middle]
+                pair[middle] = pair[at] = -1
+                if not edge[last]:
+                    before[last] = at
+                    new = ranks.get(blob[at:end[last]])
+                    if new is not None:
+                        pair[at] = new
+                        lower = new < rank
+                        if (bucket := buckets.get(new)) is None:
+                            push(new, [at])
+                        else:
+                            bucket.append(at)
+                if not edge[at]:
+                    left = before[at]
+                    new = ranks.get(blob[left:last])
+                    if new is None:
+                        pair[left] = -1
+                    else:
+                        pair[left] = new
+                        lower = lower or new < rank
+                        if (bucket := buckets.get(new)) is None:
+                            push(new, [left])
+                        else:
+                            bucket.append(left)
+                if lower and done < len(positions):  # that goes first
+                    push(rank, positions[done:])
+                    break
+        out, at = [], 0
+        for piece in pieces:
+            ids, stop = array("I"), at + len(piece)
+            while at < stop:
+                ids.append(ranks[blob[at:end[at]]])
+                at = end[at]
+            out.append(ids.tobytes())
+        return out
+
+    def _learn(self, runs: list[str]) -> dict[str, bytes]:
+        """Ids of runs, as little-endian numbers of 32 bits."""
+        split = [self.find(run) for run in runs]
+        known: dict[str, bytes] = {}
+        new, held = [], 0
+
+        def merge() -> None:
+            known.update(zip(new, self.merged([match.encode() for match in new])))
+            new.clear()
+
+        for match in set().union(*split):
+            ids = self.matches.get(match)
             if ids is None:
-                ids = self.run(run)
-                if len(run) <= LONGEST:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[run] = ids
-            out.append(ids)
-        return b"".join(out)
+                whole = self.ranks.get(match.encode())
+                if whole is None:
+                    new.append(match)
+                    held += len(match)
+                    if held >= TOGETHER:
+                        merge()
+                        held = 0
+                    continue
+                ids = whole.to_bytes(4, "little")
+            known[match] = ids
+        merge()
+        if len(self.matches) + len(known) > REMEMBERED:
+            self.matches.clear()
+        self.matches.update((match, ids) for match, ids in known.items() if len(match) <= LONGEST)
+        return {run: b"".join(map(known.__getitem__, matches)) for run, matches in zip(runs, split)}
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of many texts."""
+        split = [_RUN.findall(text) for text in texts]
+        flat = list(chain.from_iterable(split))
+        found = list(map(self.runs.get, flat))
+        new = {run for run, ids in zip(flat, found) if ids is None}
+        if new:
+            fresh = self._learn(list(new))
+            found = [fresh[run] if ids is None else ids for run, ids in zip(flat, found)]
+            if len(self.runs) + len(fresh) > REMEMBERED:
+                self.runs.clear()
+            self.runs.update((run, ids) for run, ids in fresh.items() if len(run) <= LONGEST)
+        ends = list(accumulate(map(len, split)))
+        return [b"".join(found[end - len(part):end]) for part, end in zip(split, ends)]
 
 
 def vocabulary(path: str) -> bytes:
@@ -217,16 +267,14 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks.value, pattern)
         for batch in batches:
-            first, out, held = 0, [], 0
-            for i in range(batch.num_rows):
-                out.append(encoder.text(batch.column(1)[i].as_py() or ""))
-                held += len(out[-1]) // 4
-                if held >= AT_ONCE or i + 1 == batch.num_rows:
-                    offsets = np.cumsum([0, *map(len, out)]) // 4
-                    values = pa.array(np.frombuffer(b"".join(out), "int32"))
-                    lists = pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), values)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(out)), lists], names=[id_col, "ids"])
-                    first, out, held = i + 1, [], 0
+            first = 0
+            for texts in in_portions(x.as_py() for x in batch.column(1)):
+                out = encoder.texts(texts)
+                offsets = np.cumsum([0, *map(len, out)]) // 4
+                values = pa.array(np.frombuffer(b"".join(out), "int32"))
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), values)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(out)), lists], names=[id_col, "ids"])
+                first += len(out)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")

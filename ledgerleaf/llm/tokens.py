@@ -22,19 +22,21 @@ from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
+from math import inf
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Chunks and words that a worker remembers at most; then it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 #: Characters that are split at once.
 AT_ONCE = 2_000_000
 
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[^{_SPACE}]+")
 _CONTRACTION = re.compile("'(?:re|ve|ll)")
+_MARKS = ".,;:!?"
 
 
 def chunks(text: str) -> list[str]:
@@ -62,16 +64,34 @@ class ChunkIds:
 
     def __init__(self, spec: str):
         self.tokenizer, self.known = _tokenizer(spec), {}
+        self.marks = {mark: array("I", self.tokenizer.encode(mark, add_special_tokens=False).ids).tobytes() for mark in _MARKS}
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        #: Whether ASCII letters and a mark after them are always two words.
+        self.apart = all([span for _, span in cut(f"{word}{mark}")] == [(0, len(word)), (len(word), len(word) + 1)] for mark in _MARKS for word in ("a", "don", "abcdefghijklmnopqrstuvwxyz"))
+
+    def _asked(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of new chunks. Letters and a mark after them are two words, so the letters are asked once for all marks."""
+        marked = {c: c[:-1] for c in new if c[-1] in _MARKS and c[:-1].isalpha() and c.isascii()} if self.apart else {}
+        asked = list({marked.get(chunk, chunk) for chunk in new}.difference(self.known))
+        ids = self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)
+        fresh = {chunk: array("I", one.ids).tobytes() for chunk, one in zip(asked, ids)}
+        for chunk, word in marked.items():
+            fresh[chunk] = (fresh.get(word) or self.known[word]) + self.marks[chunk[-1]]
+        return fresh
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [chunks(text) for text in texts]
-        new = list(set().union(*split).difference(self.known))
-        if new and len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set().union(*split))
-        for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[chunk] = array("I", found.ids).tobytes()
-        return [b"".join(map(self.known.__getitem__, parts)) for parts in split]
+        flat = list(chain.from_iterable(split))
+        found = list(map(self.known.get, flat))
+        new = list({chunk for chunk, ids in zip(flat, found) if ids is None})
+        if new:
+            fresh = self._asked(new)
+            found = [fresh[chunk] if ids is None else ids for chunk, ids in zip(flat, found)]
+            if len(self.known) + len(fresh) > REMEMBERED:
+                self.known.clear()
+            self.known.update(fresh)
+        ends = list(accumulate(map(len, split)))
+        return [b"".join(found[end - len(part):end]) for part, end in zip(split, ends)]
 
 
 class PrefixCounts:
@@ -80,63 +100,103 @@ class PrefixCounts:
     def __init__(self, spec: str):
         self.tokenizer = _tokenizer(spec)
         model = json.loads(spec)["model"]
-        self.mark = model["end_of_word_suffix"]
-        self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
-        inner = {t for t in model["vocab"] if not t.endswith(self.mark)}
-        self.inner = {t for t in inner if self._merged(list(t)) == [t]}
-        closed = {t.removesuffix(self.mark) for t in model["vocab"] if t.endswith(self.mark)}
-        self.closed = {t for t in closed if t and self._merged([*t[:-1], t[-1] + self.mark]) == [t + self.mark]}
-        self.longest = max(map(len, self.inner | self.closed))
+        self.mark, self.vocab = model["end_of_word_suffix"], model["vocab"]
+        merges = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        self.pair = {self.vocab[a] << 32 | self.vocab[b]: (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(merges)}
+        #: For each token that comes out as itself: what stood at its left and its right edge, and when (by rank) it was merged away.
+        self.left: dict[int, tuple[list[int], list[float]]] = {}
+        self.right: dict[int, tuple[list[int], list[float]]] = {}
+        self.odd: set[int] = set()
+        self.trie: list = [{}, 0, 0]
+        for token, number in self.vocab.items():
+            inner = token.removesuffix(self.mark)
+            chars = [*inner]
+            if chars and inner != token:
+                chars[-1] += self.mark
+            if chars and all(c in self.vocab for c in chars) and self._known_by_itself([self.vocab[c] for c in chars], number):
+                node = self.trie
+                for char in reversed(inner):
+                    node = node[0].setdefault(char, [{}, 0, 0])
+                node[2 if inner != token else 1] = number + 1
         self.specials = [t["content"] for t in json.loads(spec)["added_tokens"]]
-        self.apart: dict[tuple[str, str], bool] = {}
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        #: Whether ASCII letters alone are always one word in lower case.
+        self.plain = all(self._pieces(t) == [(t.lower(), (0, len(t)))] for t in (letters, letters.upper(), letters[::-1].title()))
+        self.apart: dict[int, bool] = {}
         self.words: dict[str, array] = {}
         self.totals: dict[str, int] = {}
 
-    def _merged(self, parts: list[str]) -> list[str]:
-        """BPE of a few characters: always the merge of the lowest rank, leftmost first."""
+    def _known_by_itself(self, parts: list[int], number: int) -> bool:
+        """Merge the parts of a token, the lowest rank first and leftmost first; note what happens at its edges."""
+        left, right = [[parts[0]], []], [[parts[-1]], []]
         while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: (self.rank.get((parts[i], parts[i + 1]), 1 << 30), i))
-            pair = (parts[best], parts[best + 1])
-            if pair not in self.rank:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
-
-    def _stay_apart(self, left: str, right: str, closed: bool) -> bool:
-        key = (left, right + self.mark if closed else right)
+            (rank, made), at = min(((self.pair.get(a << 32 | b, (inf, 0)), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))), key=lambda x: (x[0][0], x[1]))
+            if rank == inf:
+                return False
+            parts = [*parts[:at], made, *parts[at + 2:]]
+            for edge, touched in ((left, at == 0), (right, at == len(parts) - 1)):
+                if touched:
+                    edge[0].append(made)
+                    edge[1].append(rank)
+        if parts != [number]:
+            return False
+        for edges, (ids, ranks) in ((self.left, left), (self.right, right)):
+            if ranks != sorted(ranks):
+                self.odd.add(number)
+            edges[number] = ids, [*ranks, inf]
+        return True
+
+    def _merge_apart(self, left: int, right: int) -> bool:
+        """Whether two tokens, encoded together, come out as these two: no two of what stands at their border, as long as
+        both stand there, is merged before either is merged away from the border."""
+        (a_s, a_until), (b_s, b_until) = self.right[left], self.left[right]
+        i = j = 0
+        while True:
+            rank = self.pair.get(a_s[i] << 32 | b_s[j], (inf, 0))[0]
+            until_a, until_b = a_until[i], b_until[j]
+            if rank < until_a and rank <= until_b:
+                return False
+            if until_a <= until_b:  # of one rank, the left pair goes first
+                if until_a == inf:
+                    return True
+                i += 1
+            else:
+                j += 1
+
+    def _stay_apart(self, left: int, right: int) -> bool:
+        key = left << 32 | right
         if (found := self.apart.get(key)) is None:
-            chars = [*left, *right]
-            if closed:
-                chars[-1] += self.mark
-            if len(self.apart) > 4 * REMEMBERED:
+            if len(self.apart) > 2 * REMEMBERED:
                 self.apart.clear()
-            found = self.apart[key] = self._merged(chars) == list(key)
+            if left in self.odd or right in self.odd:
+                raise NotImplementedError("a vocabulary whose tokens are merged out of order")
+            found = self.apart[key] = self._merge_apart(left, right)
         return found
 
     def word(self, units: str) -> array:
         """Counts of units[:0], units[:1], ... each taken as a whole word; units are byte characters."""
         if (known := self.words.get(units)) is not None:
             return known
-        last, inner, counts = [""], [0], array("I", [0])
+        last, inner, counts, trie, apart = [-1], [0], array("I", [0]), self.trie, self.apart
         for end in range(1, len(units) + 1):
-            token = count = 0
-            for size in range(1, min(end, self.longest) + 1):
-                part, before = units[end - size:end], end - size
-                if not token and part in self.inner and (not before or self._stay_apart(last[before], part, False)):
-                    token, inner_count = part, inner[before] + 1
-                if not count and part in self.closed and (not before or self._stay_apart(last[before], part, True)):
-                    count = inner[before] + 1
-                if token and count:
+            token = inner_count = count = 0
+            node, at = trie, end
+            while at:
+                at -= 1
+                if (node := node[0].get(units[at])) is None:
                     break
-            last.append(token)
+                _, open_, closed = node
+                if open_ and not token:
+                    if not at or ((apart[key] if (key := last[at] << 32 | open_ - 1) in apart else self._stay_apart(last[at], open_ - 1))):
+                        token, inner_count = open_, inner[at] + 1
+                        if count:
+                            break
+                if closed and not count:
+                    if not at or ((apart[key] if (key := last[at] << 32 | closed - 1) in apart else self._stay_apart(last[at], closed - 1))):
+                        count = inner[at] + 1
+                        if token:
+                            break
+            last.append(token - 1)
             inner.append(inner_count)
             counts.append(count)
         if len(self.words) >= REMEMBERED:
@@ -150,17 +210,45 @@ class PrefixCounts:
     def _asked(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def learn(self, new: list[str]) -> dict[str, int]:
+        """Tokens of chunks: those of letters are words as they are, the others are split in one call."""
+        found, rest = {}, []
+        for chunk in new:
+            if self.plain and chunk.isalpha() and chunk.isascii():
+                found[chunk] = self.word(chunk.lower())[-1]
+            elif any(special in chunk for special in self.specials):
+                found[chunk] = self._asked(chunk)
+            else:
+                rest.append(chunk)
+        whole = self.tokenizer.normalizer.normalize_str(" ".join(rest))
+        ends = list(accumulate(len(part) + 1 for part in whole.split(" ")))
+        if len(ends) == len(rest):
+            totals, k = [0] * len(rest), 0
+            for units, (start, _) in self.tokenizer.pre_tokenizer.pre_tokenize_str(whole):
+                while start >= ends[k]:
+                    k += 1
+                totals[k] += self.word(units)[-1]
+            found.update(zip(rest, totals))
+        else:  # a chunk that is nothing, or more than one, once it is normalised
+            for chunk in rest:
+                found[chunk] = sum(self.word(units)[-1] for units, _ in self._pieces(chunk))
+        return found
+
+    def chunks(self, flat: list[str]) -> list[int]:
+        """Tokens of each of many chunks."""
+        known = list(map(self.totals.get, flat))
+        new = {chunk for chunk, n in zip(flat, known) if n is None}
+        if not new:
+            return known
+        fresh = self.learn(list(new))
+        if len(self.totals) + len(fresh) > REMEMBERED:
+            self.totals.clear()
+        self.totals.update(fresh)
+        return [fresh[chunk] if n is None else n for chunk, n in zip(flat, known)]
+
     def chunk(self, chunk: str) -> int:
         """Tokens of a whole chunk."""
-        if (known := self.totals.get(chunk)) is None:
-            if any(special in chunk for special in self.specials):
-                known = self._asked(chunk)
-            else:
-                known = sum(self.word(units)[-1] for units, _ in self._pieces(chunk))
-            if len(self.totals) >= REMEMBERED:
-                self.totals.clear()
-            self.totals[chunk] = known
-        return known
+        return self.chunks([chunk])[0]
 
     def inside(self, chunk: str) -> list[int]:
         """Tokens of chunk[:0], chunk[:1], ... Characters that change their number when normalised,
@@ -181,14 +269,14 @@ class PrefixCounts:
     def table(self, text: str) -> tuple[list[int], list[int]]:
         """Ends of the chunks, and the tokens up to there."""
         spans = [m.span() for m in _CHUNK.finditer(text)]
-        return [end for _, end in spans], list(accumulate(self.chunk(text[start:end]) for start, end in spans))
+        return [end for _, end in spans], list(accumulate(self.chunks([text[start:end] for start, end in spans])))
 
     def upto(self, text: str, position: int) -> int:
         """Tokens of text[:position], from the stored counts and the chunk that is cut."""
         split = chunks(text[:position])
         if not split:
             return 0
-        return sum(map(self.chunk, split[:-1])) + self.inside(split[-1])[-1]
+        return sum(self.chunks(split[:-1])) + self.inside(split[-1])[-1]
 
     def fitting(self, text: str, counts: list[int], limit: int) -> int:
         """Length of the longest prefix of at most `limit` tokens; counts: up to the end of each chunk."""
@@ -240,9 +328,12 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, tables: bool = T
         for batch in batches:
             rows = []
             for portion in in_portions(x.as_py() for x in batch.column(1)):
-                for text in portion:
-                    split = chunks(text)
-                    counts = list(accumulate(map(counter.chunk, split)))
+                split = [chunks(text) for text in portion]
+                sizes = counter.chunks(list(chain.from_iterable(split)))
+                at = 0
+                for text, parts in zip(portion, split):
+                    counts = list(accumulate(sizes[at:at + len(parts)]))
+                    at += len(parts)
                     total = counts[-1] if counts else 0
                     fits = len(text) if total <= limit else counter.fitting(text, counts, limit)
                     ends = [m.end() for m in _CHUNK.finditer(text)] if tables else None

@@ -12,10 +12,11 @@ PATH = P.path("byte_bpe_multi_50k.tiktoken")
 RANKS = byte_bpe.read_ranks(byte_bpe.vocabulary(PATH))
 LIBRARY = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 ENCODER = byte_bpe.Encoder(RANKS, P.PATTERN)
+TOKENS = {rank: token for token, rank in RANKS.items()}
 
 
 def ids_of(text):
-    return list(memoryview(ENCODER.text(text)).cast("I"))
+    return list(memoryview(ENCODER.texts([text])[0]).cast("I"))
 
 
 @settings(max_examples=500, deadline=None)
@@ -29,19 +30,37 @@ def test_very_long_matches(text):
     assert ids_of(text) == LIBRARY.encode_ordinary(text)
 
 
-def test_queue_gives_lowest_rank_then_leftmost():
-    queue, rnd, held = byte_bpe.RankQueue(70_000), random.Random(1), []
+def test_queue_gives_the_lowest_rank_from_left_to_right():
+    queue, rnd, held = byte_bpe.RankQueue(70_000), random.Random(1), {}
     for _ in range(5000):
-        if held and rnd.random() < 0.5:
+        if held and rnd.random() < 0.3:
             rank = queue.lowest()
-            assert (rank, queue.pop(rank)) == (want := min(held))
-            held.remove(want)
+            assert rank == min(held) and queue.take(rank) == sorted(held.pop(rank))
         else:
-            held.append((rnd.choice([rnd.randrange(70_001), 255, 256]), rnd.randrange(1000)))
-            queue.push(*held[-1])
-    for _ in range(len(held)):
-        queue.pop(queue.lowest())
-    assert queue.lowest() == -1 and not any(word for level in queue.levels for word in level)
+            rank, position = rnd.choice([rnd.randrange(70_001), 255, 256]), rnd.randrange(1000)
+            held.setdefault(rank, []).append(position)
+            queue.push(rank, position)
+    while (rank := queue.lowest()) >= 0:
+        assert queue.take(rank) == sorted(held.pop(rank))
+    assert not held and not any(word for level in queue.levels for word in level)
+
+
+def test_matches_that_go_through_one_queue():
+    rnd = random.Random(3)
+    pieces = ["".join(rnd.choices("abcdehinorst é漢", k=rnd.randint(1, 30))).encode() for _ in range(3000)]
+    for piece, ids in zip(pieces, ENCODER.merged(pieces)):
+        assert b"".join(TOKENS[i] for i in memoryview(ids).cast("I")) == piece
+        assert ids == ENCODER.merged([piece])[0]
+
+
+def test_a_lower_rank_goes_first():
+    """With ranks as no training gives them: joining b and c brings a pair of a lower rank."""
+    ranks = {bytes([i]): i for i in range(97, 108)} | {b"bc": 210, b"abc": 205, b"ab": 230, b"bcd": 220}
+    library = tiktoken.Encoding("odd", pat_str=r"\w+", mergeable_ranks=ranks, special_tokens={})
+    encoder, rnd = byte_bpe.Encoder(ranks, r"\w+"), random.Random(8)
+    for _ in range(500):
+        text = "".join(rnd.choices("abcd", k=rnd.randint(1, 14)))
+        assert list(memoryview(encoder.texts([text])[0]).cast("I")) == library.encode_ordinary(text)
 
 
 def test_rows(spark):
