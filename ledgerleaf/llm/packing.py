@@ -5,6 +5,9 @@ fit under every limit, the one goes in whose needs point most towards the room t
 room as shares of the limits, limits weighted by how much of them all pieces need). When none fits, the
 next sequence opens. Pieces are dealt out evenly to groups of about GROUP pieces, each packed by one task.
 
+Documents are cut so that a piece keeps below the limits of length and of loss: the first `masked` ids of a document
+(its prompt, in instruction data) bear no loss, nor does the first id of a piece, which nothing in it precedes.
+
 Defined cases: a null text is an empty document, which still has its end token; a piece that alone is
 above a limit gets a sequence of its own, nothing is dropped; repeated rows are packed each; an empty
 table gives an empty result; columns other than the named ones play no part.
@@ -27,10 +30,20 @@ from ledgerleaf.llm.tokens import chunk_ids, in_portions, vocabulary
 GROUP = 2_000
 
 
-def cut_documents(docs: DataFrame, path: str, length: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token ids of every text, then `end_id`, cut every `length` ids. One row per piece: doc_id, start,
-    length, ids_crc32 (of its ids as little-endian unsigned 32-bit numbers), doc_tokens, segments (1) and
-    loss_tokens (all but the first, which nothing in the piece precedes)."""
+def cuts(n: int, length: int, masked: int = 0, loss: int | None = None) -> list[tuple[int, int, int]]:
+    """Start, length and loss-bearing ids of the pieces of n ids: each as long as `length` and `loss` allow."""
+    out, at = [], 0
+    while at < n:
+        free = max(masked - at, 1)  # at the head of the piece, without loss
+        size = min(length, n - at, length if loss is None else free + loss)
+        out.append((at, size, max(size - free, 0)))
+        at += size
+    return out
+
+
+def cut_documents(docs: DataFrame, path: str, length: int, end_id: int, masked: int = 0, loss: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Token ids of every text, then `end_id`, cut into pieces. One row per piece: doc_id, start,
+    length, ids_crc32 (of its ids as little-endian unsigned 32-bit numbers), doc_tokens, segments (1) and loss_tokens."""
     spec = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     end = int(end_id).to_bytes(4, "little")
 
@@ -42,14 +55,12 @@ def cut_documents(docs: DataFrame, path: str, length: int, end_id: int, id_col:
             for portion in in_portions(x.as_py() for x in batch.column(1)):
                 for text_ids in encoder.encode(portion):
                     ids = text_ids + end
-                    for start in range(0, len(ids), 4 * length):
-                        piece = ids[start:start + 4 * length]
+                    for start, size, bears in cuts(len(ids) // 4, length, masked, loss):
                         at.append(done)
-                        rows.append((start // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
+                        rows.append((start, size, zlib.crc32(ids[4 * start:4 * (start + size)]), len(ids) // 4, 1, bears))
                     done += 1
             if rows:
-                starts, lengths, sums, totals = map(np.array, zip(*rows))
-                columns = [pa.array(x.astype("int64")) for x in (starts, lengths, sums, totals, np.ones(len(rows)), lengths - 1)]
+                columns = [pa.array(x, pa.int64()) for x in zip(*rows)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *columns], names=names)
 
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "segments", "loss_tokens"]

@@ -14,13 +14,17 @@ from ledgerleaf.sources.tables import table
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
+#: A sequence holds at most so many ids, pieces of documents and ids that bear loss; the first MASKED ids of a document bear none.
+LIMITS = {"length": 4096, "segments": 16, "loss_tokens": 4064}
+MASKED = 64
+
 #: For these queries only; a real run brings its own secret key.
 PII_KEY = b"test tables only"
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.cut_documents(table(spark, sf_dir, "documents"), VOCABULARY, length=4096, end_id=2)
-    return packing.pack(pieces, {"length": 4096, "segments": 256, "loss_tokens": 4096}, size="length")
+    pieces = packing.cut_documents(table(spark, sf_dir, "documents"), VOCABULARY, length=LIMITS["length"], end_id=2, masked=MASKED, loss=LIMITS["loss_tokens"])
+    return packing.pack(pieces, LIMITS, size="length")
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

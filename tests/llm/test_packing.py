@@ -13,6 +13,30 @@ from ledgerleaf.llm import packing
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+def test_cuts():
+    for n, length, masked, loss in [(1, 9, 0, None), (50, 9, 0, None), (50, 9, 20, 3), (50, 9, 4, 8), (7, 9, 90, 1), (64, 16, 8, 1)]:
+        pieces, at = packing.cuts(n, length, masked, loss), 0
+        for start, size, bears in pieces:
+            assert start == at and 0 < size <= length and bears <= (loss or length)
+            assert bears == sum(i >= masked and i > start for i in range(start, start + size))
+            at += size
+        assert at == n
+
+
+def test_three_limits_bind(spark):
+    """Each limit stops some sequence that the two others would let grow."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["tokens", "word", "x"]) for _ in range(rng.choice((1, 2, 3, 1, 2, 3, 1, 2, 3, 1, 1, 1, 30, 60, 200)))) for _ in range(900)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    limits = {"length": 64, "segments": 4, "loss_tokens": 56}
+    got = packing.pack(packing.cut_documents(docs, PATH, 64, 2, masked=6, loss=56), limits, size="length").toPandas()
+    sums = got.groupby("sequence_id")[list(limits)].sum()
+    assert all((sums[name] <= most).all() for name, most in limits.items())
+    for name, most in limits.items():
+        others = [n for n in limits if n != name]
+        assert ((sums[name] == most) & (sums[others] < [limits[n] for n in others]).all(axis=1)).any(), name
+
+
 def test_every_id_once_and_sequences_without_gaps(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choice(["Über", "tokens", "a,b", "42nd", "don't", "x"]) for _ in range(rng.choice((1, 9, 40, 300)))) for _ in range(120)] + [None, "", " \n"]
