@@ -125,6 +125,7 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     queue = fair_queue(docs, **settings).where("taken > 0")
     taken = queue.groupBy("doc_id", "source", "size").agg(F.max("epochs").alias("epochs"))
     taken = taken.toDF("mix_doc", "mix_source", "mix_size", "mix_epochs")
-    rows = docs.withColumn("mix_words", word_count(F.col("text")))
-    same = rows.doc_id.eqNullSafe(taken.mix_doc) & rows.source.eqNullSafe(taken.mix_source) & (rows.mix_words == taken.mix_size)
-    return rows.join(taken, same).withColumn("mix_epochs", F.explode(F.sequence(F.lit(1), "mix_epochs"))).select(*[docs[c] for c in docs.columns])
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own_row")
+    rows = docs.select(own, F.col("doc_id").alias("own_doc"), F.col("source").alias("own_source"), word_count(F.col("text")).alias("own_size"))
+    same = rows.own_doc.eqNullSafe(taken.mix_doc) & rows.own_source.eqNullSafe(taken.mix_source) & (rows.own_size == taken.mix_size)
+    return rows.join(taken, same).select("own_row", F.explode(F.sequence(F.lit(1), "mix_epochs"))).select("own_row.*")

@@ -269,7 +269,8 @@ def permuter(key: bytes) -> Permuter:
 
 def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """The same rows and columns with pseudonyms in the text; with `count_col`, also how many values of
-    the text changed. The key never leaves the job: who holds it can undo the permutation."""
+    the text changed (a column of that name is replaced). The key never leaves the job: who holds it can undo the permutation."""
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c != count_col])
     at = docs.columns.index(text_col)
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

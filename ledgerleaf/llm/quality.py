@@ -46,12 +46,13 @@ class Condition:
 Rule = tuple[Condition, ...]
 
 
-def measured(docs: DataFrame, into: str = "_quality", text_col: str = "text") -> DataFrame:
-    """Add a struct of counts and measures of every text. Repeated windows are found by sorting the
+def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """`_doc`, the row as it is, and `_quality`, the counts and measures of its text. What is worked out on the way stands
+    beside the row, not in it, so no column of it is touched. Repeated windows are found by sorting the
     hashes of a text's windows, and only where there are any."""
-    columns = docs.columns
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = evaluated(docs, _words=F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), _lines=F.filter(F.split(text, "\n"), lambda line: F.regexp_like(line, F.lit(f"[^{SPACE}]"))))
+    text = F.col("_text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
+    rows = evaluated(rows, _words=F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), _lines=F.filter(F.split(text, "\n"), lambda line: F.regexp_like(line, F.lit(f"[^{SPACE}]"))))
     rows = evaluated(
         rows,
         _hashes=F.transform("_words", lambda w: F.xxhash64(w)), _n=F.size("_words").cast("long"),
@@ -85,7 +86,7 @@ def measured(docs: DataFrame, into: str = "_quality", text_col: str = "text") ->
         "size_step": step("_n"), "line_step": step("_n_lines"), "mean_word_10": share("_chars", "_n", 10), "symbols_1000": share("_symbols", "_chars", 1000),
         "dup_lines_1000": share("_dups", "_n_lines", 1000), "repeats_1000": share("_covered", "_n", 1000), "distinct_1000": share("_distinct", "_n", 1000),
     }
-    return rows.select(*[F.col(f"`{c}`") for c in columns], F.struct(*(c.alias(name) for name, c in parts.items())).alias(into))
+    return rows.select("_doc", F.struct(*(c.alias(name) for name, c in parts.items())).alias("_quality"))
 
 
 def base_failed() -> Column:
@@ -179,11 +180,10 @@ def judged(measures: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def measures_of(docs: DataFrame) -> DataFrame:
-    return stored(measured(docs.select("doc_id", "text")).select("doc_id", "_quality.*"), "quality-measures")
+    return stored(measured(docs.select("doc_id", "text")).select("_doc.doc_id", "_quality.*"), "quality-measures")
 
 
 def kept(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """The documents that pass the base rules and the list learned from their labelled rows."""
     rules = learn(measures_of(docs), labels, **settings)
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
-    return judged(measured(docs).select(own, "_quality.*"), rules).where("kept").select("_doc.*")
+    return judged(measured(docs).select("_doc", "_quality.*"), rules).where("kept").select("_doc.*")

@@ -76,3 +76,10 @@ def test_mixed_rows_and_empty(spark):
             assert r["count"] == taken[r.doc_id, r.source, size]
     assert mixing.mixed(docs.limit(0)).count() == 0
     assert mixing.fair_queue(docs.limit(0)).count() == 0
+
+
+def test_names_that_clash(spark):
+    names = "mix_words mix_doc mix_source mix_size mix_epochs own_row own_doc own_size key cell turn size total taken target".split()
+    docs = spark.createDataFrame([(1, "s", "a few words", *range(len(names)))], "doc_id long, source string, text string, " + ", ".join(f"`{n}` int" for n in names))
+    got = mixing.mixed(docs, budget=2, max_epochs=2)
+    assert got.columns == docs.columns and got.collect() == docs.collect() * 2

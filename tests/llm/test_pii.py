@@ -93,3 +93,10 @@ def test_blocks_are_bijective(monkeypatch):
     monkeypatch.setattr(pii, "BLOCK", 2)
     p = pii.Permuter(KEY)
     assert len({p.by_class("secret", f"{i:03d}") for i in range(1000)}) == 1000
+
+
+def test_count_column_that_is_there(spark):
+    docs = spark.createDataFrame([("old", 1, "call +1 (543) 555-7713 now", None), ("old", 2, None, 4)], "n_changed string, doc_id long, text string, `_text` int")
+    got = pii.pseudonymise(docs, KEY, count_col="n_changed")
+    assert got.columns == ["doc_id", "text", "_text", "n_changed"]
+    assert [(r.doc_id, r._text, r.n_changed) for r in got.orderBy("doc_id").collect()] == [(1, None, 1), (2, 4, 0)]

@@ -62,3 +62,10 @@ def test_learned_list(spark):
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {i for i, k in got.items() if k}
     assert quality.learn(quality.measures_of(docs), tags.where(F.lit(False))) == []
     assert quality.kept(docs.limit(0), tags).count() == 0
+
+
+def test_names_that_clash(spark):
+    names = "_words _n _lines _hashes _windows _sorted _covered _doc _text _quality kept rule n_words bad grow size_step base_failed".split()
+    docs = spark.createDataFrame([(1, "a few words that are quite enough for the rule here", *range(len(names)))], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert quality.kept(docs, labels).collect() == docs.collect()
