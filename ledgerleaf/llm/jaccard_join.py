@@ -3,8 +3,16 @@
 A text becomes the set of the 64-bit hashes of its distinct n-grams; texts of one set are one class. Two sets
 of Jaccard similarity t or more share a token among the first n - ceil(t * n) + 1 of each, whatever the
 global order of tokens. Several orders are laid down: in each, tokens come by how common they are (the order of
-magnitude of the count of their slot, over all documents, in a table of SLOTS counts) and then by a hash
-of that order's own. Candidates must share a prefix token under every order; what is left is verified on the whole sets.
+magnitude of the number of sets that hold them) and then by a hash of that order's own. Candidates must share a prefix token
+under every order; what is left is verified on the whole sets.
+
+Tokens that one set alone holds come first in every order and meet nobody, so they are not indexed, and a set with
+as many of them as its prefix is long is done. To know them, tokens are counted, in two rounds. The first looks at all
+documents and at tokens whose hash lies in a fixed share of the hash space (LOOKED_UP times as many as similar sets may
+differ in); all others come last, by their hash. It leaves the sets that meet another under its one order. The second
+looks at all tokens of these sets, and only these sets: what a token shares with a set that is done is of no use. Sets are
+stored in blocks; a block sends each of its tokens once, in packed parts dealt by hash, and is told which of them
+others hold too. A frequent token is one entry a block.
 
 The first shared token also bounds the overlap: what stands before it, i tokens of one set and j of the
 other, is not shared. With slack = n * (1 - t) / (1 + t) - i, two sets that link have slacks whose sum is not
@@ -19,11 +27,13 @@ Defined cases: a null or empty text, or one without words, has the empty set and
 component is itself); a text of fewer than n words is one n-gram; rows that repeat an id are
 documents of their own; rows without an id take part, a component without any id has none; an empty
 table gives an empty result; columns other than the id and the text play no part. Hashes of 64 bits stand for n-grams and
-sets: among 10 ** 6 different sets two agree by chance once in 10 ** 7 corpora.
+sets: among 10 ** 6 different sets two agree by chance once in 10 ** 7 corpora. Two tokens that are counted as one (32 bits
+and the number of their part are compared) are more common than they are, which costs an index row and loses nothing.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,13 +44,17 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgerleaf.llm.common import stored
 
-#: Counts from which the commonness of tokens is read: a fixed size, so its broadcast never grows.
-SLOTS = 1 << 18
 ORDERS = 3
+#: Tokens are counted in this many times the share that similar sets may differ in.
+LOOKED_UP = 2.5
 #: Words whose hashes a worker remembers at most.
 REMEMBERED = 500_000
-#: Tokens that are given back at once.
-AT_ONCE = 1_000_000
+#: Tokens that are given back at once; tokens of a stored block; tokens counted in one part, by expectation.
+AT_ONCE = BLOCK = 1_000_000
+PART = 4_000_000
+#: Hashes below this are all there are; class of a token that is not counted.
+EVERY = np.uint64(2 ** 64 - 1)
+UNKNOWN = 63
 
 
 def mixed_bits(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -116,45 +130,160 @@ def set_ids(docs: DataFrame, width: int = 3, text_col: str = "text", into: tuple
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into[0], LongType()), StructField(into[1], LongType())]))
 
 
-def slot_classes(docs: DataFrame, width: int) -> np.ndarray:
-    """Order of magnitude of the tokens in every slot, counted over all documents."""
+class Block:
+    """Documents as they gather for one row: block, ids, sets and sizes, how many tokens each has in `tokens` (none if its set
+    is there already), and these: the counted ones of its set by their hash, and as many more as a prefix needs."""
+
+    def __init__(self, percent: int, limit: np.uint64):
+        self.percent, self.limit = percent, limit
+        self.ids, self.rows, self.parts, self.seen, self.held = [], [], [], set(), 0
+
+    def add(self, doc_id, tokens: np.ndarray) -> bool:
+        """Whether the block is full now."""
+        one = set_id(tokens)
+        n = 0 if one in self.seen else max(int(np.searchsorted(tokens, self.limit)), prefix_length(len(tokens), self.percent))
+        self.seen.add(one)
+        self.ids.append(doc_id)
+        self.rows.append((one, len(tokens), n))
+        self.parts.append(tokens[:n])
+        self.held += n + 1
+        return self.held >= BLOCK
+
+    def batch(self, id_type: pa.DataType) -> pa.RecordBatch:
+        def one(values, of):
+            return pa.array([values], pa.list_(of))
+
+        number = int.from_bytes(os.urandom(8), "little") >> 1
+        columns = [one(np.array(x, "int64"), pa.int64()) for x in zip(*self.rows)]
+        tokens = pa.array([np.concatenate(self.parts).tobytes()], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([number]), one(self.ids, id_type), *columns, tokens], names=["block", "ids", "sets", "sizes", "counts", "tokens"])
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, total = Sets(width), np.zeros(SLOTS, "int64")
+def _in_blocks(rows: DataFrame, read: Callable[[], Callable], percent: int, limit: np.uint64, name: str) -> DataFrame:
+    """Rows of an id and what `read()` turns into its tokens, stored in blocks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens_of, block = read(), Block(percent, limit)
         for batch in batches:
-            for text in batch.column(0).cast(pa.large_binary()):
-                slots = (sets.of(text.as_py()) % np.uint64(SLOTS)).astype("int64")
-                if len(slots) > SLOTS // 8:
-                    total += np.bincount(slots, minlength=SLOTS)
-                else:
-                    np.add.at(total, slots, 1)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
+            for i in range(batch.num_rows):
+                if block.add(batch.column(0)[i].as_py(), tokens_of(batch.column(1)[i])):
+                    yield block.batch(batch.column(0).type)
+                    block = Block(percent, limit)
+        if block.rows:
+            yield block.batch(batch.column(0).type)
+
+    kind = rows.schema[0].dataType.simpleString()
+    schema = f"block long, ids array<{kind}>, sets array<long>, sizes array<long>, counts array<long>, tokens binary"
+    return stored(rows.mapInArrow(run, schema), name)
+
+
+def document_blocks(docs: DataFrame, width: int, percent: int, limit: np.uint64) -> DataFrame:
+    def read() -> Callable:
+        sets = Sets(width)
+        return lambda text: sets.of(text.cast(pa.large_binary()).as_py())
+
+    return _in_blocks(docs.select("doc_id", "text"), read, percent, limit, "join-blocks")
+
 
-    counts = docs.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(SLOTS, "uint8")
-    out[counts.slot.to_numpy("int64")] = np.log2(counts.n.to_numpy("float64") + 1).astype("uint8")
-    return out
+def set_blocks(sets: DataFrame, percent: int) -> DataFrame:
+    def read() -> Callable:
+        return lambda tokens: tokens.values.to_numpy().view("uint64")
 
+    return _in_blocks(sets.select("set", "tokens"), read, percent, EVERY, "join-set-blocks")
 
-def prefixes(docs: DataFrame, classes: np.ndarray, width: int, percent: int) -> DataFrame:
-    """doc_id, set, size and, for every order, the prefix of each document's set, in that order."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
 
-    def head(tokens: np.ndarray, commonness: np.ndarray, order: int, length: int) -> np.ndarray:
-        key = commonness << np.uint64(58) | mixed_bits(tokens, 100 + order) >> np.uint64(6)
-        first = np.argpartition(key, length - 1)[:length] if length < len(key) else np.arange(len(key))
-        return tokens[first[np.argsort(key[first])]].view("int64")
+def prefix_length(n: int, percent: int) -> int:
+    return n - -(-n * percent // 100) + 1 if n else 0
 
-    def row(doc_id, tokens: np.ndarray):
-        n = len(tokens)
-        length = n - -(-n * percent // 100) + 1 if n else 0
-        commonness = shared.value[(tokens % np.uint64(SLOTS)).astype("int64")].astype("uint64")
-        heads = [head(tokens, commonness, k, length) for k in range(ORDERS)]
-        return (doc_id, set_id(tokens), n, heads), ORDERS * length + 1
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return _each(docs, width, f"doc_id {kind}, set long, size long, heads array<array<long>>", row, ["doc_id", "text"])
+def counted_share(percent: int) -> np.uint64:
+    """Hashes below this are counted."""
+    return np.uint64(min(LOOKED_UP * (100 - percent) / 100, 1) * (2 ** 64 - 2048))
+
+
+def _part_and_mark(tokens: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    return (tokens >> np.uint64(32)) % np.uint64(parts), (tokens & np.uint64(0xFFFFFFFF)).astype("uint32")
+
+
+def shared_tokens(blocks: DataFrame, limit: np.uint64, parts: int) -> DataFrame:
+    """block, part, marks and classes: which of the counted tokens of a block are in more than one set."""
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, tokens in zip(batch.column(0).to_pylist(), batch.column(1)):
+                tokens = np.frombuffer(tokens.as_py(), "uint64")
+                distinct, times = np.unique(tokens[tokens < limit], return_counts=True)
+                part, mark = _part_and_mark(distinct, parts)
+                order = np.argsort(part, kind="stable")
+                which, starts = np.unique(part[order], return_index=True)
+                marks, times = np.split(mark[order], starts[1:]), np.split(np.minimum(times[order], 255).astype("uint8"), starts[1:])
+                if len(which):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(which.astype("int64")), pa.array([block] * len(which), pa.int64()), pa.array([x.tobytes() for x in marks], pa.binary()), pa.array([x.tobytes() for x in times], pa.binary())],
+                        names=["part", "block", "marks", "times"])
+
+    def count(table: pa.Table) -> pa.Table:
+        marks = [np.frombuffer(x, "uint32") for x in table["marks"].to_pylist()]
+        sizes = np.array([len(x) for x in marks])
+        marks, row = np.concatenate(marks), np.repeat(np.arange(len(sizes)), sizes)
+        times = np.concatenate([np.frombuffer(x, "uint8") for x in table["times"].to_pylist()]).astype("int64")
+        order = np.argsort(marks, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], marks[order[1:]] != marks[order[:-1]]]))
+        total = np.repeat(np.add.reduceat(times[order], starts), np.diff(np.append(starts, len(order))))
+        several = order[total > 1]
+        kinds = np.zeros(len(marks), "uint8")
+        kinds[order] = np.log2(total).astype("uint8")
+        several.sort()  # by row again
+        ends = np.searchsorted(row[several], np.arange(1, len(sizes)))
+        return pa.table({
+            "block": table["block"], "part": table["part"],
+            "marks": pa.array([x.tobytes() for x in np.split(marks[several], ends)], pa.binary()),
+            "classes": pa.array([x.tobytes() for x in np.split(kinds[several], ends)], pa.binary())})
+
+    sent = blocks.select("block", "tokens").mapInArrow(send, "part long, block long, marks binary, times binary")
+    return sent.groupBy("part").applyInArrow(count, "block long, part long, marks binary, classes binary")
+
+
+def index_rows(blocks: DataFrame, percent: int, limit: np.uint64, orders: int) -> DataFrame:
+    """ord, token, set, size and slack: the prefixes of all sets under so many orders, without tokens of one set alone."""
+    parts = 1 + (blocks.agg(F.sum(F.length("tokens"))).first()[0] or 0) // 8 // PART
+    shared = shared_tokens(blocks, limit, parts)
+
+    def rows_of(left: pa.Table, right: pa.Table) -> pa.Table:
+        columns = [[], [], [], [], []]
+        known = np.concatenate([np.zeros(0, "uint64")] + [np.frombuffer(m, "uint32").astype("uint64") | np.uint64(p << 32) for m, p in zip(right["marks"].to_pylist(), right["part"].to_pylist())])
+        classes = np.concatenate([np.zeros(0, "uint8")] + [np.frombuffer(x, "uint8") for x in right["classes"].to_pylist()])
+        order = np.argsort(known)
+        known, classes = known[order], classes[order]
+        for sets, sizes, counts, tokens in zip(*(left[c].to_pylist() for c in ("sets", "sizes", "counts", "tokens"))):
+            tokens = np.frombuffer(tokens, "uint64")
+            part, mark = _part_and_mark(tokens, parts)
+            kind = np.zeros(len(tokens), "uint64")
+            if len(known):
+                key = part << np.uint64(32) | mark
+                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                kind = np.where(known[at] == key, classes[at], 0).astype("uint64")
+            kind[tokens >= limit] = UNKNOWN
+            end = 0
+            for one, size, count in zip(sets, sizes, counts):
+                begin, end = end, end + count
+                length = prefix_length(size, percent)
+                own, of = tokens[begin:end], kind[begin:end]
+                alone = int((of == 0).sum())
+                if alone >= length or not count:  # done, or its tokens stand with an earlier copy
+                    continue
+                for k in range(orders):
+                    within = np.where(of == UNKNOWN, own, mixed_bits(own, 100 + k)) >> np.uint64(6)
+                    first = own[np.argsort(of << np.uint64(58) | within)[alone:length]]
+                    n = len(first)
+                    columns[0].append(np.full(n, k))
+                    columns[1].append(first.view("int64"))
+                    columns[2].append(np.full(n, one))
+                    columns[3].append(np.full(n, size))
+                    columns[4].append(size * (100 - percent) - np.arange(alone, length) * (100 + percent))
+        whole = [np.concatenate(c) if c else np.zeros(0, "int64") for c in columns]
+        return pa.table({name: pa.array(c.astype("int64"), pa.int64()) for name, c in zip(("ord", "token", "set", "size", "slack"), whole)})
+
+    left = blocks.select("block", "sets", "sizes", "counts", "tokens").groupBy("block")
+    return left.cogroup(shared.groupBy("block")).applyInArrow(rows_of, "ord long, token long, set long, size long, slack long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -171,30 +300,22 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of sets, those whose whole sets are similar enough. `ids` has doc_id and set of every document."""
-    pairs = stored(pairs, "join-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+def whole_sets(docs: DataFrame, ids: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """set and its tokens, of the sets in `wanted`. Their texts are read again: of one document for each."""
     holders = ids.join(wanted, "set", "left_semi").groupBy("set").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     texts = docs.join(holders, docs.doc_id.eqNullSafe(holders.doc_id), "left_semi")
 
     def row(_, tokens: np.ndarray):
         return (set_id(tokens), tokens.view("int64").tolist()), len(tokens)
 
-    sets = stored(_each(texts, width, "set long, tokens array<long>", row, ["doc_id", "text"]).join(wanted, "set", "left_semi").dropDuplicates(["set"]), "join-sets")
-    rows = pairs.join(sets.toDF("a", "tokens_a"), "a").join(sets.toDF("b", "tokens_b"), "b").select("a", "b", "tokens_a", "tokens_b")
+    return stored(_each(texts, width, "set long, tokens array<long>", row, ["doc_id", "text"]).join(wanted, "set", "left_semi").dropDuplicates(["set"]), "join-sets")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            left, right = batch.column(2), batch.column(3)
-            for i in range(batch.num_rows):
-                x, y = left[i].values.to_numpy(), right[i].values.to_numpy()
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return stored(rows.mapInArrow(check, "a long, b long"), "join-links")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of sets, those whose whole sets are similar enough."""
+    rows = pairs.join(sets.toDF("a", "tokens_a"), "a").join(sets.toDF("b", "tokens_b"), "b")
+    shared, both = F.size(F.array_intersect("tokens_a", "tokens_b")), F.size("tokens_a") + F.size("tokens_b")
+    return stored(rows.where(shared * (100 + percent) >= both * percent).select("a", "b"), "join-links")
 
 
 def _close(percent: int, left: str, right: str) -> F.Column:
@@ -205,32 +326,25 @@ def classes_of(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[Data
     """Two tables: doc_id, set and size of every document; and, for every set, component (the least set of its
     component), component_id (the least doc_id in it) and keeper (the set of that document)."""
     docs = docs.select("doc_id", "text")
-    every = stored(prefixes(docs, slot_classes(docs, width), width, percent), "join-heads")
-    ids, heads = every.select("doc_id", "set", "size"), every.where("size > 0").select("set", "size", "heads")
-
-    def index(of: DataFrame, order: int) -> DataFrame:
-        rows = of.select(F.lit(order).alias("ord"), F.posexplode(F.element_at("heads", order + 1)).alias("pos", "token"), "set", "size")
-        return rows.withColumn("slack", F.col("size") * (100 - percent) - F.col("pos") * (100 + percent)).drop("pos")
+    limit = counted_share(percent)
+    blocks = document_blocks(docs, width, percent, limit)
+    ids = blocks.select(F.explode(F.arrays_zip("ids", "sets", "sizes")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.sets").alias("set"), F.col("x.sizes").alias("size"))
 
     def meeting(rows: DataFrame) -> DataFrame:
         sums = rows.groupBy("ord", "token").agg(F.min("set").alias("least"), F.max("set").alias("most"), F.max("slack").alias("hub_slack"))
         sums = sums.where("least < most and hub_slack >= 0").select("ord", "token", "hub_slack")
         return rows.join(sums, ["ord", "token"]).where("slack + hub_slack >= 0")
 
-    # Who meets nobody under the first order is not looked at under the others.
-    found = stored(meeting(index(heads, 0)).select("set").distinct(), "join-found")
-    alive = stored(heads.join(found, "set", "left_semi").dropDuplicates(["set"]), "join-alive")
-    rows = index(alive, 0)
-    for order in range(1, ORDERS):
-        rows = rows.union(index(alive, order))
-    rows = stored(meeting(rows), "join-index")
+    alive = stored(meeting(stored(index_rows(blocks, percent, limit, 1), "join-prefixes")).select("set").distinct(), "join-alive")
+    sets = whole_sets(docs, ids, alive, width)
+    rows = stored(meeting(stored(index_rows(set_blocks(sets, percent), percent, EVERY, ORDERS), "join-prefixes")), "join-index")
 
     everywhere = F.col("bits") == (1 << ORDERS) - 1
-    bit = F.expr("shiftleft(1, ord)").alias("bit")
-    hubs = rows.where("slack = hub_slack").groupBy("ord", "token").agg(F.min("set").alias("hub"))
-    near = rows.join(hubs, ["ord", "token"]).where("hub <> set")
+    bit = F.expr("shiftleft(1, cast(ord as int))").alias("bit")
+    hubs = rows.where("slack = hub_slack").groupBy("ord", "token").agg(F.min(F.struct("set", "size")).alias("hub")).select("ord", "token", F.col("hub.set").alias("hub"), F.col("hub.size").alias("hub_size"))
+    near = rows.join(hubs, ["ord", "token"]).where("hub <> set").where(_close(percent, "size", "hub_size"))
     first = near.select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b"), bit).groupBy("a", "b").agg(F.bit_or("bit").alias("bits")).where(everywhere).select("a", "b")
-    links = verified(first, docs, ids, width, percent)
+    links = verified(first, sets, percent)
     labels = components(links)
 
     known = rows.join(labels, "set", "left").withColumn("component", F.coalesce("component", "set"))
@@ -247,7 +361,7 @@ def classes_of(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[Data
     pairs = pairs.where("slack_a + slack_b >= 0").where(_close(percent, "size_a", "size_b"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), bit)
     pairs = pairs.groupBy("a", "b").agg(F.bit_or("bit").alias("bits")).where(everywhere).select("a", "b")
-    links = links.union(verified(pairs, docs, ids, width, percent))
+    links = links.union(verified(pairs, sets, percent))
     labels = components(links)
 
     sets = ids.where("size > 0").groupBy("set").agg(F.min("doc_id").alias("least_id"))
