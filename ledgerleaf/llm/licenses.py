@@ -1,9 +1,10 @@
 """Licence scan with a positional index of rare words.
 
-The index holds every mandatory phrase of the licence templates with the words that are rarest over all
-documents (by inverse document frequency) and their places in the phrase. In each text, the places of
-these words, less their place in the phrase, must meet in one start; what starts there is then compared with
-the phrase word by word. A template is found when all of its mandatory phrases are.
+The mandatory phrases of all licence templates make one index: of each phrase, the words that are rarest over all
+documents (by inverse document frequency) have postings, (phrase, place in it). A text looks up the words it shares
+with the index; every posting, its place in the text less its place in the phrase, votes for a start. Where all rare words of
+a phrase vote for one start, the words there are compared with the phrase. So the work is that of the postings
+looked up, however many templates there are. A template is found when all of its mandatory phrases are.
 
 Defined cases: a null or empty text has no words, no labels and score 0; rows are scanned each, so
 repeated rows give repeated results; only doc_id and text are read; an empty table gives an empty result.
@@ -58,7 +59,35 @@ TEMPLATES = BASE + (
     Template("cc-by-sa", ("licensed under cc by sa",)),
     Template("cc-by-nc", ("licensed under cc by nc",)),
     Template("cc-by-nc", ("creative commons attribution noncommercial",)),
+    Template("cc-by-nd", ("licensed under cc by nd",)),
+    Template("cc-by-sa", ("creative commons attribution sharealike",)),
+    Template("cc-by", ("creative commons attribution license",)),
+    Template("cc-by", ("creative commons attribution 4 0 international",)),
     Template("proprietary", ("all rights reserved",)),
+    Template("bsd-3", ("redistribution and use in source and binary forms", "neither the name of the")),
+    Template("zlib", ("altered source versions must be plainly marked as such",)),
+    Template("bsl", ("boost software license",)),
+    Template("artistic", ("artistic license",)),
+    Template("afl", ("academic free license",)),
+    Template("osl", ("open software license",)),
+    Template("ofl", ("sil open font license",)),
+    Template("psf", ("python software foundation license",)),
+    Template("postgresql", ("postgresql license",)),
+    Template("php", ("php license",)),
+    Template("odbl", ("open database license",)),
+    Template("gfdl", ("gnu free documentation license",)),
+    Template("cddl", ("common development and distribution license",)),
+    Template("cpl", ("common public license",)),
+    Template("eupl", ("european union public licence",)),
+    Template("ms-pl", ("microsoft public license",)),
+    Template("upl", ("universal permissive license",)),
+    Template("sspl", ("server side public license",)),
+    Template("ecl", ("educational community license",)),
+    Template("ncsa", ("university of illinois ncsa open source license",)),
+    Template("w3c", ("w3c software notice and license",)),
+    Template("qpl", ("q public license",)),
+    Template("lppl", ("latex project public license",)),
+    Template("zpl", ("zope public license",)),
 )
 
 
@@ -83,41 +112,63 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
     phrases = sorted({p for t in templates for p in t.phrases})
     n, holding = document_frequencies(docs, {w for p in phrases for w in p.split()})
     rarity = {w: math.log((n + 1) / (holding.get(w, 0) + 1)) + 1e-3 for p in phrases for w in p.split()}
-    index = {p: _anchors(p, rarity) for p in phrases}
-    anchors = sorted({w for found in index.values() for _, w in found})
+    number = {p: k for k, p in enumerate(phrases)}
+    index = [_anchors(p, rarity) for p in phrases]
+    by_word: dict[str, list[Column]] = {}
+    for k, found in enumerate(index):
+        for place, word in found:
+            by_word.setdefault(word, []).append(F.struct(F.lit(k).alias("phrase"), F.lit(place).alias("place")))
+    postings = F.create_map(*[c for word, found in sorted(by_word.items()) for c in (F.lit(word), F.array(*found))])
+    needed = F.array(*[F.lit(len(found)) for found in index])
+    spelled = F.array(*[F.array(*map(F.lit, p.split())) for p in phrases])
 
     rows = evaluated(docs, _words=words_of(F.col("text"))).drop("text")
-    hits = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(*anchors))
+    hits = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(*sorted(by_word)))
     rows = evaluated(rows, _hits=hits, n_words=F.size("_words").cast("long"))
-    starts = {f"_p{k}": F.when(F.size("_hits") > 0, _starts(p, index[p])).otherwise(F.array().cast("array<int>")) for k, p in enumerate(phrases)}
-    rows = evaluated(rows, **starts).drop("_words", "_hits")
-    at = {p: F.col(f"_p{k}") for k, p in enumerate(phrases)}
 
-    def weight(t: Template) -> float:
-        return sum(rarity[w] for p in t.phrases for w in p.split())
+    def votes(hit: Column) -> Column:
+        return F.transform(F.element_at(postings, hit["w"]), lambda p: F.struct(p["phrase"].alias("phrase"), (hit["i"] - p["place"]).alias("start")))
 
-    def there(t: Template) -> Column:
-        out = F.lit(True)
-        for p in t.phrases:
-            out = out & (F.size(at[p]) > 0)
-        return out
+    rows = evaluated(rows, _votes=F.when(F.size("_hits") > 0, F.sort_array(F.flatten(F.transform("_hits", votes))))).drop("_hits")
 
-    def labels(some: list[Template]) -> Column:
-        return F.array_join(F.sort_array(F.array_distinct(F.array(*[F.when(there(t), F.lit(t.label)) for t in some]))), ",")
+    def stands(vote: Column, j: Column) -> Column:
+        """A rare word votes once for a start at most, so votes that agree and are as many as the rare words come from all of them."""
+        phrase = F.get(spelled, vote["phrase"])
+        agreed = F.get("_votes", j - F.get(needed, vote["phrase"]) + 1).eqNullSafe(vote)
+        return agreed & (vote["start"] >= 0) & (F.slice("_words", F.greatest(vote["start"], F.lit(0)) + 1, F.size(phrase)) == phrase)
 
-    base = [t for t in templates if t.base]
-    base_starts = F.flatten(F.array(*[at[p] for t in base for p in t.phrases]))
-    shares = [sum((F.when(F.size(at[p]) > 0, F.lit(sum(rarity[w] for w in p.split()) / weight(t))).otherwise(F.lit(0.0)) for p in t.phrases), F.lit(0.0)) for t in templates]
+    none = F.array().cast("array<struct<phrase:int,start:int>>")
+    rows = evaluated(rows, _found=F.coalesce(F.filter("_votes", stands), none)).drop("_words", "_votes")
+    rows = evaluated(rows, _there=F.array_distinct(F.transform("_found", lambda x: x["phrase"])))
 
-    def named(t: Template, p: str) -> Column:
-        return F.transform(at[p], lambda s: F.struct(F.lit(t.label).alias("label"), F.lit(p).alias("phrase"), s.alias("start")))
+    weights = [sum(rarity[w] for w in p.split()) for p in phrases]
+    every = F.array(*[F.struct(F.lit(t.label).alias("label"), F.array(*[F.lit(number[p]) for p in t.phrases]).alias("phrases"), F.lit(sum(weights[number[p]] for p in t.phrases)).alias("weight")) for t in templates])
+    weight = F.array(*map(F.lit, weights))
+
+    def labels(some: Column) -> Column:
+        return F.array_join(F.sort_array(F.array_distinct(F.transform(some, lambda t: t["label"]))), ",")
+
+    def share(t: Column) -> Column:
+        return F.aggregate(F.array_intersect(t["phrases"], F.col("_there")), F.lit(0.0), lambda done, p: done + F.get(weight, p)) / t["weight"]
+
+    holds = F.filter(every, lambda t: F.size(F.array_except(t["phrases"], F.col("_there"))) == 0)
+    base = {number[p]: t.label for t in templates if t.base for p in t.phrases}
+    base_found = F.filter("_found", lambda x: x["phrase"].isin(*base))
+    base_starts = F.transform(base_found, lambda x: x["start"])
+    base_label = F.create_map(*[c for k, label in sorted(base.items()) for c in (F.lit(k), F.lit(label))])
+    some = F.size("_found") > 0
+
+    def named(x: Column) -> Column:
+        own = F.filter(every, lambda t: F.array_contains(t["phrases"], x["phrase"]))
+        return F.transform(own, lambda t: F.struct(t["label"].alias("label"), F.array_join(F.get(spelled, x["phrase"]), " ").alias("phrase"), x["start"].alias("start")))
 
-    places = F.flatten(F.array(*[named(t, p) for t in templates for p in t.phrases]))
     return rows.select(
         "doc_id", "n_words", F.size(base_starts).cast("long").alias("n_base"),
         F.array_min(base_starts).cast("long").alias("first_word"), F.array_max(base_starts).cast("long").alias("last_word"),
-        labels(base).alias("base_labels"), labels(list(templates)).alias("labels"),
-        F.least(F.lit(1.0), F.round(F.greatest(*shares), 9)).alias("score"), places.alias("places"),
+        F.array_join(F.sort_array(F.array_distinct(F.transform(base_found, lambda x: F.element_at(base_label, x["phrase"])))), ",").alias("base_labels"),
+        F.when(some, labels(holds)).otherwise(F.lit("")).alias("labels"),
+        F.when(some, F.least(F.lit(1.0), F.round(F.array_max(F.transform(every, share)), 9))).otherwise(F.lit(0.0)).alias("score"),
+        F.flatten(F.transform("_found", named)).alias("places"),
     )
 
 
@@ -126,19 +177,3 @@ def _anchors(phrase: str, rarity: dict[str, float]) -> list[tuple[int, str]]:
     words = phrase.split()
     first = {w: words.index(w) for w in words}
     return [(first[w], w) for w in sorted(first, key=lambda w: (-rarity[w], w))[:ANCHORS]]
-
-
-def _starts(phrase: str, anchors: list[tuple[int, str]]) -> Column:
-    """Starts at which the anchors agree and the whole phrase stands."""
-    meet = None
-    for place, word in anchors:
-        own = F.transform(F.filter("_hits", lambda x: x["w"] == word), lambda x: x["i"] - place)  # noqa: B023
-        meet = own if meet is None else F.array_intersect(meet, own)
-
-    def stands(start: Column) -> Column:
-        out = start >= 0
-        for j, word in enumerate(phrase.split()):
-            out = out & (F.coalesce(F.get("_words", start + j), F.lit("")) == word)
-        return out
-
-    return F.filter(meet, stands)
