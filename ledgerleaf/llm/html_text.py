@@ -1,11 +1,16 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one per block element. Lines of menus, headers, footers, sidebars, notices,
-adverts, forms, comments and the like count as empty, as do lines that are mostly links. Over the
-lines' text lengths a window slides; the text surges where its sum leaves zero and dives where it returns to
-zero. Crossing the edge of a region adds empty lines, so regions are never taken for one text. Of the
-stretches between surge and dive, those inside an article (or the main element) are kept whole; a page without either keeps
-all. Only what such a page has loose behind its own footer must have a window of half the page's highest.
+adverts, forms, comments and the like count as empty, as do lines that are mostly links. Names of classes only add to
+what elements say: outside of articles one such name is enough, within an article every name of the element must be one, so
+no text of an article is lost to a word of a name. Over the lines' text lengths a window slides; crossing the edge of a region adds empty
+lines, so regions are never taken for one text. Where the window's sum leaves zero a stretch of text begins, and where it returns
+to zero it ends. Of the stretches, those inside an article (or the main element) are kept whole.
+
+A page without either has its density to go by. Lines are dense that stand in a paragraph or heading, read as a sentence or
+reach half of the page's mean dense length; the text surges with the first dense line and dives after the last one. What is
+before the surge and behind the dive (menus and closing lines in plain elements) is cut; nothing in between is. What such a page has loose
+behind its own footer must have a window of half the page's highest.
 
 Defined cases: a null or empty page has an empty text; markup that is cut off at the end of a page is dropped,
 elements left open end with the element around them; repeated rows give repeated results; an empty table
@@ -23,6 +28,8 @@ from pyspark.sql import DataFrame
 
 #: Lines of the sliding window.
 WINDOW = 3
+#: Share of the mean length of paragraphs and sentences from which any line is dense.
+DENSE = 0.5
 #: Share of a line's characters in links from which it counts as empty, outside of articles.
 LINKS = 0.6
 
@@ -42,6 +49,9 @@ CONTAINERS = frozenset("div section center table ul ol dl blockquote pre figure
 BOILERPLATE = frozenset("nav header footer aside form menu dialog button head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt figcaption caption summary td th".split())
+_SENTENCE = re.compile(r"\S\s.*[.!?:;…。！？][\"'”’»)]*\Z", re.S)
+_CLOSING = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 _BOILERPLATE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|nav|navbar|navigation|menu|"
     r"breadcrumbs?|sidebar|side|rail|widget|footer|masthead|header|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|"
@@ -49,22 +59,23 @@ _BOILERPLATE_NAME = re.compile(
 
 
 class _Line:
-    __slots__ = ("parts", "chars", "links", "out", "main", "late")
+    __slots__ = ("parts", "chars", "links", "out", "main", "late", "prose")
 
-    def __init__(self, out: bool, main: bool, late: bool):
-        self.parts, self.chars, self.links, self.out, self.main, self.late = [], 0, 0, out, main, late
+    def __init__(self, out: bool, main: bool, late: bool, prose: bool = True):
+        self.parts, self.chars, self.links, self.out, self.main, self.late, self.prose = [], 0, 0, out, main, late, prose
 
     def text(self) -> str:
         return " ".join(unescape("".join(self.parts)).split())
 
 
-def _outside(name: str, attributes: str) -> bool:
-    """Whether an element is no part of the main text."""
+def _outside(name: str, attributes: str, main: bool) -> bool:
+    """Whether an element is no part of the main text; `main`: within an article or main element."""
     if name in BOILERPLATE:
         return True
     if name in ("html", "body", "main", "p", "a", "b", "i", "em", "strong", "span") and "comment" not in attributes:
         return False
-    return any(_BOILERPLATE_NAME.search(next(filter(None, m.groups()), "")) for m in _NAMES.finditer(attributes))
+    names = [n for m in _NAMES.finditer(attributes) for n in next(filter(None, m.groups()), "").split()]
+    return bool(names) and (all if main else any)(_BOILERPLATE_NAME.search(n) for n in names)
 
 
 def lines_of(html: str) -> list[_Line]:
@@ -118,7 +129,7 @@ def lines_of(html: str) -> list[_Line]:
             else:
                 before_out = before[1]
             in_main = before[2] or name in ("article", "main") and not before_out
-            out = before_out or _outside(name, attributes)
+            out = before_out or _outside(name, attributes, before[2])
             around = [e[0] for e in open_elements if e[1]]
             if name in HEADINGS and in_main and around[:1] == ["header"] and {*around} <= {"header", "hgroup", "div"}:
                 out = False  # the title that an article has in its own header
@@ -129,7 +140,8 @@ def lines_of(html: str) -> list[_Line]:
             lines.append(line)
             if now[1:3] != before[1:3]:
                 lines.append(None)
-            line = _Line(now[1], now[2], footer and not now[4])
+            inner = next((e[0] for e in reversed(open_elements) if e[0] in BLOCKS or e[0] in CELLS), "")
+            line = _Line(now[1], now[2], footer and not now[4], inner in PROSE or inner in ("", "body", "html"))
     if raw is None and done < len(html):
         line.parts.append(html[done:])
     return [*lines, line]
@@ -141,12 +153,14 @@ def main_text(html: str | None) -> str:
     lengths: list[int] = []
     main: list[bool] = []
     late: list[bool] = []
+    prose: list[bool] = []
     for line in lines_of(html or ""):
         if line is None:
             texts += [""] * WINDOW
             lengths += [0] * WINDOW
             main += [False] * WINDOW
             late += [True] * WINDOW
+            prose += [False] * WINDOW
             continue
         text = "" if line.out else line.text()
         if not text and not line.out:
@@ -157,6 +171,7 @@ def main_text(html: str | None) -> str:
         lengths.append(len(text))
         main.append(line.main)
         late.append(line.late or not text)
+        prose.append(line.prose)
     sums = [sum(lengths[i:i + WINDOW]) for i in range(len(lengths))]
     stretches, start = [], None
     for i in range(len(sums) + 1):
@@ -173,6 +188,11 @@ def main_text(html: str | None) -> str:
         behind = [(a, b) for a, b in stretches if all(late[a:b])]
         drop = 2 * max((max(sums[a:b]) for a, b in behind), default=0) < most
         kept = [(a, b) for a, b in stretches if not (drop and all(late[a:b]))]
+        sure = [i for a, b in kept for i in range(a, b) if texts[i] and not _CLOSING.match(texts[i]) and (prose[i] or _SENTENCE.search(texts[i]))]
+        if sure:
+            enough = DENSE * sum(lengths[i] for i in sure) / len(sure)
+            dense = {*sure} | {i for a, b in kept for i in range(a, b) if lengths[i] >= enough}
+            kept = [(max(a, min(dense)), min(b, max(dense) + 1)) for a, b in kept]
     return "\n".join(t for a, b in kept for t in texts[a:b] if t)
 
 

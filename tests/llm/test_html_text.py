@@ -74,3 +74,36 @@ def test_lead_before_an_advert():
         html = "<body>" + NOISE[0] + around.format(inside) + NOISE[-2]
         want = ["Title", "A short lead.", *long, "The end."]
         assert html_text.main_text(html) == "\n".join(["Head"] * ("Head" in around) + want)
+
+
+def test_plain_elements():
+    text = ["A title here", "The first paragraph of the text says something, at some length, as texts do.", "short", "The second one goes on. And on, for a while at least, before it ends."]
+    menu, closing = ["Home", "About us", "Contact"], ["Copyright 2024 Example Inc.", "Privacy policy and terms"]
+    html = "<body>" + "".join(f"<div>{t}</div>" for t in [*menu, *text[1:], *closing]) + "</body>"
+    assert html_text.main_text(html) == "\n".join(text[1:])
+    html = "<body><div>" + "".join(f"<div>{t}</div>" for t in menu) + "</div>" + f"<h1>{text[0]}</h1>" + "".join(f"<p>{t}</p>" for t in text[1:]) + "".join(f"<span>{t}</span><br>" for t in closing)
+    got = html_text.main_text(html).split("\n")
+    assert got[:4] == text
+    assert html_text.main_text("<div>only this</div>") == "only this"  # nothing is dense: nothing is cut
+
+
+def test_words_of_names_lose_no_article_text():
+    for names in ("search results", "social history", "login-free note", "tags of war"):
+        html = f"<article><p>Before.</p><div class='{names}'><p>Inside of it.</p></div><p>After.</p></article>"
+        assert html_text.main_text(html) == "Before.\nInside of it.\nAfter.", names
+    html = "<article><p>Before.</p><div class='ad banner'>Buy this.</div><div class='share-buttons'>Share</div><div id='newsletter'>Subscribe now</div><p>After.</p></article>"
+    assert html_text.main_text(html) == "Before.\nAfter."
+
+
+def test_words_kept_and_lost():
+    """Recall and precision by words over made pages in plain elements."""
+    rng = random.Random(15)
+    kept = given = shown = 0
+    for _ in range(200):
+        text = [" ".join(rng.choice(["stone", "river", "over", "the", "hill"]) for _ in range(rng.randint(6, 60))) + "." for _ in range(rng.randint(2, 9))]
+        menu = rng.sample(["Start", "Our team", "Jobs", "Shop", "Log in", "Help"], rng.randint(1, 6))
+        closing = rng.sample(["Imprint", "Terms of use", "Privacy", "\u00a9 2024 The Site", "Sitemap"], rng.randint(1, 5))
+        html = "<html><body>" + "".join(f"<div>{t}</div>" for t in [*menu, *text, *closing]) + "</body></html>"
+        got, want = html_text.main_text(html).split(), " ".join(text).split()
+        kept, given, shown = kept + len([w for w in got if w in want]), given + len(want), shown + len(got)
+    assert kept == given and kept >= 0.99 * shown
