@@ -21,7 +21,9 @@ negative, so one of any two has slack, and the rows of a bucket need only be met
 Links are asked for as components, so a group of copies need not be expanded into all its pairs. First,
 every class meets the classes of the most slack in its buckets, if that is the same class under every order. The
 links found make components; then all pairs of *different* components that the filters leave are verified. Buckets
-that lie in one component are never expanded, and no link between components is missed.
+that lie in one component are never expanded, and no link between components is missed. Within a bucket, members of two
+components are compared by sketches first: SKETCH words of 64 bits, each bit the parity of the tokens that fall on it. As
+many bits as two sketches differ in, the sets differ in tokens at least, so no pair is lost by it.
 
 Defined cases: a null or empty text, or one without words, has the empty set and is linked with nothing (its
 component is itself); a text of fewer than n words is one n-gram; rows that repeat an id are
@@ -47,6 +49,8 @@ from ledgerleaf.llm.common import stored
 ORDERS = 3
 #: Tokens are counted in this many times the share that similar sets may differ in.
 LOOKED_UP = 2.5
+#: Words of 64 bits in the sketch of a set.
+SKETCH = 8
 #: Words whose hashes a worker remembers at most.
 REMEMBERED = 500_000
 #: Tokens that are given back at once; tokens of a stored block; tokens counted in one part, by expectation.
@@ -87,6 +91,12 @@ class Sets:
         return np.unique(mixed_bits(tokens, size))
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the number of tokens on each of 64 * SKETCH places, as signed numbers."""
+    odd = np.bincount((tokens >> np.uint64(20)).astype("int64") % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype("uint8")).view("int64")
+
+
 def set_id(tokens: np.ndarray) -> int:
     """A number of 64 bits for a set."""
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
@@ -301,19 +311,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """set and its tokens, of the sets in `wanted`. Their texts are read again: of one document for each."""
+    """set, its tokens and its sketch, of the sets in `wanted`. Their texts are read again: of one document for each."""
     holders = ids.join(wanted, "set", "left_semi").groupBy("set").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     texts = docs.join(holders, docs.doc_id.eqNullSafe(holders.doc_id), "left_semi")
 
     def row(_, tokens: np.ndarray):
-        return (set_id(tokens), tokens.view("int64").tolist()), len(tokens)
+        return (set_id(tokens), tokens.view("int64").tolist(), sketch(tokens).tolist()), len(tokens)
 
-    return stored(_each(texts, width, "set long, tokens array<long>", row, ["doc_id", "text"]).join(wanted, "set", "left_semi").dropDuplicates(["set"]), "join-sets")
+    return stored(_each(texts, width, "set long, tokens array<long>, sketch array<long>", row, ["doc_id", "text"]).join(wanted, "set", "left_semi").dropDuplicates(["set"]), "join-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) of sets, those whose whole sets are similar enough."""
-    rows = pairs.join(sets.toDF("a", "tokens_a"), "a").join(sets.toDF("b", "tokens_b"), "b")
+    rows = pairs.join(sets.select(F.col("set").alias("a"), F.col("tokens").alias("tokens_a")), "a").join(sets.select(F.col("set").alias("b"), F.col("tokens").alias("tokens_b")), "b")
     shared, both = F.size(F.array_intersect("tokens_a", "tokens_b")), F.size("tokens_a") + F.size("tokens_b")
     return stored(rows.where(shared * (100 + percent) >= both * percent).select("a", "b"), "join-links")
 
@@ -348,17 +358,27 @@ def classes_of(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[Data
     labels = components(links)
 
     known = rows.join(labels, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    groups = known.groupBy("ord", "token", "component").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max("slack").alias("best"))
+    groups = known.groupBy("ord", "token", "component").agg(F.count("*").alias("n"), F.min("size").alias("low"), F.max("size").alias("high"), F.max("slack").alias("best"))
     several = groups.groupBy("ord", "token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("ord", "token")
     groups = stored(groups.join(several, ["ord", "token"], "left_semi"), "join-groups")
     # Of two sets that link, at least one has slack: only groups with slack look for others.
-    left = groups.where("best >= 0").toDF("ord", "token", "c_a", "low_a", "high_a", "best_a")
-    right = groups.toDF("ord", "token", "c_b", "low_b", "high_b", "best_b")
+    left = groups.where("best >= 0").toDF("ord", "token", "c_a", "n_a", "low_a", "high_a", "best_a")
+    right = groups.toDF("ord", "token", "c_b", "n_b", "low_b", "high_b", "best_b")
     meet = left.join(right, ["ord", "token"]).where("best_a + best_b >= 0 and (c_a < c_b or best_b < 0 and c_a <> c_b)")
-    meet = meet.where(f"high_a * 100 >= low_b * {percent} and high_b * 100 >= low_a * {percent}").select("ord", "token", "c_a", "c_b")
-    member = known.select("ord", "token", "component", "set", "size", "slack")
-    pairs = meet.join(member.toDF("ord", "token", "c_a", "a", "size_a", "slack_a"), ["ord", "token", "c_a"]).join(member.toDF("ord", "token", "c_b", "b", "size_b", "slack_b"), ["ord", "token", "c_b"])
-    pairs = pairs.where("slack_a + slack_b >= 0").where(_close(percent, "size_a", "size_b"))
+    meet = meet.where(f"high_a * 100 >= low_b * {percent} and high_b * 100 >= low_a * {percent}")
+    # The members of the smaller component come first, then those of the larger one that may link with them.
+    fewer = F.col("n_a") <= F.col("n_b")
+    meet = meet.select("ord", "token", F.when(fewer, F.col("c_a")).otherwise(F.col("c_b")).alias("c_a"), F.when(fewer, F.col("c_b")).otherwise(F.col("c_a")).alias("c_b"),
+                       F.when(fewer, F.col("best_b")).otherwise(F.col("best_a")).alias("best"))
+    words = [F.get("sketch", F.lit(i)).alias(f"w{i}") for i in range(SKETCH)]
+    member = known.join(sets.select("set", *words), "set").select("ord", "token", "component", "set", "size", "slack", *(f"w{i}" for i in range(SKETCH)))
+    one = member.toDF("ord", "token", "c_a", "a", "size_a", "slack_a", *(f"a{i}" for i in range(SKETCH)))
+    other = member.toDF("ord", "token", "c_b", "b", "size_b", "slack_b", *(f"b{i}" for i in range(SKETCH)))
+    # Sets that link differ in so many tokens at most: what is not shared of both, 1 - t parts of 1 + t.
+    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(SKETCH)), F.lit(0))
+    alike = differ * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)
+    pairs = meet.join(one, ["ord", "token", "c_a"]).where("slack_a + best >= 0").join(other, ["ord", "token", "c_b"])
+    pairs = pairs.where("slack_a + slack_b >= 0").where(_close(percent, "size_a", "size_b")).where(alike)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), bit)
     pairs = pairs.groupBy("a", "b").agg(F.bit_or("bit").alias("bits")).where(everywhere).select("a", "b")
     links = links.union(verified(pairs, sets, percent))

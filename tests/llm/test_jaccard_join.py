@@ -72,3 +72,26 @@ def test_one_of_each_and_empty(spark):
     want = len({g[2] for g in groups if g[1] and g[2] is not None}) + sum(g[1] == 0 or g[2] is None for g in groups)
     assert kept.count() == want
     assert jaccard_join.linked(docs.limit(0)).count() == 0 and jaccard_join.one_each(docs.limit(0)).count() == 0
+
+
+def test_sketches_never_differ_more_than_sets():
+    rng = random.Random(9)
+    for _ in range(200):
+        x, y = (jaccard_join.np.unique(jaccard_join.np.array([rng.randrange(2 ** 64) if rng.random() < 0.3 else k * 0x9E3779B97F4A7C15 % 2 ** 64 for k in range(rng.randrange(1, 600))], "uint64")) for _ in "ab")
+        bits = jaccard_join.np.unpackbits((jaccard_join.sketch(x) ^ jaccard_join.sketch(y)).view("uint8")).sum()
+        assert bits <= len(jaccard_join.np.setxor1d(x, y)) and len(jaccard_join.sketch(x)) == jaccard_join.SKETCH
+
+
+def test_many_near_copies_of_one_text(spark):
+    """A family whose members differ by more and more: links between components, found past the hubs."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(250):
+        copy = list(base)
+        for k in rng.sample(range(150), rng.randrange(0, 14)):
+            copy[k] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(copy), "x", 1, None))
+    for width, percent in ((3, 90), (5, 80)):
+        got = jaccard_join.linked(spark.createDataFrame(rows, SCHEMA), width, percent)
+        assert sorted(map(tuple, got.collect()), key=str) == brute(rows, width, percent)
