@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerleaf.llm import jaccard_join, mixing, packing, pii, quality
 from ledgerleaf.llm.common import stored
-from ledgerleaf.llm.registry import PII_KEY, VOCABULARY
+from ledgerleaf.llm.registry import LIMITS, MASKED, PII_KEY, VOCABULARY
 from ledgerleaf.sources.tables import table
 
 
@@ -21,8 +21,10 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data as pseudonyms; n_chars follows the text."""
+    """Personal data as pseudonyms; n_chars, where there is one, follows the text."""
     changed = pii.pseudonymise(docs, PII_KEY)
+    if "n_chars" not in docs.columns:
+        return changed
     return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -33,8 +35,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens; one row per piece."""
-    pieces = packing.cut_documents(docs, VOCABULARY, length=4096, end_id=2)
-    return packing.pack(pieces, {"length": 4096, "segments": 256, "loss_tokens": 4096}, size="length")
+    pieces = packing.cut_documents(docs, VOCABULARY, length=LIMITS["length"], end_id=2, masked=MASKED, loss=LIMITS["loss_tokens"])
+    return packing.pack(pieces, LIMITS, size="length")
 
 
 STAGES = [("quality rules", good), ("jaccard join", distinct), ("pii", private), ("mixing", mix), ("packing", pack)]
