@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerleaf.functions.stages import evaluated
@@ -33,19 +35,17 @@ def line_totals(items: DataFrame) -> DataFrame:
     """Line count and sum per document. Sums of decimals do not depend on the row order, and the
     partial sums are taken before the shuffle, so a document with very many lines is no hot spot.
 
-    Amounts of 10 ** 15 and more are summed by their power of ten, as no decimal holds them all; those
-    few sums are then added up in the order of the powers."""
+    No decimal holds all amounts: those below 10 ** 15 are summed with six places, those below 10 ** 30 without,
+    what is above as doubles, whose sum may differ in its last bit with the order."""
     amount = parse_num(F.col("total"))
-    infinite = amount == float("inf")
-    power = F.when(amount < 1e15, 0).when(infinite, 400).otherwise(F.floor(F.log10(amount)) - 14)
-    parts = items.select("doc_id", amount.alias("amount"), infinite.alias("infinite"), power.cast("int").alias("power"))
-    digits = F.when(F.col("infinite"), 1.0).otherwise(F.col("amount") / F.pow(F.lit(10.0), F.col("power")))
-    sums = parts.groupBy("doc_id", "power").agg(
-        F.count("*").alias("n"), F.sum(digits.cast("decimal(28,6)")).cast("double").alias("part"))
-    by_power = F.sort_array(F.collect_list(F.struct("power", "part")))
-    return sums.groupBy("doc_id").agg(
-        F.sum("n").alias("line_count"),
-        F.aggregate(by_power, F.lit(0.0), lambda acc, p: acc + p["part"] * F.pow(F.lit(10.0), p["power"])).alias("line_sum"),
+
+    def band(low: float, high: float, kind: str) -> Column:
+        return F.coalesce(F.sum(F.when((F.col("amount") >= low) & (F.col("amount") < high), F.col("amount")).cast(kind)).cast("double"), F.lit(0.0))
+
+    return items.select("doc_id", amount.alias("amount")).groupBy("doc_id").agg(
+        F.count("*").alias("line_count"),
+        (band(float("-inf"), 1e15, "decimal(28,6)") + band(1e15, 1e30, "decimal(38,0)")
+         + F.coalesce(F.sum(F.when(F.col("amount") >= 1e30, F.col("amount"))), F.lit(0.0))).alias("line_sum"),
     )
 
 
@@ -187,10 +187,18 @@ def _field_issues() -> Column:
     return F.flatten(F.transform("fields", of_field))
 
 
-def validate(docs: DataFrame, as_of: str = R.REFERENCE_AS_OF) -> DataFrame:
+def rules_before(code: str) -> list[str]:
+    """A rule of a category and those that come before it there: what its place among the issues depends on."""
+    of = {rule.code: rule.category for rule in R.CATEGORY_ISSUES}
+    mine = [rule for rule in of if of[rule] == of[code]]
+    return mine[:mine.index(code) + 1]
+
+
+def validate(docs: DataFrame, as_of: str = R.REFERENCE_AS_OF, rules: Collection[str] | None = None) -> DataFrame:
     """Add issues, issues_count, validation_score, validation_status and is_approved.
 
-    Needs category, fields, line_count and line_sum; works per row.
+    Needs category, fields, line_count and line_sum; works per row. With `rules`, of the rules of categories only
+    these are looked at; the line columns are needed for LINE_ITEM_MISMATCH alone.
     """
     today = F.lit(as_of).cast("date")
     before = docs.columns
@@ -201,7 +209,8 @@ def validate(docs: DataFrame, as_of: str = R.REFERENCE_AS_OF) -> DataFrame:
     )
     conditions, wording = _conditions(today), _wording(today)
     by_rule = F.array(*(
-        F.when(conditions[rule.code], _issue(rule, wording)) for rule in R.CATEGORY_ISSUES
+        F.when(conditions[rule.code], _issue(rule, wording))
+        for rule in R.CATEGORY_ISSUES if rules is None or rule.code in rules
     ))
     flagged = evaluated(
         read,

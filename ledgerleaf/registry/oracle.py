@@ -455,6 +455,21 @@ def matches(rule: P.Entity) -> str:
             f"ELSE regexp_extract_all(text, {wide_form}, 1) END")
 
 
+def marked(rule: P.Entity) -> str:
+    """The text with a mark before and after each match."""
+    flag, mark = "(?i)" if rule.ignore_case else "", chr(0xFDD0)
+    plain = f"regexp_replace(text, {re2(rule.pattern, rule.ignore_case)}, {text(mark + chr(92) + '0' + mark)}, 'g')"
+    if not rule.whole_words:
+        return plain
+    inner = spell(rule.pattern.removeprefix(r"\b").removesuffix(r"\b"))
+    inner = inner.replace("([A-Z0-9]", "(?:[A-Z0-9]")
+    edge = r"[^\p{L}\p{N}_]"
+    wide_form = text(rf"{flag}(^|{edge})({inner})($|{edge})")
+    places = text(chr(92) + f"1{mark}" + chr(92) + f"2{mark}" + chr(92) + "3")
+    return (rf"CASE WHEN regexp_matches(text, '^[\x00-\x7f]*$') THEN {plain} "
+            f"ELSE regexp_replace(text, {wide_form}, {places}, 'g') END")
+
+
 for _i, _rule in enumerate(P.ENTITIES):
     cte(f"x_hits_{_i}", f"""SELECT doc_id, CAST(pos - 1 AS INTEGER) AS match_ord, value FROM (
   SELECT doc_id, unnest(hits) AS value, generate_subscripts(hits, 1) AS pos
@@ -464,27 +479,32 @@ cte("x_hits", "\nUNION ALL ".join(
     for i, r in enumerate(P.ENTITIES)))
 cte("x_distinct", """SELECT doc_id, type, value, min(type_ord) AS type_ord,
   min(match_ord) AS first_ord, count(*) AS times FROM x_hits GROUP BY doc_id, type, value""")
-cte("x_entities", f"""SELECT * FROM (SELECT doc_id,
+cte("x_every_entity", """SELECT doc_id,
   CAST(row_number() OVER (PARTITION BY doc_id ORDER BY type_ord, first_ord) - 1 AS INTEGER)
-    AS entity_ord, type, value FROM x_distinct) WHERE entity_ord < {P.MAX_ENTITIES}""")
+    AS entity_ord, type, value FROM x_distinct""")
+cte("x_entities", f"SELECT * FROM x_every_entity WHERE entity_ord < {P.MAX_ENTITIES}")
 cte("x_lines", f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER)
   AS line_no, line FROM (SELECT doc_id, pos, {strip('line')} AS line FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
       generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM x_docs)) WHERE line <> ''""")
 cte("x_marked", f"""SELECT *, length(line) < {P.HEADING_LENGTH} AND (regexp_matches(line, {re2(P.HEADINGS[0])})
   OR regexp_matches(line, {re2(P.HEADINGS[1])})) AS is_heading FROM x_lines""")
-cte("x_sections", f"""SELECT * FROM (SELECT doc_id,
+
+def section_rows(lines: int | None = None) -> str:
+    kept = "NOT is_heading" if lines is None else f"NOT is_heading AND nth <= {lines}"
+    return f"""SELECT doc_id,
   CAST(row_number() OVER (PARTITION BY doc_id ORDER BY island) - 1 AS INTEGER) AS section_ord,
   title, content FROM (
     SELECT doc_id, island,
       coalesce(max(line) FILTER (WHERE is_heading), {text(P.FIRST_SECTION)}) AS title,
-      string_agg(line, chr(10) ORDER BY line_no)
-        FILTER (WHERE NOT is_heading AND nth <= {P.MAX_SECTION_LINES}) AS content
+      string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE {kept}) AS content
     FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, island, is_heading ORDER BY line_no) AS nth
       FROM (SELECT *, sum(CAST(is_heading AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY line_no) AS island
         FROM x_marked))
-    GROUP BY doc_id, island HAVING count(*) FILTER (WHERE NOT is_heading) > 0))
-WHERE section_ord < {P.MAX_SECTIONS}""")
+    GROUP BY doc_id, island HAVING count(*) FILTER (WHERE NOT is_heading) > 0)"""
+
+
+cte("x_sections", f"SELECT * FROM ({section_rows(P.MAX_SECTION_LINES)}) WHERE section_ord < {P.MAX_SECTIONS}")
 
 # --- one statement per query ----------------------------------------------------------------
 
@@ -554,6 +574,17 @@ WHERE c.category = {text(C.INVOICE)}
 oracle("line_items", "SELECT * FROM x_all_items")
 oracle("export_items", """SELECT doc_id, description AS "Description", quantity AS "Quantity",
   unit_price AS "Unit Price", total AS "Total" FROM x_all_items""")
+cte("x_counts_of_insights", "SELECT doc_id, CAST(count(*) AS INTEGER) AS n FROM x_insights GROUP BY doc_id")
+oracle("export_json_read", """SELECT c.doc_id, c.doc_id AS document_id, c.original_name AS filename, c.category, c.validation_status,
+  strftime(c.created_at, '%Y-%m-%d %H:%M:%S') AS processed_at, CAST(f.n AS INTEGER) AS fields_count, c.grand_total,
+  coalesce(i.totals, '') AS item_totals, coalesce(s.codes, '') AS codes, coalesce(k.n, 0) AS insights_count
+FROM x_checked c JOIN (SELECT doc_id, count(*) AS n FROM x_fields GROUP BY doc_id) f USING (doc_id)
+LEFT JOIN (SELECT doc_id, string_agg(total, '|' ORDER BY page_number, table_ord, item_ord, description, quantity, unit_price, total) AS totals FROM x_all_items GROUP BY doc_id) i USING (doc_id)
+LEFT JOIN (SELECT doc_id, string_agg(code, '|' ORDER BY issue_ord) AS codes FROM x_issues GROUP BY doc_id) s USING (doc_id)
+LEFT JOIN x_counts_of_insights k USING (doc_id)""")
+oracle("export_csv", """SELECT 'fields' AS part, doc_id, 0 AS page_number, 0 AS table_ord, field_ord AS ord, label AS a, value AS b,
+  CAST(trunc(confidence * 100) AS INTEGER) || '%' AS c FROM x_fields
+UNION ALL SELECT 'items', doc_id, page_number, table_ord, item_ord, description, quantity, total FROM x_all_items""")
 oracle("json_decode", f"""SELECT f.doc_id, c.issues_count, f.key, f.value, f.confidence, f.label
 FROM x_fields f JOIN x_checked c USING (doc_id)""")
 
@@ -643,12 +674,20 @@ FROM x_fields_null GROUP BY category, key""")
 for _i, _name in enumerate(("money", "date", "id", "email")):
     oracle(f"entities_{_name}", f"SELECT doc_id, match_ord, value FROM x_hits_{_i}")
 oracle("entities", "SELECT doc_id, entity_ord, type, value FROM x_entities")
+oracle("entities_all", "SELECT doc_id, entity_ord, type, value FROM x_every_entity")
+oracle("entity_spans", "\nUNION ALL ".join(
+    f"""SELECT doc_id, {text(r.type)} AS type, value, min(start) AS span_start, min(start) + CAST(length(value) AS INTEGER) AS span_end, value AS covered
+FROM (SELECT doc_id, parts[2 * j] AS value, CAST(length(array_to_string(parts[1:2 * j - 1], '')) AS INTEGER) AS start
+  FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts) // 2)) AS j
+    FROM (SELECT doc_id, string_split({marked(r)}, chr({0xFDD0})) AS parts FROM x_docs)))
+GROUP BY doc_id, value""" for r in P.ENTITIES))
 oracle("entities_distinct", "SELECT doc_id, type, value, first_ord, times FROM x_distinct")
 oracle("entity_totals",
        "SELECT type, value, count(*) AS documents FROM x_distinct GROUP BY type, value")
 oracle("doc_lines", "SELECT doc_id, line_no, line FROM x_lines")
 oracle("section_headers", "SELECT doc_id, line_no, line FROM x_marked WHERE is_heading")
 oracle("sections", "SELECT doc_id, section_ord, title, content FROM x_sections")
+oracle("sections_all", section_rows())
 
 _cells = """SELECT unnest(CASE WHEN short THEN
     CASE WHEN page_number = 7 THEN [description] ELSE [description, quantity] END
@@ -691,16 +730,17 @@ def search_words(question: str) -> list[str]:
             if len(w) > Q.MIN_WORD and w not in Q.STOP_WORDS]
 
 
-def snippet_rows(condition: str) -> str:
+def snippet_rows(condition: str, cap: str = f"WHERE snippet_ord < {Q.MAX_SNIPPETS}") -> str:
     """Every line, blank or not, so that short ones are judged by the rule itself."""
     return f"""SELECT * FROM (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1
   AS INTEGER) AS snippet_ord, line AS snippet FROM (
     SELECT doc_id, line, min(line_no) AS pos FROM x_lines
     WHERE length(line) > {Q.MIN_LINE} AND {condition} GROUP BY doc_id, line))
-WHERE snippet_ord < {Q.MAX_SNIPPETS}"""
+{cap}"""
 
 
 oracle("snippet_search", snippet_rows(any_of("lower(line)", search_words(QUESTION))))
+oracle("snippets_all", snippet_rows(any_of("lower(line)", search_words(QUESTION)), ""))
 
 cte("x_section_counts", "SELECT doc_id, CAST(count(*) AS INTEGER) AS n FROM x_sections GROUP BY doc_id")
 cte("x_entity_counts", "SELECT doc_id, CAST(count(*) AS INTEGER) AS n FROM x_entities GROUP BY doc_id")
@@ -785,12 +825,13 @@ cte("x_insight_parts", f"""SELECT doc_id, string_agg({fill(Q.SUMMARY_INSIGHT, **
   ORDER BY insight_ord) FILTER (WHERE insight_ord < {Q.SUMMARY_INSIGHTS}) AS lines
 FROM x_insights GROUP BY doc_id""")
 cte("x_asked", f"SELECT doc_id, {_question} AS question FROM x_docs")
-cte("x_snippets", "\nUNION ALL ".join(
+for _suffix, _cap in (("", f"WHERE snippet_ord < {Q.MAX_SNIPPETS}"), ("_all", "")):
+    cte(f"x_snippets{_suffix}", "\nUNION ALL ".join(
     f"SELECT a.doc_id, string_agg({fill(Q.SNIPPET_LINE, line='s.snippet')}, chr(10) "
     f"ORDER BY s.snippet_ord) AS lines FROM x_asked a JOIN ("
-    f"{snippet_rows(any_of('lower(line)', search_words(q)))}) s USING (doc_id) "
+    f"{snippet_rows(any_of('lower(line)', search_words(q)), _cap)}) s USING (doc_id) "
     f"WHERE a.question = {text(q)} GROUP BY a.doc_id" for q in ASKED if search_words(q)))
-cte("x_decided", f"""SELECT a.question, c.*, w.* EXCLUDE (doc_id), i.* EXCLUDE (doc_id, n), i.n AS issue_n,
+    cte(f"x_decided{_suffix}", f"""SELECT a.question, c.*, w.* EXCLUDE (doc_id), i.* EXCLUDE (doc_id, n), i.n AS issue_n,
   k.lines AS insight_lines, s.lines AS snippet_lines, v.payment_terms AS terms,
   CASE WHEN {_wanted['money']} AND category = {text(C.INVOICE)} THEN 'money_invoice'
     WHEN {_wanted['money']} AND category = {text(C.CONTRACT)} THEN 'money_contract'
@@ -800,7 +841,7 @@ cte("x_decided", f"""SELECT a.question, c.*, w.* EXCLUDE (doc_id), i.* EXCLUDE (
     WHEN s.lines IS NOT NULL THEN 'search' ELSE 'overview' END AS intent
 FROM x_asked a JOIN x_checked c USING (doc_id) JOIN x_field_parts w USING (doc_id)
 JOIN x_wide v USING (doc_id) LEFT JOIN x_issue_parts i USING (doc_id)
-LEFT JOIN x_insight_parts k USING (doc_id) LEFT JOIN x_snippets s USING (doc_id)""")
+LEFT JOIN x_insight_parts k USING (doc_id) LEFT JOIN x_snippets{_suffix} s USING (doc_id)""")
 _alert = fill(Q.MONEY_ALERT, message="alert")
 _answers = {
     "money_invoice": (fill(
@@ -824,5 +865,6 @@ _answers = {
         score="validation_score"), cited(Q.CITE_OVERVIEW)),
 }
 _cases = [" ".join(f"WHEN '{i}' THEN {parts[j]}" for i, parts in _answers.items()) for j in (0, 1)]
-oracle("answer_batch", f"""SELECT doc_id AS question_id, doc_id, question, intent,
-  CASE intent {_cases[0]} END AS answer, CASE intent {_cases[1]} END AS citations FROM x_decided""")
+for _name, _suffix in (("answer_batch", ""), ("answer_all", "_all")):
+    oracle(_name, f"""SELECT doc_id AS question_id, doc_id, question, intent,
+  CASE intent {_cases[0]} END AS answer, CASE intent {_cases[1]} END AS citations FROM x_decided{_suffix}""")

@@ -243,6 +243,37 @@ def export_items(spark, sf_dir):
     return exports.export_items(line_items(spark, sf_dir))
 
 
+@query
+def export_json_read(spark, sf_dir):
+    """The JSON texts read back into columns."""
+    items = "array<struct<description string, quantity string, unit_price string, total string>>"
+    schema = (f"export_metadata struct<document_id bigint, filename string, category string, validation_status string, processed_at string>, "
+              f"extracted_fields map<string, string>, line_items {items}, validation_issues array<struct<code string>>, knowledge_insights array<struct<title string>>")
+    read = export_json(spark, sf_dir).select("doc_id", F.from_json("json", schema).alias("x")).select("doc_id", "x.*")
+    return read.select(
+        "doc_id", "export_metadata.document_id", "export_metadata.filename", "export_metadata.category", "export_metadata.validation_status", "export_metadata.processed_at",
+        F.size("extracted_fields").alias("fields_count"), F.element_at("extracted_fields", F.lit("grand_total")).alias("grand_total"),
+        F.array_join(F.transform("line_items", lambda i: i["total"]), "|").alias("item_totals"),
+        F.array_join(F.transform("validation_issues", lambda i: i["code"]), "|").alias("codes"), F.size("knowledge_insights").alias("insights_count"))
+
+
+@query
+def export_csv(spark, sf_dir):
+    """Fields and line items written as CSV files and read back, items with their place."""
+    rows = {"fields": exports.export_fields(extract.fields_long(understood(spark, sf_dir))),
+            "items": exports.export_items_ordered(line_items(spark, sf_dir))}
+    read = {}
+    for name, part in rows.items():
+        folder = shared_dir(spark, f"csv-{name}")
+        exports.write_csv(part, folder)
+        read[name] = exports.read_csv(spark, folder, part.schema)
+    headings = [F.col(f"`{h}`").alias(n) for h, n in zip(exports.FIELD_HEADINGS, ("a", "b", "c"))]
+    fields = read["fields"].select(F.lit("fields").alias("part"), "doc_id", F.lit(0).alias("page_number"), F.lit(0).alias("table_ord"), F.col("field_ord").alias("ord"), *headings)
+    items = read["items"].select(F.lit("items").alias("part"), "doc_id", "page_number", "table_ord", F.col("item_ord").alias("ord"),
+                                 *(F.col(f"`{h}`").alias(n) for h, n in zip(exports.ITEM_HEADINGS[:2] + exports.ITEM_HEADINGS[3:], ("a", "b", "c"))))
+    return fields.unionByName(items)
+
+
 @query
 def json_decode(spark, sf_dir):
     """Fields and issues to JSON text and back."""
@@ -548,15 +579,31 @@ def entities(spark, sf_dir):
 
 @query
 def entity_spans(spark, sf_dir):
-    """Spans of all entities, with the text they cover."""
+    """Spans of all entities, with the text they cover, which is cut out before there is a row for each."""
     found = passages.extract_entities(texts(spark, sf_dir), caps=None)
-    return found.select("doc_id", "text", F.explode(F.slice("entities", 1, passages.ALL)).alias("e")).select(
-        "doc_id", "e.type", "e.value",
-        F.col("e.span")[0].alias("span_start"), F.col("e.span")[1].alias("span_end"),
-        F.substring(
-            "text", F.col("e.span")[0] + 1, F.col("e.span")[1] - F.col("e.span")[0]
-        ).alias("covered"),
-    )
+
+    def covered(e):
+        start, end = e["span"][0], e["span"][1]
+        return F.struct(e["type"], e["value"], start.alias("span_start"), end.alias("span_end"),
+                        F.substring(F.col("text"), start + 1, end - start).alias("covered"))
+
+    return found.select("doc_id", F.inline(F.transform("entities", covered)))
+
+
+@query
+def entities_all(spark, sf_dir):
+    """Every entity of every document, without the cap of the reference."""
+    return passages.entities_long(passages.extract_entities(texts(spark, sf_dir), caps=None)).drop("span")
+
+
+@query
+def sections_all(spark, sf_dir):
+    return passages.sections_long(passages.extract_sections(texts(spark, sf_dir), caps=None))
+
+
+@query
+def snippets_all(spark, sf_dir):
+    return assistant.snippet_search(texts(spark, sf_dir), QUESTION, caps=None)
 
 
 @query
@@ -634,15 +681,21 @@ def validation_status(spark, sf_dir):
         F.count("*").alias("documents"))
 
 
-def _rule(code):
+def _rule(code, category):
+    """Issues of one rule: of documents of its category, under the rules up to it. Order lines are summed for the one rule
+    that compares them."""
     def run(spark, sf_dir):
-        return validate.issues_long(audited(spark, sf_dir)).where(F.col("code") == code)
+        rows = understood(spark, sf_dir).drop("text", "first_page").where(F.col("category") == category)
+        if code == "LINE_ITEM_MISMATCH":
+            rows = validate.with_line_totals(rows, tables(spark, sf_dir))
+        checked = validate.validate(rows, AS_OF, validate.rules_before(code))
+        return validate.issues_long(checked).where(F.col("code") == code)
 
     return run
 
 
 for _issue in audit_rules.CATEGORY_ISSUES:
-    QUERIES[f"rule_{_issue.code.lower()}"] = _rule(_issue.code)
+    QUERIES[f"rule_{_issue.code.lower()}"] = _rule(_issue.code, _issue.category)
 
 
 @query
@@ -697,22 +750,32 @@ ASKED = (
 )
 
 
-@query
-def answer_batch(spark, sf_dir):
-    """One question per document, by turns, answered from the whole pipeline."""
+def _answers(spark, sf_dir, caps):
     processed = pipeline.process(
         docs(spark, sf_dir), tables(spark, sf_dir), as_of=AS_OF)
     asked = docs(spark, sf_dir).select(
         F.col("doc_id").alias("question_id"), "doc_id",
         corpora.pick(F.floor(F.col("doc_id") / 8) + F.col("doc_id"), ASKED).alias("question"),
     )
-    return assistant.answer_batch(asked, processed).withColumn(
+    return assistant.answer_batch(asked, processed, caps).withColumn(
         "citations",
         F.array_join(F.transform(
             "citations", lambda c: F.concat_ws("|", c["section"], c["page"], c["field"])), "\n"),
     )
 
 
+@query
+def answer_batch(spark, sf_dir):
+    """One question per document, by turns, answered from the whole pipeline."""
+    return _answers(spark, sf_dir, "reference")
+
+
+@query
+def answer_all(spark, sf_dir):
+    """The same, with every matching line quoted."""
+    return _answers(spark, sf_dir, None)
+
+
 # --- pipelines ------------------------------------------------------------------------------
 
 def _counts(processed):
