@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerleaf.functions.values import parse_date, percent, round_exact
 
@@ -66,19 +66,22 @@ def recent_documents(docs: DataFrame, limit: int = RECENT) -> DataFrame:
     )
 
 
-def vendor_frequency(docs: DataFrame) -> DataFrame:
-    """Documents per counterparty, with the newest document that names it."""
-    first, second = COUNTERPARTY_KEYS
-
+def counterparty() -> Column:
+    """Who the other side of a document is, if any field says so."""
     def value(key: str):
         held = F.filter("fields", lambda f: f["key"] == key)
         return F.nullif(F.get(held, F.lit(0))["value"], F.lit(""))
 
+    return F.coalesce(*map(value, COUNTERPARTY_KEYS))
+
+
+def vendor_frequency(docs: DataFrame) -> DataFrame:
+    """Documents per counterparty, with the newest document that names it."""
     # One counterparty per document comes out of a generator: the name filter below stays above
     # the extraction instead of repeating it.
     named = docs.select(
         "doc_id", "created_at",
-        F.explode(F.array(F.coalesce(value(first), value(second)))).alias("name"),
+        F.explode(F.array(counterparty())).alias("name"),
     )
     return (
         named.where(F.col("name").isNotNull() & ~F.col("name").isin(*NO_NAME))

@@ -782,11 +782,22 @@ FROM (SELECT r.doc_id, any_value(r.category) AS category, count(i.code) AS n, co
   FROM x_read_edited r LEFT JOIN x_issues_edited i USING (doc_id) GROUP BY r.doc_id)"""
 oracle("recompute", _recomputed)
 
-oracle("store_merge", f"""SELECT c.doc_id, CASE WHEN o.o_orderpriority = '3-MEDIUM' THEN 'again-' ELSE '' END || c.original_name AS original_name,
-  c.category, coalesce(e.validation_status, c.validation_status) AS validation_status,
-  coalesce(e.validation_score, c.validation_score) AS validation_score, coalesce(e.issues_count, c.issues_count) AS issues_count
-FROM x_checked c LEFT JOIN orders o ON c.doc_id = o.o_orderkey * 8 LEFT JOIN ({_recomputed}) e ON e.doc_id = c.doc_id
+cte("x_recomputed", _recomputed)
+cte("x_stored", """SELECT c.doc_id, CASE WHEN o.o_orderpriority = '3-MEDIUM' THEN 'again-' ELSE '' END || c.original_name AS original_name,
+  c.category, c.category_confidence, coalesce(e.validation_status, c.validation_status) AS validation_status,
+  coalesce(e.validation_score, c.validation_score) AS validation_score, coalesce(e.issues_count, c.issues_count) AS issues_count,
+  coalesce(nullif(w.vendor_name, ''), nullif(w.party_two, '')) AS counterparty
+FROM x_checked c JOIN x_wide w ON w.doc_id = c.doc_id LEFT JOIN orders o ON c.doc_id = o.o_orderkey * 8 LEFT JOIN x_recomputed e ON e.doc_id = c.doc_id
 WHERE coalesce(e.validation_status, c.validation_status) <> 'error'""")
+oracle("store_merge", "SELECT doc_id, original_name, category, validation_status, validation_score, issues_count FROM x_stored")
+oracle("dashboard_incremental", """SELECT kind, name, CAST(sum(n) AS BIGINT) AS n, CAST(sum(amount) AS DOUBLE) AS amount FROM (
+  SELECT 'documents' AS kind, '' AS name, 1 AS n, CAST(0 AS DECIMAL(10, 4)) AS amount FROM x_stored
+  UNION ALL SELECT 'confidence', '', 1, CAST(category_confidence AS DECIMAL(10, 4)) FROM x_stored WHERE category_confidence IS NOT NULL
+  UNION ALL SELECT 'status', validation_status, 1, 0 FROM x_stored
+  UNION ALL SELECT 'category', category, 1, 0 FROM x_stored
+  UNION ALL SELECT 'anomalies', '', issues_count, 0 FROM x_stored
+  UNION ALL SELECT 'counterparty', counterparty, 1, 0 FROM x_stored WHERE counterparty NOT IN ('N/A', 'None')
+) GROUP BY kind, name""")
 oracle("stream_upsert", counted("c.validation_score,"))
 oracle("store_lookup", _with_intel + f" WHERE r.doc_id = {56 * 8}")
 oracle("append_documents", """SELECT 'uploads' AS category, CASE WHEN page_id % 2 = 0 THEN 'text/html' ELSE 'application/pdf' END AS mime_type,

@@ -10,7 +10,7 @@ from ledgerleaf.functions.values import parse_date, parse_num
 from ledgerleaf.operators import assistant, changes, classify, exports, extract, passages
 from ledgerleaf.operators import portfolio, search, validate
 from ledgerleaf.operators.insights import add_insights, insights_long
-from ledgerleaf.plans import pipeline, warehouse
+from ledgerleaf.plans import dashboard, pipeline, warehouse
 from ledgerleaf.plans.table import VERSION, DocumentTable
 from ledgerleaf.rules import audit as audit_rules
 from ledgerleaf.rules import categories as C
@@ -864,10 +864,9 @@ def append_documents(spark, sf_dir):
         F.count("*").alias("documents"), F.sum("file_size").alias("file_size"), F.count_distinct("doc_id").alias("ids"))
 
 
-@query
-def store_merge(spark, sf_dir):
-    """Save every document, save some anew (twice, and once too late), edit totals, delete what is in error, load."""
-    store = _table(spark, "store-merge")
+def _changed_store(spark, sf_dir, figures=None):
+    """Every document saved, some saved anew (twice, and once too late), totals edited, what is in error deleted."""
+    store = DocumentTable(spark, shared_dir(spark, "store-merge"), figures=figures)
     store.create(_saved(audited(spark, sf_dir)))
     medium = table(spark, sf_dir, "orders").where("o_orderpriority = '3-MEDIUM'").select((F.col("o_orderkey") * 8).alias("doc_id"))
 
@@ -881,7 +880,21 @@ def store_merge(spark, sf_dir):
     store.merge(spark.read.parquet(late), batch=2)
     store.edit(edits(spark, sf_dir), version=3, batch=3, as_of=AS_OF)
     store.delete(store.load().where("validation_status = 'error'"), version=4, batch=4)
-    return store.load().select("doc_id", "original_name", "category", "validation_status", "validation_score", "issues_count")
+    return store
+
+
+@query
+def store_merge(spark, sf_dir):
+    """What a stored table holds after a series of changes."""
+    return _changed_store(spark, sf_dir).load().select("doc_id", "original_name", "category", "validation_status", "validation_score", "issues_count")
+
+
+@query
+def dashboard_incremental(spark, sf_dir):
+    """The figures after the same changes, from what each of them added and took away."""
+    figures = shared_dir(spark, "figures")
+    _changed_store(spark, sf_dir, figures)
+    return dashboard.figures(spark, figures).select("kind", "name", "n", F.col("amount").cast("double").alias("amount"))
 
 
 @query
