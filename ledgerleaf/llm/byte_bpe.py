@@ -30,6 +30,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from ledgerleaf.llm.common import remembered
 from ledgerleaf.llm.tokens import in_portions
 
 #: Runs, and matches, whose ids a worker remembers at most, and the longest of them.
@@ -230,9 +231,8 @@ def read_ranks(lines: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines.splitlines())}
 
 
-@lru_cache(maxsize=2)
 def _encoder(lines: bytes, pattern: str) -> Encoder:
-    return Encoder(read_ranks(lines), pattern)
+    return remembered(("byte bpe", lines, pattern), lambda: Encoder(read_ranks(lines), pattern))
 
 
 @lru_cache(maxsize=2)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerleaf.session import shared_dir
 
 SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
+T = TypeVar("T")
 
 
 def stored(rows: DataFrame, name: str) -> DataFrame:
@@ -18,6 +22,18 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
+_REMEMBERED: dict = {}
+
+
+def remembered(key: tuple, make: Callable[[], T]) -> T:
+    """What a worker process keeps between tasks, for one operator at a time: asking for another drops it, so
+    workers that serve several stages hold the memory of one."""
+    if key not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[key] = make()
+    return _REMEMBERED[key]
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as long; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

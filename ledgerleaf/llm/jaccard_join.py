@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ledgerleaf.llm.common import stored
+from ledgerleaf.llm.common import remembered, stored
 
 ORDERS = 3
 #: Tokens are counted in this many times the share that similar sets may differ in.
@@ -52,10 +52,9 @@ LOOKED_UP = 2.5
 #: Words of 64 bits in the sketch of a set.
 SKETCH = 8
 #: Words whose hashes a worker remembers at most.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Tokens that are given back at once; tokens of a stored block; tokens counted in one part, by expectation.
-AT_ONCE = BLOCK = 1_000_000
-PART = 4_000_000
+AT_ONCE, BLOCK, PART = 200_000, 1_000_000, 1_000_000
 #: Hashes below this are all there are; class of a token that is not counted.
 EVERY = np.uint64(2 ** 64 - 1)
 UNKNOWN = 63
@@ -107,7 +106,7 @@ def _each(docs: DataFrame, width: int, schema: str, rows_of: Callable, columns:
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets(width)
+        sets = remembered(("sets", width), lambda: Sets(width))
         types = None
         for batch in batches:
             out, held = [], 0
@@ -131,7 +130,7 @@ def set_ids(docs: DataFrame, width: int = 3, text_col: str = "text", into: tuple
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets(width)
+        sets = remembered(("sets", width), lambda: Sets(width))
         for batch in batches:
             found = [(set_id(s), len(s)) for s in (sets.of(x.as_py()) for x in batch.column(at).cast(pa.large_binary()))]
             ids, sizes = zip(*found) if found else ((), ())
@@ -188,7 +187,7 @@ def _in_blocks(rows: DataFrame, read: Callable[[], Callable], percent: int, limi
 
 def document_blocks(docs: DataFrame, width: int, percent: int, limit: np.uint64) -> DataFrame:
     def read() -> Callable:
-        sets = Sets(width)
+        sets = remembered(("sets", width), lambda: Sets(width))
         return lambda text: sets.of(text.cast(pa.large_binary()).as_py())
 
     return _in_blocks(docs.select("doc_id", "text"), read, percent, limit, "join-blocks")

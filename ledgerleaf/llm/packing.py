@@ -27,7 +27,7 @@ from ledgerleaf.llm.common import stored
 from ledgerleaf.llm.tokens import chunk_ids, in_portions, vocabulary
 
 #: Pieces that one task packs at a time.
-GROUP = 2_000
+GROUP = 1_000
 
 
 def cuts(n: int, length: int, masked: int = 0, loss: int | None = None) -> list[tuple[int, int, int]]:

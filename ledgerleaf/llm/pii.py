@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ledgerleaf.llm.common import remembered
+
 ROUNDS = 8
 #: Pseudonyms a worker remembers at most.
 REMEMBERED = 200_000
@@ -262,9 +264,8 @@ def _day(year: int, month: int, day: int) -> datetime.date | None:
     return found if 0 <= found.toordinal() - _FIRST < _DAYS else None
 
 
-@lru_cache(maxsize=2)
 def permuter(key: bytes) -> Permuter:
-    return Permuter(key)
+    return remembered(("permuter", key), lambda: Permuter(key))
 
 
 def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str | None = None) -> DataFrame:

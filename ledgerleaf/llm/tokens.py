@@ -28,8 +28,10 @@ from math import inf
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ledgerleaf.llm.common import remembered
+
 #: Chunks and words that a worker remembers at most; then it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: Characters that are split at once.
 AT_ONCE = 2_000_000
 
@@ -294,14 +296,12 @@ class PrefixCounts:
         return start + fits[-1] if fits else start
 
 
-@lru_cache(maxsize=2)
 def chunk_ids(spec: str) -> ChunkIds:
-    return ChunkIds(spec)
+    return remembered(("chunk ids", spec), lambda: ChunkIds(spec))
 
 
-@lru_cache(maxsize=2)
 def prefix_counts(spec: str) -> PrefixCounts:
-    return PrefixCounts(spec)
+    return remembered(("prefix counts", spec), lambda: PrefixCounts(spec))
 
 
 def in_portions(texts: Iterable[str | None]) -> Iterator[list[str]]:
