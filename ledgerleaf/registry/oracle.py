@@ -879,3 +879,6 @@ _cases = [" ".join(f"WHEN '{i}' THEN {parts[j]}" for i, parts in _answers.items(
 for _name, _suffix in (("answer_batch", ""), ("answer_all", "_all")):
     oracle(_name, f"""SELECT doc_id AS question_id, doc_id, question, intent,
   CASE intent {_cases[0]} END AS answer, CASE intent {_cases[1]} END AS citations FROM x_decided{_suffix}""")
+
+for _name, _plain in (("urgent_risks_recent", "urgent_risks"), ("deadlines_recent", "deadlines"), ("recent_docs_daily", "recent_docs")):
+    ORACLES[_name] = ORACLES[_plain]

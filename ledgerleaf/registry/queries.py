@@ -10,7 +10,7 @@ from ledgerleaf.functions.values import parse_date, parse_num
 from ledgerleaf.operators import assistant, changes, classify, exports, extract, passages
 from ledgerleaf.operators import portfolio, search, validate
 from ledgerleaf.operators.insights import add_insights, insights_long
-from ledgerleaf.plans import dashboard, pipeline, warehouse
+from ledgerleaf.plans import daily, dashboard, pipeline, warehouse
 from ledgerleaf.plans.table import VERSION, DocumentTable
 from ledgerleaf.rules import audit as audit_rules
 from ledgerleaf.rules import categories as C
@@ -927,3 +927,27 @@ def stream_upsert(spark, sf_dir):
     run()
     merge_batch(final, 1, store, step)
     return _counts(store.load())
+
+
+@plan
+def _by_day(spark, sf_dir):
+    """Folder of the checked documents by day, written once a session."""
+    folder = shared_dir(spark, "by-day")
+    daily.store_by_day(_saved(audited(spark, sf_dir)), folder)
+    return folder
+
+
+@query
+def urgent_risks_recent(spark, sf_dir):
+    return daily.newest(spark, _by_day(spark, sf_dir), portfolio.urgent_risks, portfolio.TOP_RISKS)
+
+
+@query
+def deadlines_recent(spark, sf_dir):
+    return daily.newest(spark, _by_day(spark, sf_dir), portfolio.deadlines, portfolio.TOP_DEADLINES)
+
+
+@query
+def recent_docs_daily(spark, sf_dir):
+    found = daily.newest(spark, _by_day(spark, sf_dir), portfolio.recent_documents, portfolio.RECENT)
+    return found.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
