@@ -30,14 +30,14 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from ledgerleaf.llm.common import remembered
+from ledgerleaf.llm.common import frugal, remembered
 from ledgerleaf.llm.tokens import in_portions
 
 #: Runs, and matches, whose ids a worker remembers at most, and the longest of them.
 REMEMBERED = 500_000
 LONGEST = 64
 #: Characters of matches that go through one queue, but for a single longer match.
-TOGETHER = 200_000
+TOGETHER = 500_000
 
 _RUN = regex.compile(r"\s*\S+|\s+")
 _BITS = 8
@@ -102,7 +102,7 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
-        self.two = [-1] * (1 << 16)
+        self.two = np.full(1 << 16, -1, "int64")
         for token, rank in ranks.items():
             if len(token) == 2:
                 self.two[token[0] << 8 | token[1]] = rank
@@ -117,21 +117,17 @@ class Encoder:
         n, buckets, push = len(blob), queue.buckets, queue.open
         end = array("q", range(1, n + 1))  # of the part that starts at each position; the next part starts there
         before = array("q", range(-1, n))  # the start of the part before
-        pair = array("q", [-1]) * n  # rank of the pair whose left part starts here
         edge = bytearray(n + 1)  # where a match begins
-        at = 0
-        for piece in pieces:
+        for at in accumulate(map(len, pieces), initial=0):
             edge[at] = 1
-            for k, (x, y) in enumerate(zip(piece, piece[1:]), at):
-                rank = two[x << 8 | y]
-                if rank >= 0:
-                    pair[k] = rank
-                    if (bucket := buckets.get(rank)) is None:
-                        push(rank, [k])
-                    else:
-                        bucket.append(k)
-            at += len(piece)
-        edge[n] = 1
+        values = np.frombuffer(blob, "uint8").astype("int64")
+        first = np.where(np.frombuffer(edge, "uint8")[1:n] > 0, -1, two[values[:-1] << 8 | values[1:]])
+        pair = array("q", first.tobytes() + np.full(min(n, 1), -1, "int64").tobytes())  # rank of the pair whose left part starts here
+        places = np.flatnonzero(first >= 0)
+        places = places[np.argsort(first[places], kind="stable")]
+        cuts = np.flatnonzero(np.diff(first[places])) + 1
+        for positions in np.split(places, cuts) if len(places) else ():
+            push(int(first[positions[0]]), positions.tolist())
         while (rank := queue.lowest()) >= 0:
             positions = queue.take(rank)
             for done, at in enumerate(positions, 1):
@@ -277,7 +273,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 first += len(out)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return docs.select(id_col, text_col).mapInArrow(frugal(run), f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
@@ -293,7 +289,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", into: str = "decode
             out = [decoded(x.values.to_numpy(zero_copy_only=False), tokens) if x.is_valid else b"" for x in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=names)
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(into, BinaryType())]))
+    return rows.mapInArrow(frugal(run), StructType([*rows.schema.fields, StructField(into, BinaryType())]))
 
 
 def digests(rows: DataFrame) -> DataFrame:
