@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerleaf.session import shared_dir
@@ -22,6 +25,36 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def frugal(task: Callable) -> Callable:
+    """A function for mapInArrow or applyInArrow that gives free memory back to the system at its end: worker processes
+    wait for further tasks, and what one operator needed is not the next one's."""
+    def give_back() -> None:
+        pa.default_memory_pool().release_unused()
+        _trim()(0)
+
+    def done(out):
+        if isinstance(out, Iterator):
+            return then(out)
+        give_back()
+        return out
+
+    def then(out: Iterator) -> Iterator:
+        yield from out
+        give_back()
+
+    if task.__code__.co_argcount == 2:
+        return lambda left, right: done(task(left, right))
+    return lambda given: done(task(given))
+
+
 _REMEMBERED: dict = {}
 
 

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ledgerleaf.llm.common import remembered, stored
+from ledgerleaf.llm.common import frugal, remembered, stored
 
 ORDERS = 3
 #: Tokens are counted in this many times the share that similar sets may differ in.
@@ -122,7 +122,7 @@ def _each(docs: DataFrame, width: int, schema: str, rows_of: Callable, columns:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(frugal(run), schema)
 
 
 def set_ids(docs: DataFrame, width: int = 3, text_col: str = "text", into: tuple[str, str] = ("_set", "_size")) -> DataFrame:
@@ -136,7 +136,7 @@ def set_ids(docs: DataFrame, width: int = 3, text_col: str = "text", into: tuple
             ids, sizes = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], names=[*batch.schema.names, *into])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into[0], LongType()), StructField(into[1], LongType())]))
+    return docs.mapInArrow(frugal(run), StructType([*docs.schema.fields, StructField(into[0], LongType()), StructField(into[1], LongType())]))
 
 
 class Block:
@@ -182,7 +182,7 @@ def _in_blocks(rows: DataFrame, read: Callable[[], Callable], percent: int, limi
 
     kind = rows.schema[0].dataType.simpleString()
     schema = f"block long, ids array<{kind}>, sets array<long>, sizes array<long>, counts array<long>, tokens binary"
-    return stored(rows.mapInArrow(run, schema), name)
+    return stored(rows.mapInArrow(frugal(run), schema), name)
 
 
 def document_blocks(docs: DataFrame, width: int, percent: int, limit: np.uint64) -> DataFrame:
@@ -247,8 +247,8 @@ def shared_tokens(blocks: DataFrame, limit: np.uint64, parts: int) -> DataFrame:
             "marks": pa.array([x.tobytes() for x in np.split(marks[several], ends)], pa.binary()),
             "classes": pa.array([x.tobytes() for x in np.split(kinds[several], ends)], pa.binary())})
 
-    sent = blocks.select("block", "tokens").mapInArrow(send, "part long, block long, marks binary, times binary")
-    return sent.groupBy("part").applyInArrow(count, "block long, part long, marks binary, classes binary")
+    sent = blocks.select("block", "tokens").mapInArrow(frugal(send), "part long, block long, marks binary, times binary")
+    return sent.groupBy("part").applyInArrow(frugal(count), "block long, part long, marks binary, classes binary")
 
 
 def index_rows(blocks: DataFrame, percent: int, limit: np.uint64, orders: int) -> DataFrame:
@@ -292,7 +292,7 @@ def index_rows(blocks: DataFrame, percent: int, limit: np.uint64, orders: int) -
         return pa.table({name: pa.array(c.astype("int64"), pa.int64()) for name, c in zip(("ord", "token", "set", "size", "slack"), whole)})
 
     left = blocks.select("block", "sets", "sizes", "counts", "tokens").groupBy("block")
-    return left.cogroup(shared.groupBy("block")).applyInArrow(rows_of, "ord long, token long, set long, size long, slack long")
+    return left.cogroup(shared.groupBy("block")).applyInArrow(frugal(rows_of), "ord long, token long, set long, size long, slack long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -380,8 +380,9 @@ def classes_of(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[Data
     pairs = pairs.where("slack_a + slack_b >= 0").where(_close(percent, "size_a", "size_b")).where(alike)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), bit)
     pairs = pairs.groupBy("a", "b").agg(F.bit_or("bit").alias("bits")).where(everywhere).select("a", "b")
-    links = links.union(verified(pairs, sets, percent))
-    labels = components(links)
+    more = verified(pairs, sets, percent)
+    if not more.isEmpty():
+        labels = components(links.union(more))
 
     sets = ids.where("size > 0").groupBy("set").agg(F.min("doc_id").alias("least_id"))
     sets = stored(sets.join(labels, "set", "left").withColumn("component", F.coalesce("component", "set")), "join-sets")

@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerleaf.llm.common import stored
+from ledgerleaf.llm.common import frugal, stored
 from ledgerleaf.llm.tokens import chunk_ids, in_portions, vocabulary
 
 #: Pieces that one task packs at a time.
@@ -65,7 +65,7 @@ def cut_documents(docs: DataFrame, path: str, length: int, end_id: int, masked:
 
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "segments", "loss_tokens"]
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{name} long" for name in names[1:])
-    return docs.select(id_col, text_col).mapInArrow(cut, schema)
+    return docs.select(id_col, text_col).mapInArrow(frugal(cut), schema)
 
 
 def pack_group(needs: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

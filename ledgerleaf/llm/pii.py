@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ledgerleaf.llm.common import remembered
+from ledgerleaf.llm.common import frugal, remembered
 
 ROUNDS = 8
 #: Pseudonyms a worker remembers at most.
@@ -291,4 +291,4 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", count_col:
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = StructType([*docs.schema.fields, *([StructField(count_col, LongType())] if count_col else [])])
-    return docs.mapInArrow(replace, schema)
+    return docs.mapInArrow(frugal(replace), schema)

@@ -28,7 +28,7 @@ from math import inf
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ledgerleaf.llm.common import remembered
+from ledgerleaf.llm.common import frugal, remembered
 
 #: Chunks and words that a worker remembers at most; then it starts anew.
 REMEMBERED = 600_000
@@ -345,7 +345,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, tables: bool = T
     names = [id_col, "n_bytes", "n_tokens", "over_limit", "fits_chars"] + (["ends", "counts"] if tables else [])
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean, fits_chars long"
     schema += ", ends array<int>, counts array<int>" if tables else ""
-    return docs.select(id_col, text_col).mapInArrow(count, schema)
+    return docs.select(id_col, text_col).mapInArrow(frugal(count), schema)
 
 
 def tokens_upto(path: str) -> Callable[[str, int], int]:
