@@ -30,15 +30,16 @@ from pyspark.sql import DataFrame
 
 from ledgerleaf.llm.common import frugal, remembered
 
-#: Chunks and words that a worker remembers at most; then it starts anew.
-REMEMBERED = 600_000
+#: Chunks and words whose counts a worker remembers at most, and chunks whose ids; then it starts anew.
+REMEMBERED, CHUNKS = 800_000, 1_200_000
 #: Characters that are split at once.
 AT_ONCE = 2_000_000
 
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[^{_SPACE}]+")
 _CONTRACTION = re.compile("'(?:re|ve|ll)")
-_MARKS = ".,;:!?"
+#: ASCII marks but for the apostrophe, letters of Latin-1, marks: three words in a row, or fewer.
+_MARKED = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
 def chunks(text: str) -> list[str]:
@@ -66,19 +67,35 @@ class ChunkIds:
 
     def __init__(self, spec: str):
         self.tokenizer, self.known = _tokenizer(spec), {}
-        self.marks = {mark: array("I", self.tokenizer.encode(mark, add_special_tokens=False).ids).tobytes() for mark in _MARKS}
         cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        #: Whether ASCII letters and a mark after them are always two words.
-        self.apart = all([span for _, span in cut(f"{word}{mark}")] == [(0, len(word)), (len(word), len(word) + 1)] for mark in _MARKS for word in ("a", "don", "abcdefghijklmnopqrstuvwxyz"))
+        self.specials = [t["content"] for t in json.loads(spec)["added_tokens"]]
+        letters = [c for c in map(chr, range(0xC0, 0x100)) if c.isalpha()]
+        self.units = {ord(c.lower()): cut(c.lower())[0][0] for c in letters}
+        #: Whether marks and letters are always words of their own, and letters in either case the same word.
+        self.apart = all(
+            [span for _, span in cut("".join(parts))] == [(0, a), (a, a + b), (a + b, a + b + c)] and self.tokenizer.normalizer.normalize_str(parts[1]) == parts[1].lower()
+            for parts in (("(", "word", "..."), ("$#", "don", "%%%"), ("\"`_", "aÀÖØöøÿßzZ", "}~&")) for a, b, c in [map(len, parts)])
 
     def _asked(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of new chunks. Letters and a mark after them are two words, so the letters are asked once for all marks."""
-        marked = {c: c[:-1] for c in new if c[-1] in _MARKS and c[:-1].isalpha() and c.isascii()} if self.apart else {}
-        asked = list({marked.get(chunk, chunk) for chunk in new}.difference(self.known))
-        ids = self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)
-        fresh = {chunk: array("I", one.ids).tobytes() for chunk, one in zip(asked, ids)}
-        for chunk, word in marked.items():
-            fresh[chunk] = (fresh.get(word) or self.known[word]) + self.marks[chunk[-1]]
+        """Ids of new chunks. Marks and letters are words of their own, so letters are asked once for all marks about
+        them, and of the model itself: there is nothing left to split or to normalise."""
+        split = {}
+        if self.apart:
+            for chunk in new:
+                if (found := _MARKED(chunk)) and not any(special in chunk for special in self.specials):
+                    before, word, after = found.groups()
+                    split[chunk] = before, word.lower(), after
+        known, fresh, ask, units = self.known, {"": b""}, self.tokenizer.model.tokenize, self.units
+        for word in {three[1] for three in split.values()}.difference(known):
+            fresh[word] = array("I", [token.id for token in ask(word if word.isascii() else word.translate(units))]).tobytes()
+        rest = {mark for three in split.values() for mark in three[::2] if mark and mark not in known}
+        rest.update(chunk for chunk in new if chunk not in split)
+        asked = list(rest)
+        for chunk, one in zip(asked, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)):
+            fresh[chunk] = array("I", one.ids).tobytes()
+        for chunk, three in split.items():
+            fresh[chunk] = b"".join([known[part] if (own := fresh.get(part)) is None else own for part in three])
+        del fresh[""]
         return fresh
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -89,7 +106,7 @@ class ChunkIds:
         if new:
             fresh = self._asked(new)
             found = [fresh[chunk] if ids is None else ids for chunk, ids in zip(flat, found)]
-            if len(self.known) + len(fresh) > REMEMBERED:
+            if len(self.known) + len(fresh) > CHUNKS:
                 self.known.clear()
             self.known.update(fresh)
         ends = list(accumulate(map(len, split)))

@@ -75,3 +75,13 @@ def test_dot_product_packing():
     for s in range(sequence.max() + 1):
         assert (needs[sequence == s].sum(axis=0) <= limits).all()
     assert sequence.max() + 1 <= 1.25 * (needs / limits).sum(axis=0).max()
+
+
+def test_chunk_ids_are_the_library_s():
+    rng = random.Random(2)
+    parts = [*"abcDE'&%$_-.,!?()[]`~é ÀßÿŸİµª12 øØñN", "<|endoftext|>", "’", "́", "don't", "'s"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 30))) for _ in range(5000)]
+    encoder = tokens.ChunkIds(tokens.vocabulary(PATH))
+    assert encoder.apart
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids, text
