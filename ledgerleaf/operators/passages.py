@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerleaf.functions.offsets import with_running_sums
 from ledgerleaf.functions.patterns import jvm, jvm_words
 from ledgerleaf.functions.stages import evaluated
 from ledgerleaf.functions.text import matches, stripped_lines
@@ -66,47 +67,24 @@ def _entries(rule: R.Entity, values: Column, parts: Column, limit: int) -> Colum
 
 
 def _all_entities(docs: DataFrame) -> DataFrame:
-    """Add all distinct entities. A text of n matches costs n to the power of 1.5: offsets are added up within blocks of
-    root n steps, then over the blocks; first occurrences come from sorting by value and place."""
+    """Add all distinct entities. A text of n matches costs n to the power of 1.5: offsets are running sums, and first
+    occurrences come from sorting by value and place."""
     count = range(len(R.ENTITIES))
     rows = evaluated(docs, **{f"parts_{i}": marked_parts(F.col("text"), r) for i, r in enumerate(R.ENTITIES)})
 
-    def steps(parts: Column) -> Column:
-        """For every match: value, what lies before it since the match before, and how far both go."""
-        return F.transform(hits(parts), lambda value, j: F.struct(
-            value.alias("value"), F.length(F.get(parts, 2 * j)).alias("gap"), (F.length(F.get(parts, 2 * j)) + F.length(value)).alias("step")))
+    def lengths(parts: Column) -> Column:
+        """Of every match, with what lies before it since the match before."""
+        return F.transform(hits(parts), lambda value, j: F.length(F.get(parts, 2 * j)) + F.length(value))
 
-    rows = evaluated(rows.select("*"), **{f"steps_{i}": steps(F.col(f"parts_{i}")) for i in count}).drop(*(f"parts_{i}" for i in count))
+    rows = evaluated(rows, **{f"lengths_{i}": lengths(F.col(f"parts_{i}")) for i in count})
+    for i in count:
+        rows = with_running_sums(rows, f"lengths_{i}", f"ends_{i}")
 
-    def width(all_steps: Column) -> Column:
-        return F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(all_steps))).cast("int"))
+    def placed(parts: Column, ends: Column) -> Column:
+        return F.array_sort(F.transform(hits(parts), lambda value, j: F.struct(value.alias("value"), (F.get(ends, j) - F.length(value)).alias("start"))))
 
-    def added(some: Column) -> Column:
-        return F.aggregate(some, F.lit(0), lambda total, step: total + step)
-
-    def blocks(all_steps: Column) -> Column:
-        size = width(all_steps)
-        lengths = F.transform(all_steps, lambda x: x["step"])
-        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(all_steps) / size).cast("int")), lambda b: added(F.slice(lengths, b * size + 1, size)))
-
-    def before(sums: Column) -> Column:
-        return F.transform(sums, lambda _, b: added(F.slice(sums, F.lit(1), b)))
-
-    rows = evaluated(rows, **{f"blocks_{i}": blocks(F.col(f"steps_{i}")) for i in count})
-    rows = evaluated(rows, **{f"before_{i}": before(F.col(f"blocks_{i}")) for i in count})
-
-    def placed(all_steps: Column, offsets: Column) -> Column:
-        size = width(all_steps)
-
-        def at(x: Column, j: Column) -> Column:
-            inside = F.aggregate(F.slice(all_steps, j - j % size + 1, j % size), F.lit(0), lambda total, y: total + y["step"])
-            start = F.get(offsets, F.floor(j / size).cast("int")) + inside + x["gap"]
-            return F.struct(x["value"].alias("value"), start.alias("start"))
-
-        return F.array_sort(F.transform(all_steps, at))
-
-    rows = evaluated(rows, **{f"placed_{i}": placed(F.col(f"steps_{i}"), F.col(f"before_{i}")) for i in count}).drop(
-        *(f"{name}_{i}" for i in count for name in ("steps", "blocks", "before")))
+    rows = evaluated(rows, **{f"placed_{i}": placed(F.col(f"parts_{i}"), F.col(f"ends_{i}")) for i in count}).drop(
+        *(f"{name}_{i}" for i in count for name in ("parts", "lengths", "ends")))
 
     def entries(rule: R.Entity, all_placed: Column) -> Column:
         first = F.filter(all_placed, lambda x, j: (j == 0) | (x["value"] != F.get(all_placed, j - 1)["value"]))

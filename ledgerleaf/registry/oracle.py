@@ -675,12 +675,22 @@ for _i, _name in enumerate(("money", "date", "id", "email")):
     oracle(f"entities_{_name}", f"SELECT doc_id, match_ord, value FROM x_hits_{_i}")
 oracle("entities", "SELECT doc_id, entity_ord, type, value FROM x_entities")
 oracle("entities_all", "SELECT doc_id, entity_ord, type, value FROM x_every_entity")
-oracle("entity_spans", "\nUNION ALL ".join(
-    f"""SELECT doc_id, {text(r.type)} AS type, value, min(start) AS span_start, min(start) + CAST(length(value) AS INTEGER) AS span_end, value AS covered
+def span_rows(docs: str) -> str:
+    """First occurrences of every entity with their spans."""
+    return "\nUNION ALL ".join(
+        f"""SELECT doc_id, {text(r.type)} AS type, value, min(start) AS span_start, min(start) + CAST(length(value) AS INTEGER) AS span_end
 FROM (SELECT doc_id, parts[2 * j] AS value, CAST(length(array_to_string(parts[1:2 * j - 1], '')) AS INTEGER) AS start
   FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts) // 2)) AS j
-    FROM (SELECT doc_id, string_split({marked(r)}, chr({0xFDD0})) AS parts FROM x_docs)))
-GROUP BY doc_id, value""" for r in P.ENTITIES))
+    FROM (SELECT doc_id, string_split({marked(r)}, chr({0xFDD0})) AS parts FROM {docs})))
+GROUP BY doc_id, value""" for r in P.ENTITIES)
+
+
+oracle("entity_spans", f"SELECT *, value AS covered FROM ({span_rows('x_docs')})")
+cte("x_turn_docs", f"SELECT doc_id, {strip(_joined_pages)} AS text FROM ({_turn_pages}) GROUP BY doc_id")
+cte("x_turn_starts", f"""SELECT doc_id, page_number, sum(marker + size) OVER (PARTITION BY doc_id ORDER BY page_number) - size - 1 AS start
+FROM (SELECT doc_id, page_number, length('--- Page ' || page_number || ' ---') + 2 AS marker, length(coalesce(text, '')) AS size FROM ({_turn_pages}))""")
+oracle("entity_pages", f"""SELECT e.doc_id, e.type, e.value, e.span_start, e.span_end, CAST(max(s.page_number) AS INTEGER) AS page_number
+FROM ({span_rows('x_turn_docs')}) e LEFT JOIN x_turn_starts s ON s.doc_id = e.doc_id AND s.start <= e.span_start GROUP BY ALL""")
 oracle("entities_distinct", "SELECT doc_id, type, value, first_ord, times FROM x_distinct")
 oracle("entity_totals",
        "SELECT type, value, count(*) AS documents FROM x_distinct GROUP BY type, value")

@@ -590,6 +590,19 @@ def entity_spans(spark, sf_dir):
     return found.select("doc_id", F.inline(F.transform("entities", covered)))
 
 
+@query
+def entity_pages(spark, sf_dir):
+    """Entities of conversations as paged documents, with the page each stands on."""
+    assembled = pages.with_page_starts(pages.assemble(turn_pages(spark, sf_dir)).select("doc_id", "text"))
+    found = passages.extract_entities(assembled, caps=None)
+
+    def placed(e):
+        start, end = e["span"][0], e["span"][1]
+        return F.struct(e["type"], e["value"], start.alias("span_start"), end.alias("span_end"), pages.page_at(start).alias("page_number"))
+
+    return found.select("doc_id", F.inline(F.transform("entities", placed)))
+
+
 @query
 def entities_all(spark, sf_dir):
     """Every entity of every document, without the cap of the reference."""

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerleaf.functions.offsets import last_upto, with_running_sums
+from ledgerleaf.functions.stages import evaluated
 from ledgerleaf.functions.text import strip
 
 # Fixed value: what stands before each page in the assembled text.
@@ -60,6 +62,19 @@ def split_pages(docs: DataFrame) -> DataFrame:
     )
 
 
+def with_page_starts(docs: DataFrame) -> DataFrame:
+    """Add to assembled texts `page_starts` and `page_numbers`: where the text of each page begins, in code points, and its number."""
+    rows = evaluated(docs, _marks=F.regexp_extract_all("text", F.lit(_MARKER_PATTERN), 0), page_numbers=F.regexp_extract_all("text", F.lit(_MARKER_PATTERN), 1).cast("array<int>"),
+                     _gaps=F.split("text", _MARKER_PATTERN, -1))
+    rows = evaluated(rows, _steps=F.transform("_marks", lambda mark, k: F.length(mark) + F.length(F.get("_gaps", k))))
+    return with_running_sums(rows, "_steps", "page_starts").drop("_marks", "_gaps", "_steps")
+
+
+def page_at(offset) -> Column:
+    """The page that holds a code point of an assembled text with page starts; null before the first page."""
+    return F.get("page_numbers", last_upto(F.col("page_starts"), offset))
+
+
 def page_count(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages per document; 1 for a document that came without pages."""
     counts = pages.groupBy("doc_id").agg(F.count("*").alias("pages"))
