@@ -70,7 +70,8 @@ def _in_doubles(ids: np.ndarray, exact: np.ndarray, names: np.ndarray, points: n
     edges = np.quantile(exact, np.linspace(0, 1, CELLS + 1), axis=0)
     cells = np.stack([np.clip(np.searchsorted(edges[1:-1, d], exact[:, d], side="right"), 0, CELLS - 1) for d in range(exact.shape[1])], 1).astype("uint8")
     dims = np.arange(exact.shape[1])
-    low, high = edges[cells, dims].T, edges[cells + 1, dims].T
+    # In whole numbers, as the scores are: a bound that is rounded could fall below its score.
+    low, high = np.floor(edges)[cells, dims].T, np.ceil(edges)[cells + 1, dims].T
     found = []
     for start in range(0, len(points), AT_ONCE):
         some = points[start:start + AT_ONCE]
@@ -84,19 +85,18 @@ def _in_doubles(ids: np.ndarray, exact: np.ndarray, names: np.ndarray, points: n
 
 def _read(ids: np.ndarray, exact: np.ndarray, point: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Exact vectors in the order of their bounds, ever more at once, until the k-th score is certain."""
-    n, done, step = len(bound), 0, max(READ, 2 * k)
+    n, done, step, above = len(bound), 0, max(READ, 2 * k), np.inf
     at, scores = np.empty(0, int), np.empty(0)
     while done < n:
-        most = min(n, done + step)
-        ahead = np.argpartition(-bound, most - 1)[:most] if most < n else np.arange(n)
-        ahead = ahead[np.argsort(-bound[ahead], kind="stable")]
-        new = ahead[done:][np.isfinite(bound[ahead[done:]])]
+        # All of one bound are read together, so none of them is read twice or left out.
+        least = -np.inf if done + step >= n else -np.partition(-bound, done + step - 1)[done + step - 1]
+        new = np.flatnonzero((bound >= least) & (bound < above) & (bound > -np.inf))
         at, scores = np.concatenate([at, new]), np.concatenate([scores, exact[new] @ point])
         best = np.lexsort((ids[at], -scores))[:k]
         at, scores = at[best], scores[best]
-        if most < n and len(best) == k and np.partition(-bound, most)[most] > -scores[-1]:
+        done, above, step = int((bound >= least).sum()), least, step * 4
+        if done < n and len(best) == k and bound[bound < least].max() < scores[-1]:
             break
-        done, step = most, step * 4
     return ids[at], scores
 
 

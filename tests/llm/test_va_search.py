@@ -47,3 +47,15 @@ def test_large_components(spark):
         want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:4])}
     got = va_search.top_k(vectors, F.lit(True), k=4).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_groups_of_equal_bounds_are_read_whole_and_once():
+    rng = np.random.default_rng(1)
+    whole = rng.integers(-100, 100, (3000, 64))
+    whole[:300] = whole[0]
+    ids = rng.permutation(len(whole)).astype("int64")
+    names = ids[ids % 20 == 0]
+    points = whole[ids % 20 == 0]
+    for name, point, got in zip(names, points, va_search._in_doubles(ids, whole.astype("float64"), names, points.astype("float64"), 20)):
+        want = sorted((-s, i) for s, i in zip((whole @ point).tolist(), ids.tolist()) if i != name)[:20]
+        assert [(-s, i) for i, s in zip(got.vec_id, got.score)] == want
