@@ -30,3 +30,12 @@ def test_guards_turn_nothing_down(spark):
 def test_optional_groups_have_no_guard():
     assert patterns.first_characters("(?:a|b)?c") is None and patterns.first_characters("a|b") is None
     assert patterns.first_characters("(?:a*|b)") is None and patterns.first_characters(r"(?:[\$x]|\d)") == set("$x0123456789")
+
+
+def test_line_sums_meet_texts_before_the_text_work(spark):
+    docs = spark.createDataFrame([(8, "a.pdf", "Invoice No: 42")], "doc_id long, original_name string, text string")
+    tables = spark.createDataFrame([(8, 1, 0, [["h"], ["a", "1", "2.00", "2.00"]])], "doc_id long, page_number int, table_ord long, rows array<array<string>>")
+    done = pipeline.process(docs, tables)
+    plan = optimized(done)
+    assert plan.index("Join LeftOuter") > plan.rindex("regexp_extract(text")
+    assert done.select("category", "line_count", "line_sum").first()[1:] == (1, 2.0)
