@@ -36,6 +36,10 @@ def test_texts_are_read_once_in_cascade_delete(spark, sf):
     assert "regexp" not in optimized(QUERIES["cascade_delete"](spark, sf))
 
 
+def test_texts_are_read_once_in_answers(spark, sf):
+    assert "regexp_extract(text" not in optimized(QUERIES["answer_batch"](spark, sf))
+
+
 def test_line_sums_meet_texts_before_the_text_work(spark):
     docs = spark.createDataFrame([(8, "a.pdf", "Invoice No: 42")], "doc_id long, original_name string, text string")
     tables = spark.createDataFrame([(8, 1, 0, [["h"], ["a", "1", "2.00", "2.00"]])], "doc_id long, page_number int, table_ord long, rows array<array<string>>")
