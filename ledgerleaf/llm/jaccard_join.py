@@ -55,6 +55,9 @@ SKETCH = 8
 REMEMBERED = 200_000
 #: Tokens that are given back at once; tokens of a stored block; tokens counted in one part, by expectation.
 AT_ONCE, BLOCK, PART = 200_000, 1_000_000, 1_000_000
+#: Bytes of a token in blocks and in the index, its upper ones (little-endian machines). Tokens that agree in them count as one,
+#: which costs an index row and loses nothing: verification is on whole tokens.
+KEPT = 7
 #: Hashes below this are all there are; class of a token that is not counted.
 EVERY = np.uint64(2 ** 64 - 1)
 UNKNOWN = 63
@@ -101,6 +104,18 @@ def set_id(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
+def packed(tokens: np.ndarray) -> bytes:
+    """The upper KEPT bytes of each token."""
+    return tokens.view("uint8").reshape(-1, 8)[:, 8 - KEPT:].tobytes()
+
+
+def unpacked(content: bytes) -> np.ndarray:
+    """Packed tokens, the bytes that were left out as zeros."""
+    out = np.zeros((len(content) // KEPT, 8), "uint8")
+    out[:, 8 - KEPT:] = np.frombuffer(content, "uint8").reshape(-1, KEPT)
+    return out.view("uint64").ravel()
+
+
 def _each(docs: DataFrame, width: int, schema: str, rows_of: Callable, columns: list[str]) -> DataFrame:
     """Rows made of (id, set) of every document; `rows_of` gives a list of rows and how much they hold."""
     names = [part.split()[0] for part in schema.split(", ")]
@@ -164,7 +179,7 @@ class Block:
 
         number = int.from_bytes(os.urandom(8), "little") >> 1
         columns = [one(np.array(x, "int64"), pa.int64()) for x in zip(*self.rows)]
-        tokens = pa.array([np.concatenate(self.parts).tobytes()], pa.binary())
+        tokens = pa.array([packed(np.concatenate(self.parts))], pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([number]), one(self.ids, id_type), *columns, tokens], names=["block", "ids", "sets", "sizes", "counts", "tokens"])
 
 
@@ -210,6 +225,7 @@ def counted_share(percent: int) -> np.uint64:
 
 
 def _part_and_mark(tokens: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    tokens = tokens >> np.uint64(8 * (8 - KEPT))
     return (tokens >> np.uint64(32)) % np.uint64(parts), (tokens & np.uint64(0xFFFFFFFF)).astype("uint32")
 
 
@@ -218,7 +234,7 @@ def shared_tokens(blocks: DataFrame, limit: np.uint64, parts: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, tokens in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tokens = np.frombuffer(tokens.as_py(), "uint64")
+                tokens = unpacked(tokens.as_py())
                 distinct, times = np.unique(tokens[tokens < limit], return_counts=True)
                 part, mark = _part_and_mark(distinct, parts)
                 order = np.argsort(part, kind="stable")
@@ -253,7 +269,7 @@ def shared_tokens(blocks: DataFrame, limit: np.uint64, parts: int) -> DataFrame:
 
 def index_rows(blocks: DataFrame, percent: int, limit: np.uint64, orders: int) -> DataFrame:
     """ord, token, set, size and slack: the prefixes of all sets under so many orders, without tokens of one set alone."""
-    parts = 1 + (blocks.agg(F.sum(F.length("tokens"))).first()[0] or 0) // 8 // PART
+    parts = 1 + (blocks.agg(F.sum(F.length("tokens"))).first()[0] or 0) // KEPT // PART
     shared = shared_tokens(blocks, limit, parts)
 
     def rows_of(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -263,7 +279,7 @@ def index_rows(blocks: DataFrame, percent: int, limit: np.uint64, orders: int) -
         order = np.argsort(known)
         known, classes = known[order], classes[order]
         for sets, sizes, counts, tokens in zip(*(left[c].to_pylist() for c in ("sets", "sizes", "counts", "tokens"))):
-            tokens = np.frombuffer(tokens, "uint64")
+            tokens = unpacked(tokens)
             part, mark = _part_and_mark(tokens, parts)
             kind = np.zeros(len(tokens), "uint64")
             if len(known):

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from ledgerleaf.llm import jaccard_join
@@ -95,3 +96,12 @@ def test_many_near_copies_of_one_text(spark):
     for width, percent in ((3, 90), (5, 80)):
         got = jaccard_join.linked(spark.createDataFrame(rows, SCHEMA), width, percent)
         assert sorted(map(tuple, got.collect()), key=str) == brute(rows, width, percent)
+
+
+def test_blocks_hold_the_upper_bytes_of_tokens():
+    tokens = jaccard_join.Sets(3).of(b"some words that make a few shingles of three")
+    block = jaccard_join.Block(90, jaccard_join.EVERY)
+    block.add(1, tokens)
+    content = block.batch(pa.int64()).column("tokens")[0].as_py()
+    assert len(content) == 7 * len(tokens)
+    assert (jaccard_join.unpacked(content) == tokens >> 8 << 8).all() and len(jaccard_join.unpacked(b"")) == 0
