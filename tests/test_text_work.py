@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import patterns
+from ledgerleaf.operators import portfolio
 from ledgerleaf.plans import pipeline
-from ledgerleaf.registry.queries import QUERIES
+from ledgerleaf.registry.queries import QUERIES, audited
 from ledgerleaf.rules import fields as X, passages as P
 
 
@@ -47,3 +48,11 @@ def test_line_sums_meet_texts_before_the_text_work(spark):
     plan = optimized(done)
     assert plan.index("Join LeftOuter") > plan.rindex("regexp_extract(text")
     assert done.select("category", "line_count", "line_sum").first()[1:] == (1, 2.0)
+
+
+def test_recent_docs_reads_only_the_texts_it_shows(spark, sf):
+    shown = QUERIES["recent_docs"](spark, sf)
+    plan = optimized(shown)
+    assert "regexp" in plan and "MASTER SERVICES" not in plan and plan.count("parquet") == 3
+    whole = portfolio.recent_documents(audited(spark, sf)).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
+    assert shown.collect() == whole.collect()
