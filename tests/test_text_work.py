@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ledgerleaf.functions import patterns
 from ledgerleaf.operators import portfolio
 from ledgerleaf.plans import pipeline
-from ledgerleaf.registry.queries import QUERIES, audited
+from ledgerleaf.registry.queries import QUERIES, audited, understood
 from ledgerleaf.rules import fields as X, passages as P
 
 
@@ -56,3 +56,18 @@ def test_recent_docs_reads_only_the_texts_it_shows(spark, sf):
     assert "regexp" in plan and "MASTER SERVICES" not in plan and plan.count("parquet") == 3
     whole = portfolio.recent_documents(audited(spark, sf)).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
     assert shown.collect() == whole.collect()
+
+
+def test_reports_capture_only_the_fields_they_show(spark, sf):
+    asked, whole = understood(spark, sf, keys=portfolio.DEADLINE_KEYS), understood(spark, sf)
+    assert optimized(asked).count("regexp_extract(text") == len(portfolio.DEADLINE_KEYS) < optimized(whole).count("regexp_extract(text")
+    assert QUERIES["deadlines_by_date"](spark, sf).collect() == portfolio.deadlines(whole, by_date=True).collect()
+
+
+def test_fields_of_some_keys_are_those_of_all(spark):
+    docs = spark.createDataFrame([
+        (1, "invoice.pdf", "Acme\nInvoice No: 42\nDue Date: 2020-01-02\nsubtotal"), (2, "contract.pdf", "agreement\nExpiration Date: 2021-02-03\nContractor: Bolt (x"),
+        (3, "x.pdf", "title: a report"), (4, "kyc.pdf", "Passport No: AB12345\nExpiry Date: 2022-01-01")], "doc_id long, original_name string, text string")
+    for keys in (portfolio.DEADLINE_KEYS, portfolio.COUNTERPARTY_KEYS, ()):
+        some = {r.doc_id: [tuple(f) for f in r.fields] for r in pipeline.understand(docs, keys=keys).collect()}
+        assert some == {r.doc_id: [tuple(f) for f in r.fields if f.key in keys] for r in pipeline.understand(docs).collect()}
