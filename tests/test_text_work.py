@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.functions import patterns
 from ledgerleaf.operators import portfolio
+from ledgerleaf.operators.classify import candidates
 from ledgerleaf.plans import pipeline
 from ledgerleaf.registry.queries import QUERIES, audited, understood
-from ledgerleaf.rules import fields as X, passages as P
+from ledgerleaf.rules import categories as C, fields as X, passages as P
 
 
 def optimized(rows):
@@ -71,3 +72,17 @@ def test_fields_of_some_keys_are_those_of_all(spark):
     for keys in (portfolio.DEADLINE_KEYS, portfolio.COUNTERPARTY_KEYS, ()):
         some = {r.doc_id: [tuple(f) for f in r.fields] for r in pipeline.understand(docs, keys=keys).collect()}
         assert some == {r.doc_id: [tuple(f) for f in r.fields if f.key in keys] for r in pipeline.understand(docs).collect()}
+
+
+def test_queries_of_a_category_score_its_words_first(spark):
+    docs = spark.createDataFrame([
+        (1, "a.pdf", "Invoice No: 42\nsubtotal"), (2, "b.pdf", "audit report by the inspector\nStatus: FAILED"), (3, "audit 7.txt", "nothing"), (4, "c.pdf", None),
+        (5, "d.pdf", "invoice audit report"), (6, "e.pdf", "passport agreement whereas invoice"), (7, "nda bill.png", "osha"), (8, "kyc.pdf", "claim form copay"),
+        (9, "contract_1.pdf", "vat"), (10, "f.pdf", "hazard hazard hazard invoice passed"), (11, "scan.pdf", ""), (12, "kyc 2.png", "report")], "doc_id long, original_name string, text string")
+    whole = {r.doc_id: r for r in pipeline.understand(docs).collect()}
+    assert {r.category for r in whole.values()} >= {C.INVOICE, C.CONTRACT, C.AUDIT, C.IDENTITY}
+    for category in (C.INVOICE, C.CONTRACT, C.AUDIT, C.IDENTITY, C.CLAIM):
+        some = pipeline.understand(docs, category=category)
+        assert some.columns == pipeline.understand(docs).columns
+        assert {r.doc_id: r for r in some.collect()} == {i: r for i, r in whole.items() if r.category == category}
+    assert candidates(pipeline.prepare(docs), C.AUDIT).count() < docs.count() / 2
