@@ -86,3 +86,8 @@ def test_queries_of_a_category_score_its_words_first(spark):
         assert some.columns == pipeline.understand(docs).columns
         assert {r.doc_id: r for r in some.collect()} == {i: r for i, r in whole.items() if r.category == category}
     assert candidates(pipeline.prepare(docs), C.AUDIT).count() < docs.count() / 2
+
+
+def test_issues_of_fields_need_no_order_lines(spark, sf):
+    for name in ("rule_low_confidence", "rule_missing_field"):
+        assert "line_sum" not in optimized(QUERIES[name](spark, sf))
