@@ -8,6 +8,7 @@ from ledgerleaf.operators.classify import candidates
 from ledgerleaf.plans import pipeline
 from ledgerleaf.registry.queries import QUERIES, audited, understood
 from ledgerleaf.rules import categories as C, fields as X, passages as P
+from ledgerleaf.sources import corpus as corpora
 
 
 def optimized(rows):
@@ -91,3 +92,11 @@ def test_queries_of_a_category_score_its_words_first(spark):
 def test_issues_of_fields_need_no_order_lines(spark, sf):
     for name in ("rule_low_confidence", "rule_missing_field"):
         assert "line_sum" not in optimized(QUERIES[name](spark, sf))
+
+
+def test_texts_are_written_in_many_tasks(spark, sf):
+    """A table in one row group, or a join that ends in one partition, does not leave its texts to one task."""
+    for name in ("invoices", "contracts", "audits", "identities", "claims", "free_texts"):
+        rows = getattr(corpora, name)(spark, sf).groupBy(F.spark_partition_id().alias("task")).count().collect()
+        total = sum(r["count"] for r in rows)
+        assert len(rows) > 4 and max(r["count"] for r in rows) < total / 2
