@@ -1,9 +1,11 @@
 """Text work is done once a query and few characters are tried by every pattern."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import patterns
-from ledgerleaf.operators import portfolio
+from ledgerleaf.operators import passages, portfolio
 from ledgerleaf.operators.classify import candidates
 from ledgerleaf.plans import pipeline
 from ledgerleaf.registry.queries import QUERIES, audited, understood
@@ -30,6 +32,24 @@ def test_guards_turn_nothing_down(spark):
         assert guarded.startswith("(?!") and rows.where(F.regexp_extract("text", guarded, 0) != F.regexp_extract("text", plain, 0)).count() == 0
 
 
+def test_addresses_are_found_as_before_their_guard(spark):
+    rule = P.ENTITIES[3]
+    plain, guarded = patterns.jvm(rule.pattern, False), passages.entity_pattern(rule)
+    assert rule.type == "EMAIL" and guarded != plain and guarded.endswith(plain)
+    texts = ["a@b.co", "x.y+z%1@sub.example.com, -a@b.org a@@b.co", "éa@b.co é.a@b.co a@b.c a@.co", "%@b.co .@b.co _a_@b.co-x", "a b@c.de@f.gh", "@b.co", "no address", "İ@b.co a\n@b.co 9@8.ab|c"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for row in rows.select("text", F.regexp_extract_all("text", F.lit(plain), 0).alias("was"), F.regexp_extract_all("text", F.lit(guarded), 0).alias("now")).collect():
+        assert row.was == row.now == [m.group() for m in re.finditer(rule.pattern, row.text)]
+
+
+def test_lengths_of_gaps_are_counted_once(spark):
+    text = "pay $5.00, then $7.50 and $5.00 until 2020-01-02; PO-12345 é a@b.co and a@b.co"
+    found = passages.extract_entities(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert [(e.value, text[slice(*e.span)]) for e in found.first().entities] == [(v, v) for v in ("$5.00", "$7.50", "2020-01-02", "PO-12345", "a@b.co")]
+    plan = optimized(found)
+    assert "aggregate(slice(lengths_0" in plan and "char_length" not in plan.split("aggregate(")[1].split("))")[0]
+
+
 def test_optional_groups_have_no_guard():
     assert patterns.first_characters("(?:a|b)?c") is None and patterns.first_characters("a|b") is None
     assert patterns.first_characters("(?:a*|b)") is None and patterns.first_characters(r"(?:[\$x]|\d)") == set("$x0123456789")
